@@ -26,22 +26,24 @@ def with_fields(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds the parsed fields of a JSON column: as found, as typed values, and whether it is JSON at all.
 
     The text is parsed as the only element of an array, so anything after the first value is an error.
+    Both steps go through a one-element generator: filters on their results cannot be moved below it,
+    where the optimizer would repeat the parsing for every use of a field.
     """
     if SEEN in df.columns:
         return df
-    wrapped = df.withColumn("_wrapped", F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]"))))
+    parsed = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
+    wrapped = df.withColumn("_wrapped", F.explode(F.array(parsed)))
     single = F.try_variant_get("_wrapped", "$[1]", "variant").isNull()
 
     def first(dtype):
         return F.when(single, F.try_variant_get("_wrapped", "$[0]", dtype))
 
-    return wrapped.withColumns(
-        {
-            SEEN: first(f"struct<{_SEEN_TYPE}>"),
-            TYPED: first(f"struct<{_TYPED_TYPE}>"),
-            IS_JSON: F.coalesce(first("variant").isNotNull(), F.lit(False)),
-        }
-    ).drop("_wrapped")
+    fields = F.struct(
+        first(f"struct<{_SEEN_TYPE}>").alias(SEEN),
+        first(f"struct<{_TYPED_TYPE}>").alias(TYPED),
+        F.coalesce(first("variant").isNotNull(), F.lit(False)).alias(IS_JSON),
+    )
+    return wrapped.select(*df.columns, F.inline(F.array(fields)))
 
 
 def is_json() -> Column:
