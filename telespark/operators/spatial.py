@@ -92,7 +92,7 @@ def cooldown_filter(entries: DataFrame, cooldown_seconds: int, slice_seconds: in
             F.when(alerts, F.concat(acc["alerts"], F.array(t))).otherwise(acc["alerts"]).alias("alerts"),
         )
 
-    begin = F.struct(F.col("last"), F.array().cast("array<struct<us:bigint,id:int>>").alias("alerts"))
+    begin = F.struct(F.col("last"), F.array().cast(slices.schema["times"].dataType).alias("alerts"))
     replayed = slices.join(entered, ["robot_id", "slice"]).select(
         "robot_id", F.inline(F.aggregate("times", begin, replay)["alerts"])
     )

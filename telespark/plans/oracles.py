@@ -18,6 +18,11 @@ def _iso(ts: str) -> str:
     )
 
 
+def _even(value: str, digits: int) -> str:
+    """Half-even rounding of the decimal spelling; on doubles, round_even itself is off by one at near-ties."""
+    return f"cast(round_even(cast(cast({value} AS varchar) AS decimal(38, 18)), {digits}) AS double)"
+
+
 def _blank(text: str) -> str:
     return f"({text} IS NULL OR {text} = '')"
 
@@ -34,11 +39,11 @@ def _age(ts: str, now: str = _NOW) -> str:
 
 
 def _score(b, t, bh, mh, sh, nh) -> str:
-    return (
-        f"CASE WHEN {b} + {t} + {bh} + {mh} + {sh} + {nh} IS NOT NULL THEN round_even(greatest(0::double, least(100::double, "
-        f"(({bh} + {mh} + {sh} + {nh}) / 4.0::double) * 0.55::double + {b} * 0.30::double "
-        f"- greatest(0::double, {t} - 55.0::double) * 1.1::double)), 1) END"
+    raw = (
+        f"greatest(0::double, least(100::double, (({bh} + {mh} + {sh} + {nh}) / 4.0::double) * 0.55::double "
+        f"+ {b} * 0.30::double - greatest(0::double, {t} - 55.0::double) * 1.1::double))"
     )
+    return f"CASE WHEN {b} + {t} + {bh} + {mh} + {sh} + {nh} IS NOT NULL THEN {_even(raw, 1)} END"
 
 
 def _buckets(column: str, buckets) -> str:
@@ -66,7 +71,7 @@ def _values(rows, *names) -> str:
 def _runtime(battery, health, oldest, minutes, rows) -> str:
     return (
         f"CASE WHEN {rows} >= 2 AND {minutes} > 0 AND {oldest} - {battery} > 0 "
-        f"THEN round_even({battery} * ({health} / 100.0::double) / (({oldest} - {battery}) / {minutes}), 1) END"
+        f"THEN {_even(f'{battery} * ({health} / 100.0::double) / (({oldest} - {battery}) / {minutes})', 1)} END"
     )
 
 
@@ -81,16 +86,16 @@ def _newest(source: str, now: str, n: int, minutes: int | None) -> str:
 def _snapshot(history: str, now: str) -> str:
     """Status rows from a CTE of ranked history."""
     health = ", ".join(
-        f"CASE WHEN l.{c} IS NULL OR l.{c} = 0 THEN 100.0::double ELSE round_even(l.{c}, 2) END AS {c}" for c in _HEALTHS
+        f"CASE WHEN l.{c} IS NULL OR l.{c} = 0 THEN 100.0::double ELSE {_even(f'l.{c}', 2)} END AS {c}" for c in _HEALTHS
     )
     minutes = "((epoch_us(l.timestamp) - epoch_us(o.timestamp)) / 60000000.0::double)"
     return f"""
-      SELECT l.robot_id, round_even(l.battery, 2) AS battery, round_even(l.temperature, 2) AS temperature,
-             round_even(l.speed, 2) AS speed, {_derive('l.status', _age('l.timestamp', now))} AS status,
-             l.mission_id, l.mission_type, round_even(l.mission_progress, 1) AS mission_progress,
+      SELECT l.robot_id, {_even('l.battery', 2)} AS battery, {_even('l.temperature', 2)} AS temperature,
+             {_even('l.speed', 2)} AS speed, {_derive('l.status', _age('l.timestamp', now))} AS status,
+             l.mission_id, l.mission_type, {_even('l.mission_progress', 1)} AS mission_progress,
              cast(NULL AS varchar) AS mission_start_time, {_iso('l.timestamp')} AS last_seen,
              {_runtime('l.battery', 'l.battery_health', 'o.battery', minutes, 'o.rn')} AS runtime_remaining_minutes,
-             coalesce(round_even(l.x, 2), 0) AS x, coalesce(round_even(l.y, 2), 0) AS y, {health}, l.timestamp
+             coalesce({_even('l.x', 2)}, 0) AS x, coalesce({_even('l.y', 2)}, 0) AS y, {health}, l.timestamp
       FROM {history} l
       JOIN (SELECT * FROM {history} QUALIFY row_number() OVER (PARTITION BY robot_id ORDER BY rn DESC) = 1) o
         ON o.robot_id = l.robot_id
@@ -413,9 +418,9 @@ def all_oracles() -> dict[str, str]:
             "telemetry",
         ),
         "round_status_columns": _with(
-            "SELECT id, round_even(battery, 2) AS battery, round_even(temperature, 2) AS temperature, round_even(speed, 2) AS speed, "
-            "round_even(mission_progress, 1) AS mission_progress, coalesce(round_even(x, 2), 0) AS x, coalesce(round_even(y, 2), 0) AS y, "
-            + ", ".join(f"CASE WHEN coalesce({c}, 0) = 0 THEN 100.0::double ELSE round_even({c}, 2) END AS {c}" for c in _HEALTHS)
+            f"SELECT id, {_even('battery', 2)} AS battery, {_even('temperature', 2)} AS temperature, {_even('speed', 2)} AS speed, "
+            f"{_even('mission_progress', 1)} AS mission_progress, coalesce({_even('x', 2)}, 0) AS x, coalesce({_even('y', 2)}, 0) AS y, "
+            + ", ".join(f"CASE WHEN coalesce({c}, 0) = 0 THEN 100.0::double ELSE {_even(c, 2)} END AS {c}" for c in _HEALTHS)
             + " FROM telemetry",
             "telemetry",
         ),
@@ -621,4 +626,31 @@ def all_oracles() -> dict[str, str]:
         "geofence_alerts": _alerts(45, f"id, robot_id, 'Entered Restricted Zone!' AS message, {iso_ts}"),
         "geofence_alerts_cooldown": _alerts(900, "id, robot_id"),
     }
-    return oracles
+    return oracles | _stream_oracles(oracles)
+
+
+def _stream_oracles(batch: dict[str, str]) -> dict[str, str]:
+    """What a drained stream must have written."""
+    iso_ts = f"{_iso('timestamp')} AS timestamp"
+    stored = "SELECT DISTINCT * FROM classified WHERE class IN ('ok', 'no_robot')"
+    all_minutes = _CTES["trend"].replace(f"WHERE timestamp > {_NOW} - INTERVAL '20 minutes' GROUP BY 1 ORDER BY 1 DESC LIMIT 20", "GROUP BY 1")
+    return {
+        "ingest_stream": _with(
+            f"SELECT cast(id AS varchar) AS msg_id, CASE WHEN class = 'no_robot' THEN 0 ELSE robot_id END AS robot_id, battery, status, {iso_ts} FROM ({stored})",
+            "classified",
+        ),
+        "ingest_stream_rejects": _with(
+            "SELECT DISTINCT cast(id AS varchar) AS msg_id, 'battery: no usable value' AS reason FROM classified WHERE class = 'null_battery'", "classified"
+        ),
+        "ingest_metrics": _with(f"SELECT count(*) AS readings_ingested FROM ({stored})", "classified"),
+        "dedupe_stream": "SELECT cast(event_id AS varchar) AS msg_id FROM events",
+        "health_trend_stream": _with(f"SELECT {_iso('minute')} AS timestamp, health_score FROM all_minutes", "telemetry", extra=f"all_minutes AS ({all_minutes})"),
+        "mission_completions_stream": batch["mission_completions"],
+        "coalesce_live_stream": batch["coalesce_live"],
+        "replace_snapshot": _with("SELECT robot_id, battery, status, runtime_remaining_minutes FROM snapshot", "snapshot"),
+        "live_status_stream": _with(
+            "SELECT robot_id, 'OFFLINE' AS status, epoch_us(max(timestamp)) AS last_seen_us FROM telemetry GROUP BY 1", "telemetry"
+        ),
+        "geofence_stream": _alerts(45, "id, robot_id"),
+        "command_stream": batch["update_outcomes"],
+    }

@@ -1,5 +1,147 @@
 """Streaming jobs as named queries: each drains a stream over the given tables and returns what it wrote."""
 
+from __future__ import annotations
+
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from telespark import constants as K
+from telespark.functions import scalars as S
+from telespark.operators import analytics, status
+from telespark.session import prepare_streaming, scratch_dir
+from telespark.sources import fixtures as fx
+from telespark.streaming import ingest, stateful, views
+
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+ORDERS_SCHEMA = (
+    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+)
+
+
+def _stream(spark: SparkSession, sf: str, name: str, schema: str) -> DataFrame:
+    # A pattern, since the file source takes a plain path for a folder.
+    return prepare_streaming(spark).readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
+
+
+def _readings(spark, sf):
+    return fx.telemetry_from(_stream(spark, sf, "events", EVENTS_SCHEMA))
+
+
+def _messages(spark, sf):
+    return fx.feed_from(_stream(spark, sf, "events", EVENTS_SCHEMA))
+
+
+def _drain(df: DataFrame, label: str, mode: str = "append", idle_batches: bool = True) -> DataFrame:
+    """Runs the stream to its end into a file sink (append) or per-batch folders (update), and reads it back.
+
+    With processing-time timers there is always a next batch to wait for; without idle batches the
+    run ends with the data.
+    """
+    spark = df.sparkSession
+    out = scratch_dir(spark, label)
+    spark.conf.set(IDLE_BATCHES, str(idle_batches).lower())
+    writer = df.writeStream.option("checkpointLocation", f"{out}-checkpoint").outputMode(mode).trigger(availableNow=True)
+    try:
+        if mode == "append":
+            query = writer.format("parquet").option("path", out).start()
+        else:
+            query = writer.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch_id={i}")).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(IDLE_BATCHES)
+    stored = df.schema if mode == "append" else df.schema.add("batch_id", LongType())
+    return spark.read.schema(stored).parquet(out)
+
+
+def _last_update(drained: DataFrame, keys: list[str]) -> DataFrame:
+    values = [c for c in drained.columns if c not in (*keys, "batch_id")]
+    return drained.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v")).select(*keys, "v.*")
+
+
+def _ingested(spark, sf, on_metrics=None):
+    out = scratch_dir(spark, "ingest")
+    paths = (f"{out}/table", f"{out}/rejects", f"{out}/checkpoint")
+    ingest.ingest_stream(_messages(spark, sf), *paths, on_metrics=on_metrics).awaitTermination()
+    return spark.read.parquet(paths[0]), spark.read.parquet(paths[1])
+
+
+def ingest_stream(spark, sf):
+    table, _ = _ingested(spark, sf)
+    return table.select("msg_id", "robot_id", "battery", "status", S.iso_utc(F.col("timestamp")).alias("timestamp"))
+
+
+def ingest_stream_rejects(spark, sf):
+    return _ingested(spark, sf)[1].select("msg_id", "reason")
+
+
+def ingest_metrics(spark, sf):
+    counts = []
+    _ingested(spark, sf, on_metrics=lambda batch_id, n: counts.append(n))
+    return spark.range(1).select(F.lit(sum(counts)).cast("bigint").alias("readings_ingested"))
+
+
+def dedupe_stream(spark, sf):
+    return _drain(ingest.dedupe_stream(_messages(spark, sf)), "dedupe").select("msg_id")
+
+
+def health_trend_stream(spark, sf):
+    drained = _drain(views.health_trend_stream(_readings(spark, sf)), "trend", "update")
+    return _last_update(drained, ["minute"]).select(S.iso_utc(F.col("minute")).alias("timestamp"), "health_score")
+
+
+def mission_completions_stream(spark, sf):
+    done = _drain(views.completed_missions_stream(_readings(spark, sf)), "missions")
+    counts = done.groupBy("mission_type").agg(F.count(F.lit(1)).alias("count"))
+    return analytics.zero_fill(counts, "mission_type", K.MISSION_TYPES)
+
+
+def coalesce_live_stream(spark, sf):
+    drained = _drain(views.coalesce_live_stream(_readings(spark, sf)), "coalesce", "update")
+    last = _last_update(drained, ["robot_id", "flushed_at"])
+    return last.select("robot_id", S.iso_utc(F.col("flushed_at")).alias("flushed_at"), "id", "battery")
+
+
+def replace_snapshot(spark, sf):
+    out = scratch_dir(spark, "snapshot")
+    last = []
+
+    def path_of(batch_id):
+        last.append(f"{out}/{batch_id}")
+        return last[-1]
+
+    source = _readings(spark, sf)
+    query = views.snapshot_stream(lambda batch: status.fleet_snapshot(batch, fx.AS_OF), path_of, source, f"{out}/checkpoint")
+    query.awaitTermination()
+    return spark.read.parquet(last[-1]).select("robot_id", "battery", "status", "runtime_remaining_minutes")
+
+
+def live_status_stream(spark, sf):
+    return _drain(stateful.live_status_stream(_readings(spark, sf)), "status", idle_batches=False)
+
+
+def geofence_stream(spark, sf):
+    return _drain(stateful.geofence_stream(_readings(spark, sf)), "fence").select("id", "robot_id")
+
+
+def command_stream(spark, sf):
+    """Outcomes of all status requests; every command exists before the first of them."""
+    orders = _stream(spark, sf, "orders", ORDERS_SCHEMA)
+    start = F.lit(datetime(2023, 12, 31, tzinfo=timezone.utc))
+    created = fx.commands_from(orders).withColumns({"created_at": start, "timeout_seconds": F.lit(None).cast("int")})
+    updates = fx.command_updates_from(_stream(spark, sf, "events", EVENTS_SCHEMA))
+    outcomes = _drain(stateful.command_stream(stateful.command_log(created, updates)), "commands", idle_batches=False)
+    return outcomes.select("update_id", "command_id", "outcome")
+
 
 def all_queries():
-    return {}
+    return {
+        f.__name__: f
+        for f in (
+            ingest_stream, ingest_stream_rejects, ingest_metrics, dedupe_stream, health_trend_stream, mission_completions_stream,
+            coalesce_live_stream, replace_snapshot, live_status_stream, geofence_stream, command_stream,
+        )
+    }

@@ -40,7 +40,8 @@ _READING = (
 READING_COLUMNS = tuple(name for name, _, _ in _READING)
 HEALTH_COLUMNS = ("battery_health", "motor_health", "sensor_health", "network_health")
 
-TELEMETRY = _struct(("id", IntegerType(), False), *_READING, ("timestamp", TimestampType(), False))
+# `id` orders rows by arrival and breaks ties between equal timestamps.
+TELEMETRY = _struct(("id", LongType(), False), *_READING, ("timestamp", TimestampType(), False))
 
 EVENTS = _struct(
     ("id", IntegerType(), False),

@@ -66,7 +66,11 @@ def robot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(
+    return commands_from(table(spark, sf_dir, "orders"))
+
+
+def commands_from(orders: DataFrame) -> DataFrame:
+    return orders.selectExpr(
         "concat('C-', cast(o_orderkey as string)) AS id",
         "cast(o_custkey % 50 as int) AS robot_id",
         "CASE o_orderkey % 4 WHEN 0 THEN 'RETURN_TO_BASE' WHEN 1 THEN 'EMERGENCY_STOP' WHEN 2 THEN 'RESUME' ELSE 'MOVE_TO' END AS command_type",
@@ -78,7 +82,11 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def command_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+    return command_updates_from(table(spark, sf_dir, "events"))
+
+
+def command_updates_from(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id AS update_id",
         "concat('C-', cast(event_id div 6 as string)) AS command_id",
         f"""CASE WHEN {_K} < 80 THEN
