@@ -26,24 +26,21 @@ def with_fields(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds the parsed fields of a JSON column: as found, as typed values, and whether it is JSON at all.
 
     The text is parsed as the only element of an array, so anything after the first value is an error.
-    Both steps go through a one-element generator: filters on their results cannot be moved below it,
-    where the optimizer would repeat the parsing for every use of a field.
+    Results go through one-element generators: filters on them cannot be moved below, where the
+    optimizer would repeat the parsing for every use of a field.
     """
     if SEEN in df.columns:
         return df
-    parsed = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
-    wrapped = df.withColumn("_wrapped", F.explode(F.array(parsed)))
+    wrapped = df.withColumn("_wrapped", F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]"))))
     single = F.try_variant_get("_wrapped", "$[1]", "variant").isNull()
-
-    def first(dtype):
-        return F.when(single, F.try_variant_get("_wrapped", "$[0]", dtype))
-
+    value = F.when(single, F.try_variant_get("_wrapped", "$[0]", "variant"))
+    valued = wrapped.select(*df.columns, F.explode(F.array(value)).alias("_value"))
     fields = F.struct(
-        first(f"struct<{_SEEN_TYPE}>").alias(SEEN),
-        first(f"struct<{_TYPED_TYPE}>").alias(TYPED),
-        F.coalesce(first("variant").isNotNull(), F.lit(False)).alias(IS_JSON),
+        F.try_variant_get("_value", "$", f"struct<{_SEEN_TYPE}>").alias(SEEN),
+        F.try_variant_get("_value", "$", f"struct<{_TYPED_TYPE}>").alias(TYPED),
+        F.col("_value").isNotNull().alias(IS_JSON),
     )
-    return wrapped.select(*df.columns, F.inline(F.array(fields)))
+    return valued.select(*df.columns, F.inline(F.array(fields)))
 
 
 def is_json() -> Column:
@@ -90,4 +87,5 @@ def integer(key: str) -> Column:
 
 def parse_timestamp(value: Column) -> Column:
     """ISO timestamp, NULL when malformed. A bare year or month is not a timestamp."""
-    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(value))
+    dated = (F.substring(value, 5, 1) == "-") & (F.substring(value, 8, 1) == "-")
+    return F.when(dated, F.try_to_timestamp(value))
