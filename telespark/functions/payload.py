@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telespark.session import prepare
+
 # Every key that any accepted message may carry.
 NUMBERS = (
     "robot_id", "battery", "temperature", "speed", "mission_progress", "battery_health", "motor_health", "sensor_health",
@@ -31,6 +33,7 @@ def with_fields(df: DataFrame, payload: str = "payload") -> DataFrame:
     """
     if SEEN in df.columns:
         return df
+    prepare(df.sparkSession)
     wrapped = df.withColumn("_wrapped", F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]"))))
     single = F.try_variant_get("_wrapped", "$[1]", "variant").isNull()
     value = F.when(single, F.try_variant_get("_wrapped", "$[0]", "variant"))
