@@ -22,39 +22,42 @@ def _rows(batches, order: list[str]) -> pd.DataFrame:
 class LiveStatus(StatefulProcessor):
     """Emits a robot's status when it reports and again when silence makes it OFFLINE."""
 
+    def __init__(self, stale_seconds: int, gone_seconds: int) -> None:
+        self.stale, self.gone = stale_seconds, gone_seconds
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.latest = handle.getValueState("latest", "us bigint, id int, status string, shown string")
 
-    def handleInputRows(self, key, rows, timer_values):
+    def handleInputRows(self, key, rows, timerValues):
         batch = _rows(rows, ["us", "id"])
         newest = batch.iloc[-1]
         if self.latest.exists() and (self.latest.get()[0], self.latest.get()[1]) >= (newest.us, newest.id):
             return
-        now_ms = timer_values.getCurrentProcessingTimeInMs()
+        now_ms = timerValues.getCurrentProcessingTimeInMs()
         status = None if pd.isna(newest.status) else str(newest.status)
         yield self._show(key, int(newest.us), int(newest.id), status, now_ms)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        for limit in (K.STALE_STATUS_SECONDS, K.STALE_ROBOT_SECONDS):
+        for limit in (self.stale, self.gone):
             due = int(newest.us) // 1000 + limit * 1000 + 1
             if due > now_ms:
                 self.handle.registerTimer(due)
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         us, id_, status, shown = self.latest.get()
-        row = self._show(key, us, id_, status, expired_timer_info.getExpiryTimeInMs())
+        row = self._show(key, us, id_, status, expiredTimerInfo.getExpiryTimeInMs())
         if row.status[0] != shown:
             yield row
 
     def _show(self, key, us, id_, status, now_ms):
         age = now_ms / 1000.0 - us / 1_000_000.0
-        if age > K.STALE_ROBOT_SECONDS:
+        if age > self.gone:
             shown = "OFFLINE"
         elif not status:
             shown = "ACTIVE"
         else:
-            shown = "OFFLINE" if age > K.STALE_STATUS_SECONDS else status.upper()
+            shown = "OFFLINE" if age > self.stale else status.upper()
         self.latest.update((us, id_, status, shown))
         return pd.DataFrame({"robot_id": [key[0]], "status": [shown], "last_seen_us": [us]})
 
@@ -62,11 +65,13 @@ class LiveStatus(StatefulProcessor):
         pass
 
 
-def live_status_stream(readings: DataFrame) -> DataFrame:
+def live_status_stream(
+    readings: DataFrame, stale_seconds: int = K.STALE_STATUS_SECONDS, gone_seconds: int = K.STALE_ROBOT_SECONDS
+) -> DataFrame:
     """(robot_id, status, last_seen_us) changes, driven by data and by processing time."""
     keyed = readings.select("robot_id", F.unix_micros("timestamp").alias("us"), "id", "status")
     return keyed.groupBy("robot_id").transformWithStateInPandas(
-        LiveStatus(), "robot_id int, status string, last_seen_us bigint", "Append", "ProcessingTime"
+        LiveStatus(stale_seconds, gone_seconds), "robot_id int, status string, last_seen_us bigint", "Append", "ProcessingTime"
     )
 
 
@@ -79,7 +84,7 @@ class FenceAlerts(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.fence = handle.getValueState("fence", "inside boolean, last_alert bigint")
 
-    def handleInputRows(self, key, rows, timer_values):
+    def handleInputRows(self, key, rows, timerValues):
         inside, last_alert = self.fence.get() if self.fence.exists() else (False, None)
         batch = _rows(rows, ["us", "id"])
         alerts = []
@@ -117,7 +122,7 @@ class CommandState(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", "status string")
 
-    def handleInputRows(self, key, rows, timer_values):
+    def handleInputRows(self, key, rows, timerValues):
         batch = _rows(rows, ["us", "update_id"])
         status = self.state.get()[0] if self.state.exists() else None
         out = []
@@ -151,11 +156,11 @@ class CommandState(StatefulProcessor):
             return "accepted"
         return f"Invalid transition from {status} to {requested}"
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         status = self.state.get()[0]
         if status not in K.TERMINAL_STATES:
             self.state.update(("TIMEOUT",))
-            yield self._frame([(None, key[0], "accepted", "TIMEOUT", expired_timer_info.getExpiryTimeInMs() * 1000)])
+            yield self._frame([(None, key[0], "accepted", "TIMEOUT", expiredTimerInfo.getExpiryTimeInMs() * 1000)])
 
     def _forget_timers(self):
         for timer in list(self.handle.listTimers()):
