@@ -9,7 +9,8 @@ from telespark import constants as K
 from telespark.operators.latest import as_of_column
 from telespark.operators.slices import first_per_key, running_position, time_slice
 
-DAY_SECONDS = 86_400
+DAY_SECONDS, TEN_MINUTES = 86_400, 600
+REACHABLE = sorted({target for targets in K.COMMAND_MOVES.values() for target in targets})
 STAMPS = {"DISPATCHED": "dispatched_at", "ACKNOWLEDGED": "acknowledged_at", "EXECUTING": "started_at"}
 
 
@@ -124,14 +125,14 @@ def is_allowed(current: Column, requested: Column) -> Column:
 MOVE_FIELDS = ("requested_status", "requested_at", "update_id", "result", "error_code", "error_message")
 
 
-def accepted_moves(commands: DataFrame, updates: DataFrame, slice_seconds: int = DAY_SECONDS) -> DataFrame:
-    """Per command that has updates: its `initial` state and the ordered `moves` that were accepted.
+def accepted_moves(commands: DataFrame, updates: DataFrame, slice_seconds: int = TEN_MINUTES) -> DataFrame:
+    """Per command: its `initial` state and the ordered `moves` that were accepted.
 
     A command takes at most one move per live state, so `moves` stays short however many updates
     there are. Updates are folded per (command, time slice) for every possible starting state; the
     slices are then chained, which keeps any one task to a slice of a command.
     """
-    updates = _with_optional(updates)
+    updates = _with_optional(updates).filter(F.col("requested_status").isin(*REACHABLE))
     move = F.struct(F.col("requested_at"), F.col("update_id"), *[F.col(c) for c in MOVE_FIELDS if c not in ("requested_at", "update_id")])
     sliced = updates.withColumn("_slice", time_slice(F.col("requested_at"), slice_seconds))
     per_slice = sliced.groupBy("command_id", "_slice").agg(F.array_sort(F.collect_list(move)).alias("_requests"))
@@ -165,8 +166,10 @@ def accepted_moves(commands: DataFrame, updates: DataFrame, slice_seconds: int =
             F.when(ended, acc["moves"]).otherwise(F.concat(acc["moves"], outcome["moves"])).alias("moves"),
         )
 
-    joined = commands.select(F.col("id").alias("command_id"), F.col("status").alias("initial")).join(chained, "command_id")
-    return joined.select("command_id", "initial", F.aggregate("_slices", start(F.col("initial")), chain)["moves"].alias("moves"))
+    begun = commands.select(F.col("id").alias("command_id"), F.col("status").alias("initial"))
+    joined = begun.join(chained, "command_id", "left")
+    moves = F.aggregate(F.coalesce("_slices", F.array().cast(chained.schema["_slices"].dataType)), start(F.col("initial")), chain)["moves"]
+    return joined.select("command_id", "initial", moves.alias("moves"))
 
 
 def _with_optional(updates: DataFrame) -> DataFrame:
@@ -174,7 +177,7 @@ def _with_optional(updates: DataFrame) -> DataFrame:
     return updates.withColumns(missing) if missing else updates
 
 
-def apply_status_updates(commands: DataFrame, updates: DataFrame, slice_seconds: int = DAY_SECONDS) -> tuple[DataFrame, DataFrame]:
+def apply_status_updates(commands: DataFrame, updates: DataFrame, slice_seconds: int = TEN_MINUTES) -> tuple[DataFrame, DataFrame]:
     """(commands after all updates in order, one outcome row per update)."""
     moves = accepted_moves(commands, updates, slice_seconds)
     return stamp_transitions(commands, moves), update_outcomes(moves, updates)

@@ -12,8 +12,7 @@ from telespark.functions import scalars as S
 from telespark.operators.slices import carry_forward, time_slice
 from telespark.session import write_and_read
 
-HOUR_SECONDS = 3_600
-DAY_SECONDS = 86_400
+HOUR_SECONDS, SIX_HOURS = 3_600, 21_600
 
 
 def hysteresis_state(df: DataFrame, on: Column, off: Column, slice_seconds: int = HOUR_SECONDS) -> DataFrame:
@@ -43,7 +42,7 @@ def geofence_entries(df: DataFrame, slice_seconds: int = HOUR_SECONDS) -> DataFr
     return state.filter(F.col("state") & ~F.col("previous_state")).select("id", "robot_id", "timestamp")
 
 
-def cooldown_filter(entries: DataFrame, cooldown_seconds: int, slice_seconds: int = DAY_SECONDS) -> DataFrame:
+def cooldown_filter(entries: DataFrame, cooldown_seconds: int, slice_seconds: int = SIX_HOURS) -> DataFrame:
     """Entries that alert: each at least `cooldown` after the previous alert of its robot.
 
     The chain of alerts inside a slice depends on earlier slices only through which entry of the

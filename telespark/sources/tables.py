@@ -34,25 +34,23 @@ def read_commands(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return _read(spark, schemas.COMMANDS, path, fmt)
 
 
-def _append_by_day(df: DataFrame, path: str, ts: str, files_per_day: int | None) -> None:
-    daily = df.withColumn("dt", F.to_date(ts))
-    if files_per_day:
-        # One day may hold most rows: spread it over several writers by robot.
-        part = F.pmod(F.xxhash64("robot_id", ts), F.lit(files_per_day))
-        daily = daily.repartition("dt", part)
+def _append_by_day(df: DataFrame, path: str, ts: str) -> None:
+    # Rebalancing gathers each day into files of the advisory size: small ones merge, a day that
+    # holds most rows is split over many writers.
+    daily = df.withColumn("dt", F.to_date(ts)).hint("rebalance", "dt")
     daily.sortWithinPartitions("dt", "robot_id", ts).write.mode("append").partitionBy("dt").parquet(path)
 
 
-def append_telemetry(df: DataFrame, path: str, files_per_day: int | None = None) -> None:
+def append_telemetry(df: DataFrame, path: str) -> None:
     """Bulk append, partitioned by day and clustered by (robot_id, timestamp) inside the files."""
-    _append_by_day(df, path, "timestamp", files_per_day)
+    _append_by_day(df, path, "timestamp")
 
 
-def append_events(df: DataFrame, path: str, as_of=None, files_per_day: int | None = None) -> None:
+def append_events(df: DataFrame, path: str, as_of=None) -> None:
     """Append events; rows without a time get the server's."""
     if "timestamp" not in df.columns:
         df = stamp_ingest_time(df, as_of)
-    _append_by_day(df, path, "timestamp", files_per_day)
+    _append_by_day(df, path, "timestamp")
 
 
 def expired_rows(df: DataFrame, as_of: datetime, days: int = 1) -> DataFrame:

@@ -16,9 +16,16 @@ WATERMARK = "10 minutes"
 def read_messages(spark: SparkSession, path: str, max_files: int = 1000, fmt: str = "parquet", **options) -> DataFrame:
     """A stream of (msg_id, payload, received_at); the batch size is bounded per trigger."""
     reader = prepare_streaming(spark).readStream.format(fmt).options(**options)
-    if fmt in ("parquet", "json", "csv", "orc"):
-        return reader.schema(schemas.MESSAGES).option("maxFilesPerTrigger", max_files).load(path)
-    return reader.load()
+    return reader.schema(schemas.MESSAGES).option("maxFilesPerTrigger", max_files).load(path)
+
+
+def from_kafka(records: DataFrame) -> DataFrame:
+    """The same columns from a Kafka source; a record's position is its message id."""
+    return records.select(
+        F.concat_ws("-", "topic", "partition", "offset").alias("msg_id"),
+        F.col("value").cast("string").alias("payload"),
+        F.col("timestamp").alias("received_at"),
+    )
 
 
 def dedupe_stream(messages: DataFrame, delay: str = WATERMARK) -> DataFrame:
@@ -26,10 +33,10 @@ def dedupe_stream(messages: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return messages.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["msg_id"])
 
 
-def normalize_stream(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(storable readings, rejects with a reason); a reading without a usable time gets its arrival time."""
+def normalize_stream(messages: DataFrame) -> DataFrame:
+    """Readings with an arrival id; one without a usable time gets its arrival time."""
     readings = decode.normalize_telemetry(decode.telemetry_messages(messages), F.col("received_at"))
-    return decode.quarantine_nulls(readings.withColumn("id", arrival_id()))
+    return readings.withColumn("id", arrival_id())
 
 
 def arrival_id():
@@ -45,24 +52,24 @@ def ingest_metrics(df: DataFrame, name: str = "ingest") -> tuple[DataFrame, Obse
 
 def _write_once(df: DataFrame, path: str, batch_id: int) -> None:
     """Each batch owns its (dt, batch_id) folders, so a repeated batch replaces itself."""
-    stamped = df.withColumn("batch_id", F.lit(batch_id))
+    stamped = df.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "dt")
     stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch_id").parquet(path)
 
 
 def store_batch(table: str, rejects: str, on_metrics=None):
-    """A foreachBatch writer with one pass over the batch: readings to `table`, the rest to `rejects`."""
+    """A foreachBatch writer: readings to `table`, the rest to `rejects`, decoded once for both."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("dt", F.to_date("received_at")).persist()
+        readings = normalize_stream(batch).persist()
         try:
-            good, bad = normalize_stream(batch)
+            good, bad = decode.quarantine_nulls(readings)
             counted, seen = ingest_metrics(good.withColumn("dt", F.to_date("timestamp")), f"ingest-{batch_id}")
             _write_once(counted, table, batch_id)
-            _write_once(bad, rejects, batch_id)
+            _write_once(bad.withColumn("dt", F.to_date("received_at")), rejects, batch_id)
             if on_metrics is not None:
                 on_metrics(batch_id, seen.get["readings_ingested"])
         finally:
-            batch.unpersist()
+            readings.unpersist()
 
     return write
 

@@ -51,3 +51,9 @@ def snapshot_stream(snapshots, path_of, source: DataFrame, checkpoint: str, **tr
 
     writer = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(replace)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def feed_stream(feed: DataFrame, path: str, checkpoint: str, fmt: str = "text", **trigger) -> StreamingQuery:
+    """Publishes the payloads of an outgoing feed (see operators.live), one JSON message per line."""
+    writer = feed.select(F.col("payload").alias("value")).writeStream.format(fmt).option("path", path)
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -7,10 +7,10 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import functions as F
 
 from telespark import schemas
-from telespark.operators import spatial
+from telespark.operators import live, spatial
 from telespark.session import prepare_streaming
 from telespark.sources import fixtures
-from telespark.streaming import ingest, stateful
+from telespark.streaming import ingest, stateful, views
 
 
 def write_messages(spark, path, rows):
@@ -121,3 +121,16 @@ def test_expired_command_times_out(spark, tmp_path):
     finally:
         query.stop()
     assert final == {"late": "TIMEOUT", "done": "COMPLETED"}
+
+
+def test_kafka_records_and_outgoing_feed(spark, sf, tmp_path):
+    records = spark.sql("SELECT 'telemetry' AS topic, 3 AS partition, 17L AS offset, encode('{\"battery\":1}', 'utf-8') AS value, timestamp'2026-07-22' AS timestamp")
+    row = ingest.from_kafka(records).first()
+    assert (row.msg_id, row.payload) == ("telemetry-3-17", '{"battery":1}')
+    prepare_streaming(spark)
+    source = fixtures.robot_events(spark, sf)
+    source.coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(source.schema).parquet(str(tmp_path / "events"))
+    views.feed_stream(live.to_feed(stream, "event"), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    published = {r.value for r in spark.read.text(str(tmp_path / "out")).collect()}
+    assert published == {r.payload for r in live.to_feed(source, "event").collect()}
