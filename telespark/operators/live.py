@@ -73,7 +73,9 @@ def split_feed(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def event_log_tail(feed: DataFrame, n: int = 50) -> DataFrame:
     """Newest n event-log messages, newest first."""
-    log, _ = split_feed(feed)
+    # A text without the key, spelled out or escaped, need not be parsed.
+    may_have_type = F.col("payload").contains('"type"') | F.col("payload").contains("\\u")
+    log, _ = split_feed(feed.filter(may_have_type))
     return log.orderBy(F.desc("timestamp"), F.desc("robot_id"), F.desc("payload")).limit(n)
 
 

@@ -526,6 +526,7 @@ def all_oracles() -> dict[str, str]:
         "recent_per_robot": _with(f"SELECT robot_id, rn, id, battery, {iso_ts} FROM ({_newest('telemetry', _NOW, 10, 15)})", "telemetry"),
         "recent_per_robot_unbounded": _with(f"SELECT robot_id, rn, id, battery, {iso_ts} FROM ({_newest('telemetry', _NOW, 30, None)})", "telemetry"),
         "runtime_remaining": _with("SELECT robot_id, runtime_remaining_minutes FROM snapshot", "snapshot"),
+        "fleet_snapshot": _with(f"SELECT {_STATUS_LIST} FROM snapshot", "snapshot"),
         "fleet_status": _with(f"SELECT {_STATUS_LIST} FROM snapshot ORDER BY robot_id LIMIT 1000", "snapshot"),
         "fleet_status_page": _with(f"SELECT {_STATUS_LIST} FROM snapshot ORDER BY robot_id LIMIT 5 OFFSET 5", "snapshot"),
         "rate_limit_decisions": _with(

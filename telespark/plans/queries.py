@@ -343,6 +343,10 @@ def runtime_remaining(spark, sf):
     return latest.runtime_remaining(latest.recent_per_robot(_telemetry(spark, sf), AS_OF, 30, 15))
 
 
+def fleet_snapshot(spark, sf):
+    return _snapshot(spark, sf).drop("timestamp")
+
+
 def fleet_status(spark, sf):
     return status.fleet_status(_telemetry(spark, sf), AS_OF, limit=1000)
 

@@ -15,8 +15,10 @@ from telespark import constants as K
 from telespark.operators import commands
 
 
-def _rows(batches, order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+def _rows(batches, *columns: str) -> list[tuple]:
+    """The key's new rows as tuples of the given columns, ordered by the first two."""
+    tuples = (t for batch in batches for t in zip(*(batch[c] for c in columns)))
+    return sorted(tuples, key=lambda t: t[:2])
 
 
 class LiveStatus(StatefulProcessor):
@@ -30,17 +32,15 @@ class LiveStatus(StatefulProcessor):
         self.latest = handle.getValueState("latest", "us bigint, id int, status string, shown string")
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = _rows(rows, ["us", "id"])
-        newest = batch.iloc[-1]
-        if self.latest.exists() and (self.latest.get()[0], self.latest.get()[1]) >= (newest.us, newest.id):
+        us, id_, status = _rows(rows, "us", "id", "status")[-1]
+        if self.latest.exists() and self.latest.get()[:2] >= (us, id_):
             return
         now_ms = timerValues.getCurrentProcessingTimeInMs()
-        status = None if pd.isna(newest.status) else str(newest.status)
-        yield self._show(key, int(newest.us), int(newest.id), status, now_ms)
+        yield self._show(key, int(us), int(id_), None if pd.isna(status) else str(status), now_ms)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         for limit in (self.stale, self.gone):
-            due = int(newest.us) // 1000 + limit * 1000 + 1
+            due = int(us) // 1000 + limit * 1000 + 1
             if due > now_ms:
                 self.handle.registerTimer(due)
 
@@ -86,9 +86,8 @@ class FenceAlerts(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         inside, last_alert = self.fence.get() if self.fence.exists() else (False, None)
-        batch = _rows(rows, ["us", "id"])
         alerts = []
-        for us, id_, distance in zip(batch.us, batch.id, batch.distance):
+        for us, id_, distance in _rows(rows, "us", "id", "distance"):
             if not inside and distance < K.FENCE_ENTER:
                 inside = True
                 if last_alert is None or us >= last_alert + self.cooldown:
@@ -123,10 +122,9 @@ class CommandState(StatefulProcessor):
         self.state = handle.getValueState("state", "status string")
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = _rows(rows, ["us", "update_id"])
         status = self.state.get()[0] if self.state.exists() else None
         out = []
-        for us, update_id, requested, expires_us in zip(batch.us, batch.update_id, batch.requested_status, batch.expires_us):
+        for us, update_id, requested, expires_us in _rows(rows, "us", "update_id", "requested_status", "expires_us"):
             if requested == "CREATED":
                 if status is None:
                     status = "PENDING"
@@ -139,8 +137,6 @@ class CommandState(StatefulProcessor):
             out.append((int(update_id), key[0], outcome, status, int(us)))
         if status is not None:
             self.state.update((status,))
-        if status in K.TERMINAL_STATES:
-            self._forget_timers()
         if out:
             yield self._frame(out)
 
@@ -162,14 +158,12 @@ class CommandState(StatefulProcessor):
             self.state.update(("TIMEOUT",))
             yield self._frame([(None, key[0], "accepted", "TIMEOUT", expiredTimerInfo.getExpiryTimeInMs() * 1000)])
 
-    def _forget_timers(self):
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-
     @staticmethod
     def _frame(out):
-        frame = pd.DataFrame(out, columns=["update_id", "command_id", "outcome", "status", "us"])
-        return frame.astype({"update_id": "Int64"})
+        update_ids, commands_, outcomes, states, times = zip(*out)
+        return pd.DataFrame(
+            {"update_id": pd.array(update_ids, dtype="Int64"), "command_id": commands_, "outcome": outcomes, "status": states, "us": times}
+        )
 
     def close(self) -> None:
         pass
