@@ -17,7 +17,8 @@ SALTS = 64
 
 
 def time_slice(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
+    """Number of the slice; never NULL, so that joins on it add no filter and equal shuffles are reused."""
+    return F.coalesce(F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint"), F.lit(0))
 
 
 def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rn") -> DataFrame:

@@ -126,11 +126,17 @@ def flag_power_thermal(df: DataFrame) -> DataFrame:
 
 
 def assignable_robots(snapshot: DataFrame) -> DataFrame:
-    """Robots that may take a mission: reachable, idle, in a workable state, with charge left."""
+    """Robots that may take a mission: reachable, idle, in a workable state, with charge left.
+
+    A boolean `returning_to_charge` column is honoured where the snapshot has one.
+    """
     status = F.col("status")
-    return snapshot.filter(
+    free = snapshot.filter(
         ~status.isin(*K.UNASSIGNABLE_STATUSES, "OFFLINE") & S.is_blank(F.col("mission_id")) & (F.col("battery") > 20.0)
     )
+    if "returning_to_charge" in snapshot.columns:
+        free = free.filter(~F.coalesce("returning_to_charge", F.lit(False)))
+    return free
 
 
 # The pyramid of square cells: side of the smallest in metres, and sides per parent.

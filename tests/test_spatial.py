@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from telespark.operators import spatial
 
@@ -112,3 +113,5 @@ def test_assignable(spark):
     ]
     df = spark.createDataFrame(rows, "robot_id int, status string, mission_id string, battery double")
     assert sorted(r.robot_id for r in spatial.assignable_robots(df).collect()) == [1, 6]
+    busy = df.withColumn("returning_to_charge", F.col("robot_id") == 6)
+    assert [r.robot_id for r in spatial.assignable_robots(busy).collect()] == [1]
