@@ -75,28 +75,34 @@ def _optional(key: str, accepted: Column) -> Column:
     return F.when(P.has_value(key) & ~F.coalesce(accepted, F.lit(False)), F.lit(f"{key}: invalid"))
 
 
-def _validate(df: DataFrame, reasons: list[Column]) -> tuple[DataFrame, DataFrame]:
+def _judge(df: DataFrame, reasons: list[Column]) -> DataFrame:
     not_object = F.when(~P.is_object(), F.lit("payload: not an object"))
-    marked = P.with_fields(df).withColumn("reason", F.coalesce(not_object, *reasons))
-    valid, rejected = _split(marked)
+    return P.with_fields(df).withColumn("reason", F.coalesce(not_object, *reasons))
+
+
+def _validate(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    valid, rejected = _split(judged)
     return valid, rejected.drop(*P.PARSED)
 
 
-def validate_telemetry(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected with `reason`) for telemetry payloads."""
+def judge_telemetry(df: DataFrame) -> DataFrame:
+    """Adds the parsed fields and `reason`, NULL for a valid telemetry payload.
+
+    Persist or store this when both the valid and the rejected rows are wanted, so that payloads are parsed once.
+    """
     reasons = [r for key, read in REQUIRED_READING.items() for r in _required(key, read(key).isNotNull())]
     reasons += [_optional(key, P.is_text(key)) for key in OPTIONAL_TEXT]
     reasons += [_optional(key, P.number(key).isNotNull()) for key in OPTIONAL_NUMBERS]
     reasons.append(_optional("mission_start_time", P.parse_timestamp(P.text("mission_start_time")).isNotNull()))
-    return _validate(df, reasons)
+    return _judge(df, reasons)
 
 
-def validate_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _validate(df, [*_required("robot_id", P.integer("robot_id").isNotNull()), *_required("message", P.is_text("message"))])
+def judge_events(df: DataFrame) -> DataFrame:
+    return _judge(df, [*_required("robot_id", P.integer("robot_id").isNotNull()), *_required("message", P.is_text("message"))])
 
 
-def validate_commands(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _validate(
+def judge_commands(df: DataFrame) -> DataFrame:
+    return _judge(
         df,
         [
             *_required("command_type", P.is_text("command_type")),
@@ -107,6 +113,19 @@ def validate_commands(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def validate_telemetry(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected with `reason`) for telemetry payloads."""
+    return _validate(judge_telemetry(df))
+
+
+def validate_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return _validate(judge_events(df))
+
+
+def validate_commands(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return _validate(judge_commands(df))
+
+
 def stamp_ingest_time(df: DataFrame, as_of=None, column: str = "timestamp") -> DataFrame:
     """One server-side instant shared by the whole batch."""
     return df.withColumn(column, as_of_column(as_of).cast("timestamp"))

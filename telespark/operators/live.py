@@ -14,15 +14,19 @@ def _json(*columns):
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+def _outgoing(df, kind, body):
+    return df.select("robot_id", "timestamp", F.lit(kind).alias("kind"), body.alias("payload"))
+
+
 def telemetry_feed(df: DataFrame) -> DataFrame:
-    """Outgoing telemetry messages: (robot_id, timestamp, payload)."""
+    """Outgoing telemetry messages: (robot_id, timestamp, kind, payload)."""
     shown = [S.iso_utc(F.col(c)).alias(c) if c == "mission_start_time" else F.col(c) for c in READING_COLUMNS]
-    return df.select("robot_id", "timestamp", _json(*shown, S.iso_utc(F.col("timestamp")).alias("timestamp")).alias("payload"))
+    return _outgoing(df, "telemetry", _json(*shown, S.iso_utc(F.col("timestamp")).alias("timestamp")))
 
 
 def event_feed(df: DataFrame) -> DataFrame:
     body = _json(F.lit("EVENT").alias("type"), "robot_id", "message", S.iso_utc(F.col("timestamp")).alias("timestamp"))
-    return df.select("robot_id", "timestamp", body.alias("payload"))
+    return _outgoing(df, "event", body)
 
 
 def command_feed(changes: DataFrame) -> DataFrame:
@@ -30,7 +34,7 @@ def command_feed(changes: DataFrame) -> DataFrame:
     body = _json(
         "type", "robot_id", "command_type", "status", "command_id", S.iso_utc(F.col("timestamp")).alias("timestamp")
     )
-    return changes.select("robot_id", "timestamp", body.alias("payload"))
+    return _outgoing(changes, "command", body)
 
 
 FEEDS = {"telemetry": telemetry_feed, "event": event_feed, "command": command_feed}
@@ -72,10 +76,8 @@ def split_feed(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def event_log_tail(feed: DataFrame, n: int = 50) -> DataFrame:
-    """Newest n event-log messages, newest first."""
-    # A text without the key, spelled out or escaped, need not be parsed.
-    may_have_type = F.col("payload").contains('"type"') | F.col("payload").contains("\\u")
-    log, _ = split_feed(feed.filter(may_have_type))
+    """Newest n event-log messages, newest first. A feed that names each message's kind is not parsed."""
+    log = feed.filter(F.col("kind").isin("event", "command")) if "kind" in feed.columns else split_feed(feed)[0]
     return log.orderBy(F.desc("timestamp"), F.desc("robot_id"), F.desc("payload")).limit(n)
 
 

@@ -627,6 +627,7 @@ def all_oracles() -> dict[str, str]:
         "geofence_alerts": _alerts(45, f"id, robot_id, 'Entered Restricted Zone!' AS message, {iso_ts}"),
         "geofence_alerts_cooldown": _alerts(900, "id, robot_id"),
     }
+    oracles["validate_telemetry_rejected"] = f"SELECT * FROM ({oracles['validate_telemetry']}) WHERE reason <> 'ok'"
     return oracles | _stream_oracles(oracles)
 
 

@@ -71,20 +71,24 @@ def normalize_telemetry(spark, sf):
     return rows.drop("received_at").withColumns(_iso("timestamp", "mission_start_time"))
 
 
-def _verdicts(key, valid, rejected):
-    return valid.select(key, F.lit("ok").alias("reason")).unionByName(rejected.select(key, "reason"))
+def _verdicts(key, judged):
+    return judged.select(key, F.coalesce("reason", F.lit("ok")).alias("reason"))
 
 
 def validate_telemetry(spark, sf):
-    return _verdicts("msg_id", *decode.validate_telemetry(fx.feed(spark, sf)))
+    return _verdicts("msg_id", decode.judge_telemetry(fx.feed(spark, sf)))
+
+
+def validate_telemetry_rejected(spark, sf):
+    return decode.validate_telemetry(fx.feed(spark, sf))[1].select("msg_id", "reason")
 
 
 def validate_events(spark, sf):
-    return _verdicts("msg_id", *decode.validate_events(fx.feed(spark, sf)))
+    return _verdicts("msg_id", decode.judge_events(fx.feed(spark, sf)))
 
 
 def validate_commands(spark, sf):
-    return _verdicts("request_id", *decode.validate_commands(fx.command_requests(spark, sf)))
+    return _verdicts("request_id", decode.judge_commands(fx.command_requests(spark, sf)))
 
 
 def stamp_ingest_time(spark, sf):

@@ -154,3 +154,9 @@ def test_routing(spark):
     }
     df = spark.createDataFrame([(p,) for p in cases], "payload string")
     assert {r.payload: r.route for r in live.route_feed(df).collect()} == cases
+
+
+def test_event_log_of_a_raw_feed(spark):
+    rows = [(i, f'{{"type":"{t}","robot_id":1}}', NOW + timedelta(seconds=i)) for i, t in enumerate(["EVENT", "OTHER", "COMMAND_CREATED", "EVENT"])]
+    raw = spark.createDataFrame(rows, "robot_id int, payload string, timestamp timestamp")
+    assert [r.robot_id for r in live.event_log_tail(raw, 2).collect()] == [3, 2]
