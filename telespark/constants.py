@@ -46,3 +46,25 @@ MAP_LATITUDE, MAP_LONGITUDE, DEGREES_PER_METRE = 37.7749, -122.4194, 0.0001
 
 # Charging is suspended at the first temperature and resumes at the second.
 THERMAL_SUSPEND, THERMAL_RESUME = 80.0, 60.0
+
+# Health score: weight of the mean component health, weight of the battery, degrees that cost nothing, cost per degree.
+SCORE_HEALTH_WEIGHT, SCORE_BATTERY_WEIGHT, SCORE_FREE_DEGREES, SCORE_DEGREE_COST = 0.55, 0.30, 55.0, 1.1
+
+# Health display: at most the first is bad, at most the second is a warning.
+TONE_BAD, TONE_WARN = 60, 80
+
+# Dead robots: battery at most, temperature at least, battery or motor health below.
+DEAD_BATTERY, DEAD_TEMPERATURE, DEAD_HEALTH = 5.0, 95.0, 10.0
+
+# Battery levels: low power, mission aborted, idle robot tops up, mission needs more than.
+LOW_POWER_BATTERY, ABORT_BATTERY, TOP_UP_BATTERY, MISSION_BATTERY = 30.0, 25.0, 50.0, 20.0
+NOT_LOW_POWER_STATUSES = ("CHARGING", "RETURNING_TO_CHARGE")
+
+# Event wording: patterns of warnings and of good news, regardless of case.
+WARN_PATTERN, GOOD_PATTERN = "(?i)restricted|zone", "(?i)completed"
+
+# Test names left out of the throughput ranking.
+UNRANKED_TESTS = ("WebSocket", "Verification")
+
+# What a reading gets when it lacks the key altogether.
+READING_DEFAULTS = {"robot_id": 0, "battery": 0.0, "temperature": 0.0, "speed": 0.0, "status": "UNKNOWN"}

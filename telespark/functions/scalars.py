@@ -43,8 +43,8 @@ def reported_status(status: Column) -> Column:
 def health_score(battery, temperature, battery_health, motor_health, sensor_health, network_health) -> Column:
     """Weighted score in 0..100, one decimal; NULL when any input is NULL."""
     components = (battery_health + motor_health + sensor_health + network_health) / F.lit(4.0)
-    heat_penalty = F.greatest(F.lit(0.0), temperature - F.lit(55.0)) * F.lit(1.1)
-    raw = components * F.lit(0.55) + battery * F.lit(0.30) - heat_penalty
+    heat_penalty = F.greatest(F.lit(0.0), temperature - F.lit(K.SCORE_FREE_DEGREES)) * F.lit(K.SCORE_DEGREE_COST)
+    raw = components * F.lit(K.SCORE_HEALTH_WEIGHT) + battery * F.lit(K.SCORE_BATTERY_WEIGHT) - heat_penalty
     known = components.isNotNull() & battery.isNotNull() & temperature.isNotNull()
     return F.when(known, F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 1))
 
@@ -73,7 +73,7 @@ def clamp_pct(value: Column) -> Column:
 
 
 def health_tone(value: Column) -> Column:
-    return F.when(value <= 60, "bad").when(value <= 80, "warn").otherwise("good")
+    return F.when(value <= K.TONE_BAD, "bad").when(value <= K.TONE_WARN, "warn").otherwise("good")
 
 
 def format_runtime(minutes: Column) -> Column:
@@ -115,8 +115,8 @@ def format_mission(mission_id: Column, mission_type: Column, progress: Column) -
 def classify_event(event_type: Column, message: Column) -> Column:
     text = F.coalesce(message, F.lit(""))
     return (
-        F.when(text.rlike("(?i)restricted|zone"), "warn")
-        .when(text.rlike("(?i)completed"), "good")
+        F.when(text.rlike(K.WARN_PATTERN), "warn")
+        .when(text.rlike(K.GOOD_PATTERN), "good")
         .when(F.coalesce(event_type.startswith("COMMAND"), F.lit(False)), "command")
         .otherwise("info")
     )
@@ -140,7 +140,9 @@ def is_finite(value: Column) -> Column:
 
 def is_dead(battery, temperature, battery_health, motor_health) -> Column:
     """Missing component health does not condemn a robot."""
-    flags = (battery <= 5.0, temperature >= 95.0, battery_health < 10.0, motor_health < 10.0)
+    flags = (
+        battery <= K.DEAD_BATTERY, temperature >= K.DEAD_TEMPERATURE, battery_health < K.DEAD_HEALTH, motor_health < K.DEAD_HEALTH,
+    )
     dead = F.lit(False)
     for flag in flags:
         dead = dead | F.coalesce(flag, F.lit(False))

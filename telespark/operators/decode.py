@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telespark.constants import READING_DEFAULTS
 from telespark.functions import payload as P
 from telespark.operators.latest import as_of_column
 
@@ -12,9 +13,6 @@ REQUIRED_READING = {"robot_id": P.integer, "battery": P.number, "temperature": P
 OPTIONAL_TEXT = ("status", "mission_id", "mission_type")
 OPTIONAL_NUMBERS = ("mission_progress", "battery_health", "motor_health", "sensor_health", "network_health", "x", "y")
 
-# What a reading gets when it lacks the key altogether.
-DEFAULTS = {"robot_id": 0, "battery": 0.0, "temperature": 0.0, "speed": 0.0, "status": "UNKNOWN"}
-
 
 def decode_messages(df: DataFrame) -> DataFrame:
     """Adds the parsed fields and the `kind`: telemetry, event, command, other or corrupt.
@@ -37,7 +35,7 @@ def telemetry_messages(df: DataFrame) -> DataFrame:
 
 
 def _or_default(key: str, value: Column) -> Column:
-    return F.when(P.has_key(key), value).otherwise(F.lit(DEFAULTS[key]))
+    return F.when(P.has_key(key), value).otherwise(F.lit(READING_DEFAULTS[key]))
 
 
 def normalize_telemetry(messages: DataFrame, as_of=None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telespark.constants import UNRANKED_TESTS
 from telespark.operators.slices import order_statistics, time_slice, top_n_per_key
 
 OK_STATUS = 200
@@ -92,8 +93,9 @@ def error_samples(log: DataFrame, order: list[str], per_test: int = 5, n: int =
 
 def top_throughput(summary: DataFrame, n: int = 5) -> DataFrame:
     """Fastest tests, leaving out socket and verification runs."""
-    name = F.col("test_name")
-    counted = summary.filter((F.col("rps") > 0) & ~name.contains("WebSocket") & ~name.contains("Verification"))
+    counted = summary.filter(F.col("rps") > 0)
+    for word in UNRANKED_TESTS:
+        counted = counted.filter(~F.col("test_name").contains(word))
     return counted.orderBy(F.desc("rps"), F.asc("test_name")).limit(n)
 
 

@@ -114,12 +114,12 @@ def flag_power_thermal(df: DataFrame) -> DataFrame:
     """Power and heat conditions of each reading."""
     battery, status = F.col("battery"), F.coalesce(F.upper("status"), F.lit(""))
     idle = S.is_blank(F.col("mission_id"))
-    low = (battery <= 30.0) & ~status.isin("CHARGING", "RETURNING_TO_CHARGE")
+    low = (battery <= K.LOW_POWER_BATTERY) & ~status.isin(*K.NOT_LOW_POWER_STATUSES)
     return df.withColumns(
         {
             "is_low_power": low,
-            "aborts_mission": low & (battery <= 25.0) & ~idle,
-            "needs_top_up": idle & (battery <= 50.0) & (status != "CHARGING"),
+            "aborts_mission": low & (battery <= K.ABORT_BATTERY) & ~idle,
+            "needs_top_up": idle & (battery <= K.TOP_UP_BATTERY) & (status != "CHARGING"),
             "is_hot": F.col("temperature") >= K.THERMAL_SUSPEND,
         }
     )
@@ -132,7 +132,7 @@ def assignable_robots(snapshot: DataFrame) -> DataFrame:
     """
     status = F.col("status")
     free = snapshot.filter(
-        ~status.isin(*K.UNASSIGNABLE_STATUSES, "OFFLINE") & S.is_blank(F.col("mission_id")) & (F.col("battery") > 20.0)
+        ~status.isin(*K.UNASSIGNABLE_STATUSES, "OFFLINE") & S.is_blank(F.col("mission_id")) & (F.col("battery") > K.MISSION_BATTERY)
     )
     if "returning_to_charge" in snapshot.columns:
         free = free.filter(~F.coalesce("returning_to_charge", F.lit(False)))

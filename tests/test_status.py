@@ -3,7 +3,6 @@
 from datetime import datetime, timedelta, timezone
 
 import pytest
-from pyspark.sql import functions as F
 
 from telespark import schemas
 from telespark.operators import analytics, latest, live, status
