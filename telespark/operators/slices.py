@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, VariantType
 
 # Spark prunes rank filters before the shuffle only up to this rank
 # (spark.sql.optimizer.windowGroupLimitThreshold).
@@ -28,13 +29,17 @@ def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, r
     first ranks inside salted parts of the key, so no task sorts more than a part of it.
     """
     if n > RANK_PUSHDOWN_LIMIT:
-        salted = df.withColumn("_salt", F.floor(F.rand(7) * SALTS))
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*_hashable(df)), F.lit(SALTS)))
         part = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = salted.withColumn("_part_rn", F.row_number().over(part)).filter(F.col("_part_rn") <= n).drop("_part_rn", "_salt")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
+def _hashable(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_n_per_key(df, keys, order, 1).drop("rn")
 

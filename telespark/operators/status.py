@@ -48,6 +48,9 @@ def page(df: DataFrame, skip: int, limit: int) -> DataFrame:
 
 
 def fleet_status(df: DataFrame, as_of=None, limit: int = 50, skip: int = 0) -> DataFrame:
+    """One page of the status table, by robot; at most 1000 rows."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit must be in 1..1000")
     return page(fleet_snapshot(df, as_of).drop("timestamp").orderBy("robot_id"), skip, limit)
 
 
