@@ -4,8 +4,10 @@ import pytest
 from compare import connect, spark_rows, sql_rows
 
 import __spark_entry__ as entry
+from telespark.plans.oracles import all_oracles
+from telespark.plans.queries import all_queries
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
