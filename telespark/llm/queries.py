@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import bpe, langid, mixing, paragraphs, secrets, simhash, topk, toxicity
+from telespark.llm import bpe, langid, licenses, mixing, paragraphs, secrets, simhash, topk, toxicity
 from telespark.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_byte_bpe, op4_toxicity, op5_language_id, op6_secret_scan, op7_exact_top_k, op8_simhash_near_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_byte_bpe, op4_toxicity, op5_language_id, op6_secret_scan, op7_exact_top_k, op8_simhash_near_dedup, op10_mixing)}
 
 
 def llm_oracles() -> dict[str, str]:
