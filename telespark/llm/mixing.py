@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telespark.llm.common import WORD
 from telespark.session import write_and_read
@@ -128,7 +129,7 @@ def sizes_mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 _WORD = re.compile(WORD)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def words_between(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     """The part of a text from word `start` to word `end` (exclusive), as it stands there; null for null."""
     for texts, starts, ends in batches:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import bpe, langid, licenses, mixing, paragraphs, secrets, simhash, topk, toxicity
+from telespark.llm import bpe, langid, licenses, media, mixing, paragraphs, secrets, simhash, topk, toxicity
 from telespark.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,13 +61,18 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds pictures: Spark renders one of each embedding, and edited copies of every tenth."""
+    return media.copies(media.rendered_media(table(spark, sf_dir, "embeddings")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.sizes_mixed(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_byte_bpe, op4_toxicity, op5_language_id, op6_secret_scan, op7_exact_top_k, op8_simhash_near_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_byte_bpe, op4_toxicity, op5_language_id, op6_secret_scan, op7_exact_top_k, op8_simhash_near_dedup, op9_media_copies, op10_mixing)}
 
 
 def llm_oracles() -> dict[str, str]:
