@@ -89,17 +89,33 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """One row per row of `docs`: its id, `fp` and `component_id`, the smallest id of its group.
+    """One row per row of `docs`: its id, `row_key` (a hash of id and text), `fp`, `group` (the group's smallest fingerprint) and
+    `component_id`, the smallest id of the group.
 
     Fingerprints are linked once per distinct value, however many documents share it. Null and blank texts share
     fingerprint 0 and are linked like any other; rows with a null id keep their place and never name a group unless it
     has no other id, when its component_id is null. Repeated rows come back as often as they came. Other columns of
     `docs` are ignored. An empty table gives no rows.
     """
-    prints = write_and_read(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")), "simhash-fp")
+    wanted = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), fingerprint(F.col(text)).alias("fp"))
+    prints = write_and_read(wanted, "simhash-fp")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connected_components(cut(links(prints, hot)))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    lookup = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(lookup, "fp").select("doc_id", "fp", "component_id")
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("group"))
+    named = rooted.groupBy("group").agg(F.min("first_id").alias("component_id"))
+    lookup = rooted.join(named, "group").select("fp", "group", "component_id")
+    return prints.join(lookup, "fp").select("doc_id", "row_key", "fp", "group", "component_id")
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    """`docs` with one row of each group of near-duplicates: that of the smallest id, null last. All columns stay."""
+    groups = near_duplicates(docs, doc_id, text, hot)
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first"))
+    kept = first.select(F.col("first.row_key").alias("row_key"))
+    rows = docs.select(F.struct("*").alias("row"), row_key(doc_id, text).alias("row_key"))
+    same = Window.partitionBy("row_key").orderBy("row_key")  # equal ids and texts
+    return rows.join(kept.distinct(), "row_key").withColumn("copy", F.row_number().over(same)).where("copy = 1").select("row.*")
