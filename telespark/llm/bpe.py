@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-KNOWN_WORDS = 400_000
-KNOWN_PAIRS = 1_000_000
-BLOCK_BYTES = 8 << 20
+KNOWN_WORDS = 150_000
+KNOWN_PAIRS = 300_000
+BLOCK_BYTES = 3 << 20
 FEW = 24
 
 
