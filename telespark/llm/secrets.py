@@ -68,27 +68,36 @@ def battery(token: Column) -> Column:
     plain = F.translate(token, "-_", "+/")
     kind = F.when(plain.rlike("^[0-9a-f]+$") | plain.rlike("^[0-9A-F]+$"), "hex").when(plain.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
     alphabet = F.when(kind == "hex", F.lit(ALPHABETS["hex"])).when(kind == "base32", F.lit(ALPHABETS["base32"])).otherwise(F.lit(ALPHABETS["base64"]))
-    symbols = F.split(F.when(kind == "hex", F.lower(plain)).otherwise(plain), "", -1)
-    symbols = F.filter(symbols, lambda c: c != "")
-    setup = F.struct(F.length(alphabet).cast("double").alias("k"), F.length(plain).cast("double").alias("n"), F.transform(symbols, lambda c: F.instr(alphabet, c).cast("double")).alias("v"), F.array_join(symbols, "").alias("t"), F.array_distinct(symbols).alias("d"))
+    named = F.struct(alphabet.alias("alphabet"), F.when(kind == "hex", F.lower(plain)).otherwise(plain).alias("t"))
 
-    def scores(x: Column) -> Column:
+    def setup(x: Column) -> Column:
+        symbols = F.filter(F.split(x["t"], "", -1), lambda c: c != "")
+        places = F.transform(symbols, lambda c: F.instr(x["alphabet"], c).cast("double"))
+        return F.struct(F.length(x["alphabet"]).cast("double").alias("k"), F.length(x["t"]).cast("double").alias("n"), places.alias("v"), x["t"].alias("t"), F.array_distinct(symbols).alias("d"))
+
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, y: a + y)
+
+    # Sums are named before the lambdas that need them, which would else repeat them for every symbol.
+    def sums(x: Column) -> Column:
         n, k, v = x["n"], x["k"], x["v"]
-        total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, y: a + y)
         squares = total(F.transform(x["d"], lambda c: F.pow(n - F.length(F.replace(x["t"], c, F.lit(""))), F.lit(2.0))))
-        chi = F.greatest((k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n)), F.lit(0.0))
-        head, tail = F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1)
         above = total(F.transform(v, lambda y: (y > k / 2).cast("double")))
+        pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.struct(n.alias("n"), k.alias("k"), (k / 2).alias("half"), v.alias("v"), pairs.alias("pairs"), squares.alias("squares"), above.alias("above"), (total(v) / n).alias("mean"))
+
+    def scores(x: Column) -> Column:
+        n, k, v, half, above, mean = (x[c] for c in ("n", "k", "v", "half", "above", "mean"))
+        chi = F.greatest((k / n * x["squares"] - n - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n)), F.lit(0.0))
         both = 2 * above * (n - above)
-        changes = total(F.zip_with(head, tail, lambda a, b: ((a > k / 2) != (b > k / 2)).cast("double")))
+        changes = total(F.transform(x["pairs"], lambda p: ((p["a"] > half) != (p["b"] > half)).cast("double")))
         spread = both * (both - n) / (n * n * (n - 1))
         runs = F.when(spread > 0, (changes - both / n) / F.sqrt(spread)).otherwise(F.lit(1e3))
-        mean = total(v) / n
         variance = total(F.transform(v, lambda y: (y - mean) * (y - mean)))
-        serial = F.when(variance > 0, (total(F.zip_with(head, tail, lambda a, b: (a - mean) * (b - mean))) / variance + 1 / n) * F.sqrt(n)).otherwise(F.lit(1e3))
+        products = total(F.transform(x["pairs"], lambda p: (p["a"] - mean) * (p["b"] - mean)))
+        serial = F.when(variance > 0, (products / variance + 1 / n) * F.sqrt(n)).otherwise(F.lit(1e3))
         return chi * chi + runs * runs + serial * serial
 
-    unlike = F.element_at(F.transform(F.array(setup), scores), 1)
+    unlike = F.element_at(F.transform(F.transform(F.transform(F.array(named), setup), sums), scores), 1)
     kinds = F.translate(token, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-", "a" * 26 + "A" * 26 + "0" * 10 + "----")
     places = (F.length(token) - 1).cast("double")
     changes = places + 1 - F.length(F.regexp_replace(kinds, r"(.)(?=\1)", ""))
