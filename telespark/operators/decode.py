@@ -130,6 +130,6 @@ def stamp_ingest_time(df: DataFrame, as_of=None, column: str = "timestamp") -> D
 
 
 def dedupe_messages(df: DataFrame, key: str = "msg_id", order: str = "received_at") -> DataFrame:
-    """First delivery of every message; repeats are merged before the shuffle."""
-    columns = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("first")).select(key, "first.*")
+    """First delivery of every message; repeats are merged before the shuffle. At one instant the smallest row counts."""
+    columns = [order, *[c for c in df.columns if c not in (key, order)]]
+    return df.groupBy(key).agg(F.min(F.struct(*columns)).alias("first")).select(key, "first.*")

@@ -40,17 +40,16 @@ def fleet_snapshot(df: DataFrame, as_of=None, n: int = 30, minutes: int = 15) ->
     return round_status_columns(described).select(*STATUS_COLUMNS, "timestamp")
 
 
-def page(df: DataFrame, skip: int, limit: int) -> DataFrame:
-    """A slice of an already ordered result."""
-    if skip < 0 or limit < 0:
+def page(df: DataFrame, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """A slice of an already ordered result; all rows after `skip` without a limit."""
+    if skip < 0 or (limit is not None and limit < 0):
         raise ValueError("skip and limit must not be negative")
-    return df.offset(skip).limit(limit)
+    rest = df.offset(skip) if skip else df
+    return rest if limit is None else rest.limit(limit)
 
 
-def fleet_status(df: DataFrame, as_of=None, limit: int = 50, skip: int = 0) -> DataFrame:
-    """One page of the status table, by robot; at most 1000 rows."""
-    if not 1 <= limit <= 1000:
-        raise ValueError("limit must be in 1..1000")
+def fleet_status(df: DataFrame, as_of=None, limit: int | None = None, skip: int = 0) -> DataFrame:
+    """The status table by robot: every robot, or one page of them."""
     return page(fleet_snapshot(df, as_of).drop("timestamp").orderBy("robot_id"), skip, limit)
 
 

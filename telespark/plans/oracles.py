@@ -527,7 +527,7 @@ def all_oracles() -> dict[str, str]:
         "recent_per_robot_unbounded": _with(f"SELECT robot_id, rn, id, battery, {iso_ts} FROM ({_newest('telemetry', _NOW, 30, None)})", "telemetry"),
         "runtime_remaining": _with("SELECT robot_id, runtime_remaining_minutes FROM snapshot", "snapshot"),
         "fleet_snapshot": _with(f"SELECT {_STATUS_LIST} FROM snapshot", "snapshot"),
-        "fleet_status": _with(f"SELECT {_STATUS_LIST} FROM snapshot ORDER BY robot_id LIMIT 1000", "snapshot"),
+        "fleet_status": _with(f"SELECT {_STATUS_LIST} FROM snapshot ORDER BY robot_id", "snapshot"),
         "fleet_status_page": _with(f"SELECT {_STATUS_LIST} FROM snapshot ORDER BY robot_id LIMIT 5 OFFSET 5", "snapshot"),
         "rate_limit_decisions": _with(
             "SELECT client, id, prior, prior < 3 AS allowed FROM (SELECT t.robot_id AS client, t.id, "
@@ -539,7 +539,7 @@ def all_oracles() -> dict[str, str]:
         # sorts, limits
         "recent_telemetry": _with(f"SELECT {stored} FROM (SELECT * FROM telemetry ORDER BY id DESC LIMIT 50 OFFSET 10)", "telemetry"),
         "recent_events": _with(f"SELECT id, robot_id, message, {iso_ts} FROM (SELECT * FROM robot_events ORDER BY timestamp DESC, id DESC LIMIT 50)", "robot_events"),
-        "telemetry_ordered": _with(f"SELECT id, robot_id, {iso_ts} FROM (SELECT * FROM telemetry ORDER BY timestamp, id LIMIT 5000)", "telemetry"),
+        "telemetry_ordered": _with(f"SELECT id, robot_id, {iso_ts} FROM (SELECT * FROM telemetry ORDER BY timestamp, id)", "telemetry"),
         "event_log_tail": _with(
             f"SELECT robot_id, payload FROM ({_OUTGOING}) WHERE logged ORDER BY timestamp DESC, robot_id DESC, payload DESC LIMIT 50",
             "telemetry", "robot_events", "changes",
@@ -642,7 +642,8 @@ def _stream_oracles(batch: dict[str, str]) -> dict[str, str]:
             "classified",
         ),
         "ingest_stream_rejects": _with(
-            "SELECT DISTINCT cast(id AS varchar) AS msg_id, 'battery: no usable value' AS reason FROM classified WHERE class = 'null_battery'", "classified"
+            "SELECT DISTINCT cast(id AS varchar) AS msg_id, CASE class WHEN 'null_battery' THEN 'battery: no usable value' ELSE 'not a reading: ' || class END AS reason "
+            "FROM classified WHERE class IN ('null_battery', 'corrupt', 'event')", "classified"
         ),
         "ingest_metrics": _with(f"SELECT count(*) AS readings_ingested FROM ({stored})", "classified"),
         "dedupe_stream": "SELECT cast(event_id AS varchar) AS msg_id FROM events",

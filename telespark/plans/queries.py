@@ -352,7 +352,7 @@ def fleet_snapshot(spark, sf):
 
 
 def fleet_status(spark, sf):
-    return status.fleet_status(_telemetry(spark, sf), AS_OF, limit=1000)
+    return status.fleet_status(_telemetry(spark, sf), AS_OF)
 
 
 def fleet_status_page(spark, sf):

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from telespark import schemas
 from telespark.operators.decode import stamp_ingest_time
+from telespark.operators.status import page
 
 FORMATS = ("parquet", "json", "orc", "csv")
+#: Batch of rows that no stream batch wrote.
+APPENDED = -1
 
 
 def _read(spark: SparkSession, schema, path: str, fmt: str) -> DataFrame:
@@ -19,12 +22,16 @@ def _read(spark: SparkSession, schema, path: str, fmt: str) -> DataFrame:
     return spark.read.schema(schema).format(fmt).load(path)
 
 
-def read_telemetry(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The telemetry table; `dt` is its day partition."""
-    schema = type(schemas.TELEMETRY)(list(schemas.TELEMETRY.fields)).add("dt", "date")
+def _stored_telemetry(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    schema = type(schemas.TELEMETRY)(list(schemas.TELEMETRY.fields)).add("dt", "date").add("batch_id", "long")
     return _read(spark, schema, path, fmt)
 
 
+def read_telemetry(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """The telemetry table, as append_telemetry and stream ingest write it; `dt` is its day partition."""
+    return _stored_telemetry(spark, path, fmt).drop("batch_id")
+
+
 def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     schema = type(schemas.EVENTS)(list(schemas.EVENTS.fields)).add("dt", "date")
     return _read(spark, schema, path, fmt)
@@ -42,8 +49,9 @@ def _append_by_day(df: DataFrame, path: str, ts: str) -> None:
 
 
 def append_telemetry(df: DataFrame, path: str) -> None:
-    """Bulk append, partitioned by day and clustered by (robot_id, timestamp) inside the files."""
-    _append_by_day(df, path, "timestamp")
+    """Bulk append to the table that stream ingest writes too: by day and batch, here APPENDED, clustered by (robot_id, timestamp)."""
+    daily = df.withColumn("dt", F.to_date("timestamp")).withColumn("batch_id", F.lit(APPENDED).cast("bigint")).hint("rebalance", "dt")
+    daily.sortWithinPartitions("dt", "robot_id", "timestamp").write.mode("append").partitionBy("dt", "batch_id").parquet(path)
 
 
 def append_events(df: DataFrame, path: str, as_of=None) -> None:
@@ -71,43 +79,46 @@ def retention_job(spark: SparkSession, path: str, as_of: datetime, days: int = 1
     """Prunes a stored table in place and returns the number of deleted rows.
 
     Whole days before the cutoff are dropped without being read (but for their row counts, which
-    come from file footers); only the cutoff's own day is rewritten, through a staged partition
-    overwrite, so a failed run leaves the table as it was.
+    come from file footers). Of the cutoff's own day only the batches that hold expired rows are rewritten, through a staged
+    overwrite of their folders, or dropped if nothing of them stays. So a failed run leaves the table as it was, and batches that
+    ingest adds meanwhile are not touched.
     """
     cutoff = as_of - timedelta(days=days)
-    table = read_telemetry(spark, path)
-    old_days = table.filter(F.col("dt") < F.lit(cutoff.date()))
+    table = _stored_telemetry(spark, path)
+    old_days = table.filter(F.col("dt") < F.lit(cutoff.date())).groupBy("dt").agg(F.count(F.lit(1)).alias("n")).collect()
     boundary = table.filter(F.col("dt") == F.lit(cutoff.date()))
-    deleted_days = old_days.count()
-    kept, expired = kept_rows(boundary, as_of, days), expired_rows(boundary, as_of, days)
-    deleted_boundary, kept_any = expired.count(), not kept.isEmpty()
-    drop = [r["dt"] for r in old_days.select("dt").distinct().collect()]
-    if deleted_boundary and kept_any:
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
-    elif deleted_boundary:
-        drop.append(cutoff.date())
-    _drop_day_folders(spark, path, drop)
-    return deleted_days + deleted_boundary
-
-
-def _drop_day_folders(spark: SparkSession, path: str, days: list) -> None:
+    old = F.col("timestamp") < F.lit(as_of) - F.expr(f"INTERVAL '{int(days)}' DAY")
+    batches = boundary.groupBy("batch_id").agg(F.count_if(old).alias("expired"), F.count_if(~old).alias("kept")).collect()
+    partly = [r["batch_id"] for r in batches if r["expired"] and r["kept"]]
+    if partly:
+        kept = kept_rows(boundary.filter(F.col("batch_id").isin(partly)), as_of, days)
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch_id").parquet(path)
+    gone = [f"dt={r['dt'].isoformat()}" for r in old_days]
+    if batches and not any(r["kept"] for r in batches):
+        gone.append(f"dt={cutoff.date().isoformat()}")
+    else:
+        gone += [f"dt={cutoff.date().isoformat()}/batch_id={r['batch_id']}" for r in batches if not r["kept"]]
+    _drop_folders(spark, path, gone)
+    return sum(r["n"] for r in old_days) + sum(r["expired"] for r in batches)
+
+
+def _drop_folders(spark: SparkSession, path: str, folders: list[str]) -> None:
     jvm = spark._jvm.org.apache.hadoop.fs
     root = jvm.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for day in days:
-        fs.delete(jvm.Path(root, f"dt={day.isoformat()}"), True)
+    for folder in folders:
+        fs.delete(jvm.Path(root, folder), True)
 
 
-def recent_telemetry(df: DataFrame, limit: int = 50, skip: int = 0) -> DataFrame:
-    """Newest rows by id; at most 200 a page."""
-    return df.orderBy(F.desc("id")).offset(skip).limit(min(limit, 200))
+def recent_telemetry(df: DataFrame, limit: int | None = None, skip: int = 0) -> DataFrame:
+    """Rows by id, newest first: all, or one page."""
+    return page(df.orderBy(F.desc("id")), skip, limit)
 
 
-def recent_events(df: DataFrame, limit: int = 50, skip: int = 0) -> DataFrame:
-    if not 1 <= limit <= 1000 or skip < 0:
-        raise ValueError("limit must be in 1..1000 and skip must not be negative")
-    return df.orderBy(F.desc("timestamp"), F.desc("id")).offset(skip).limit(limit)
+def recent_events(df: DataFrame, limit: int | None = None, skip: int = 0) -> DataFrame:
+    """Events, newest first: all, or one page."""
+    return page(df.orderBy(F.desc("timestamp"), F.desc("id")), skip, limit)
 
 
-def telemetry_ordered(df: DataFrame, limit: int = 5000) -> DataFrame:
-    return df.orderBy("timestamp", "id").limit(limit)
+def telemetry_ordered(df: DataFrame, limit: int | None = None) -> DataFrame:
+    return page(df.orderBy("timestamp", "id"), 0, limit)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from telespark import schemas
 from telespark.operators import decode
+from telespark.operators.slices import running_position
 from telespark.session import prepare_streaming
 
 WATERMARK = "10 minutes"
@@ -29,19 +33,11 @@ def from_kafka(records: DataFrame) -> DataFrame:
 
 
 def dedupe_stream(messages: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """One delivery per message id among those at most `delay` apart."""
-    return messages.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["msg_id"])
-
-
-def normalize_stream(messages: DataFrame) -> DataFrame:
-    """Readings with an arrival id; one without a usable time gets its arrival time."""
-    readings = decode.normalize_telemetry(decode.telemetry_messages(messages), F.col("received_at"))
-    return readings.withColumn("id", arrival_id())
+    """One delivery per message id among those at most `delay` apart, for streams that keep nothing they could look up.
 
-
-def arrival_id():
-    """Increases with arrival time and comes out the same when a batch is repeated."""
-    return F.unix_micros("received_at") * 1000 + F.pmod(F.xxhash64("msg_id"), F.lit(1000))
+    Spark drops rows older than the watermark here; ingest_stream, which looks into its table instead, keeps them.
+    """
+    return messages.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["msg_id"])
 
 
 def ingest_metrics(df: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation]:
@@ -50,6 +46,36 @@ def ingest_metrics(df: DataFrame, name: str = "ingest") -> tuple[DataFrame, Obse
     return df.observe(seen, F.count(F.lit(1)).alias("readings_ingested")), seen
 
 
+def numbered(readings: DataFrame, batch_id: int) -> DataFrame:
+    """Readings with unique ids: the batch in the high bits, below it a position by arrival second, a hash, time and message id.
+
+    The same messages get the same ids when a batch is repeated. Positions are counted in slices of a second and a hash
+    of the message id, so that a batch that arrived in one instant is not one task.
+    """
+    sliced = readings.withColumn("_slice", F.struct(F.unix_seconds("received_at"), F.pmod(F.xxhash64("msg_id"), F.lit(16))))
+    placed = running_position(sliced.withColumn("_all", F.lit(0)), ["_all"], ["received_at", "msg_id"], "_slice", "id")
+    return placed.drop("_all").withColumn("id", F.shiftleft(F.lit(batch_id).cast("bigint"), 36) + F.col("id"))
+
+
+def _stored_ids(spark: SparkSession, path: str, days: list, batch_id: int) -> DataFrame | None:
+    """Message ids that other batches stored under these days, or None before the first batch."""
+    try:
+        table = spark.read.schema("msg_id string, dt date, batch_id bigint").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return table.where(F.col("dt").isin(days) & (F.col("batch_id") != batch_id)).select("msg_id")
+
+
+def _unseen(df: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Rows whose message no other batch has stored. Only the days that the rows fall on, and those before, are read."""
+    days = [r["dt"] for r in df.select("dt").distinct().collect()]  # a value per calendar day
+    days = sorted({d - timedelta(days=back) for d in days if d is not None for back in (0, 1)})
+    stored = _stored_ids(df.sparkSession, path, days, batch_id) if days else None
+    return df if stored is None else df.join(stored, "msg_id", "left_anti")
+
+
 def _write_once(df: DataFrame, path: str, batch_id: int) -> None:
     """Each batch owns its (dt, batch_id) folders, so a repeated batch replaces itself."""
     stamped = df.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "dt")
@@ -57,24 +83,35 @@ def _write_once(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def store_batch(table: str, rejects: str, on_metrics=None):
-    """A foreachBatch writer: readings to `table`, the rest to `rejects`, decoded once for both."""
+    """A foreachBatch writer: readings to `table`, all other messages to `rejects` with payload and reason, decoded once for both.
+
+    No message is lost for its age. Repeats within a batch are merged, those of other batches are recognised by the message ids
+    stored under the same days.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        readings = normalize_stream(batch).persist()
+        messages = decode.dedupe_messages(batch.select("msg_id", "payload", "received_at")).withColumn("raw", F.col("payload"))
+        kinds = decode.decode_messages(messages).persist()
         try:
-            good, bad = decode.quarantine_nulls(readings)
-            counted, seen = ingest_metrics(good.withColumn("dt", F.to_date("timestamp")), f"ingest-{batch_id}")
+            readings = decode.normalize_telemetry(kinds.where("kind = 'telemetry'"), F.col("received_at"))
+            good, nulls = decode.quarantine_nulls(readings)
+            # The day of arrival for what has no usable values; the rest is kept as it came.
+            others = kinds.where("kind != 'telemetry'").select("msg_id", "received_at", "raw", "kind", F.concat(F.lit("not a reading: "), "kind").alias("reason"))
+            bad = nulls.select("msg_id", "received_at", "raw", F.lit("telemetry").alias("kind"), "reason").unionByName(others)
+            fresh = numbered(_unseen(good.drop("raw").withColumn("dt", F.to_date("timestamp")), table, batch_id), batch_id)
+            counted, seen = ingest_metrics(fresh, f"ingest-{batch_id}")
             _write_once(counted, table, batch_id)
-            _write_once(bad.withColumn("dt", F.to_date("received_at")), rejects, batch_id)
+            set_aside = bad.withColumnRenamed("raw", "payload").withColumn("dt", F.to_date("received_at"))
+            _write_once(_unseen(set_aside, rejects, batch_id), rejects, batch_id)
             if on_metrics is not None:
                 on_metrics(batch_id, seen.get["readings_ingested"])
         finally:
-            readings.unpersist()
+            kinds.unpersist()
 
     return write
 
 
 def ingest_stream(messages: DataFrame, table: str, rejects: str, checkpoint: str, on_metrics=None, **trigger) -> StreamingQuery:
     """Runs the ingest; with no trigger given it drains what is there and stops."""
-    writer = dedupe_stream(messages).writeStream.option("checkpointLocation", checkpoint)
+    writer = messages.writeStream.option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(store_batch(table, rejects, on_metrics)).start()

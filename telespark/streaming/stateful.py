@@ -29,7 +29,7 @@ class LiveStatus(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.latest = handle.getValueState("latest", "us bigint, id int, status string, shown string")
+        self.latest = handle.getValueState("latest", "us bigint, id bigint, status string, shown string")
 
     def handleInputRows(self, key, rows, timerValues):
         us, id_, status = _rows(rows, "us", "id", "status")[-1]
@@ -110,7 +110,7 @@ def geofence_stream(readings: DataFrame, cooldown_seconds: int = K.FENCE_COOLDOW
     narrow = readings.select("robot_id", "id", F.unix_micros("timestamp").alias("us"), distance.alias("distance"))
     decisive = narrow.filter((F.col("distance") < K.FENCE_ENTER) | (F.col("distance") > K.FENCE_EXIT))
     return decisive.groupBy("robot_id").transformWithStateInPandas(
-        FenceAlerts(cooldown_seconds), "id int, robot_id int, us bigint", "Append", "None"
+        FenceAlerts(cooldown_seconds), "id bigint, robot_id int, us bigint", "Append", "None"
     )
 
 

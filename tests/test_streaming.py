@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from telespark import schemas
 from telespark.operators import live, spatial
 from telespark.session import prepare_streaming
-from telespark.sources import fixtures
+from telespark.sources import fixtures, tables
 from telespark.streaming import ingest, stateful, views
 
 
@@ -40,7 +40,8 @@ def test_ingest_over_batches(spark, tmp_path):
     write_messages(spark, source, [("m4", reading(4, 50.0, T0), T0 + timedelta(seconds=60)), ("m5", reading(5, 50.0, T0), T0 + timedelta(seconds=61))])
     run()
     assert sorted(r.msg_id for r in spark.read.parquet(table).collect()) == [f"m{i}" for i in range(6)]
-    assert [(r.msg_id, r.reason) for r in spark.read.parquet(rejects).collect()] == [("null", "battery: no usable value")]
+    aside = sorted((r.msg_id, r.payload, r.reason) for r in spark.read.parquet(rejects).collect())
+    assert aside == [("bad", "junk{", "not a reading: corrupt"), ("event", '{"type":"EVENT"}', "not a reading: event"), ("null", '{"battery":null}', "battery: no usable value")]
     assert sum(counts.values()) == 6
     back = spark.read.schema(schemas.TELEMETRY).parquet(table)
     assert back.orderBy(F.desc("id")).first().robot_id == 5
@@ -58,6 +59,35 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     assert sorted(r.msg_id for r in spark.read.parquet(table).collect()) == ["m0", "m1", "m2", "m3", "m9"]
 
 
+def test_late_messages_stay_and_late_repeats_go(spark, tmp_path):
+    prepare_streaming(spark)
+    table, rejects = str(tmp_path / "table"), str(tmp_path / "rejects")
+    write = ingest.store_batch(table, rejects)
+    batches = [
+        [(f"m{i}", reading(i, 50.0, T0), T0 + timedelta(minutes=30)) for i in range(5)] + [("bad", "junk{", T0)],
+        [(f"late{i}", reading(i, 40.0, T0 - timedelta(days=2)), T0 - timedelta(hours=1)) for i in range(5)],
+        [("m3", reading(3, 50.0, T0), T0 + timedelta(hours=3)), ("bad", "junk{", T0 + timedelta(hours=3)), ("new", reading(7, 1.0, T0), T0)] * 2,
+    ]
+    for i, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, schemas.MESSAGES), i)
+    stored = tables.read_telemetry(spark, table)
+    assert stored.count() == 11 and spark.read.parquet(rejects).count() == 1
+    assert stored.select("id").distinct().count() == 11
+    # Retention on the table that ingest writes, then more ingest.
+    assert tables.retention_job(spark, table, T0 + timedelta(hours=12)) == 5
+    write(spark.createDataFrame([("after", reading(8, 1.0, T0), T0)], schemas.MESSAGES), 3)
+    assert sorted(r.robot_id for r in tables.read_telemetry(spark, table).collect()) == [0, 1, 2, 3, 4, 7, 8]
+    alerts = stateful.geofence_stream(spark.readStream.schema(stored.schema).option("recursiveFileLookup", "true").parquet(table), 900)
+    assert run_to_memory(alerts, "ingested_alerts").count() == 0
+
+
+def test_ids_of_one_instant_are_unique_and_repeat(spark):
+    messages = spark.range(100_000).select(F.concat(F.lit("m"), "id").alias("msg_id"), F.lit(T0).alias("received_at"))
+    first, again = ingest.numbered(messages, 7), ingest.numbered(messages.repartition(5), 7)
+    assert first.select("id").distinct().count() == 100_000
+    assert first.join(again, ["msg_id", "id"]).count() == 100_000
+
+
 def run_to_memory(df, name):
     query = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
