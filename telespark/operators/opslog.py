@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telespark.constants import UNRANKED_TESTS
-from telespark.operators.slices import order_statistics, time_slice, top_n_per_key
+from telespark.operators.slices import order_statistics, top_n_per_key
 
 OK_STATUS = 200
 
@@ -106,23 +106,25 @@ def rate_limit_decisions(
     """Each request with `prior` (requests of its client in the open window before it) and `allowed`.
 
     Rejected requests count too; requests at one instant are one entry of the window, which the
-    later ones of them already see. Time is cut into window-long slices; each request is also
-    handed to the next slice as context, so a client is never handled by one task as a whole.
+    later ones of them already see. An instant enters the count right after itself and leaves it a window later: a running
+    sum of these steps counts what the window holds, in time that grows with the requests, however many a window has. Time is cut
+    into window-long slices, whose sums are carried on, so a client is never handled by one task as a whole.
     """
     micros = window_seconds * 1_000_000
-    own = time_slice(F.col(ts), window_seconds)
-    copies = F.array(
-        F.struct(own.alias("_slice"), F.lit(False).alias("_context")),
-        F.struct((own + 1).alias("_slice"), F.lit(True).alias("_context")),
-    )
-    spread = log.select(client, ts, id_column, F.unix_micros(ts).alias("_us"), F.inline(copies))
-    in_order = Window.partitionBy(client, "_slice").orderBy("_us", id_column)
-    in_window = Window.partitionBy(client, "_slice").orderBy("_us").rangeBetween(-(micros - 1), -1)
-    repeat = F.coalesce(F.lag("_us").over(in_order) == F.col("_us"), F.lit(False))
-    counted = spread.withColumn("_repeat", repeat).withColumn("_seen", F.count_if(~F.col("_repeat")).over(in_window))
-    prior = (F.coalesce("_seen", F.lit(0)) + F.col("_repeat").cast("int")).cast("bigint")
-    return (
-        counted.filter(~F.col("_context"))
-        .withColumn("prior", prior)
-        .select(client, ts, id_column, "prior", (F.col("prior") < max_requests).alias("allowed"))
-    )
+    requests = log.select(client, F.unix_micros(ts).alias("_us"), F.lit(1).alias("_kind"), F.lit(0).alias("_step"), ts, id_column)
+    instants = requests.select(client, "_us").distinct()
+    none = [F.lit(None).cast(log.schema[c].dataType).alias(c) for c in (ts, id_column)]
+    # At one time, leaving comes before the requests and entering after them.
+    leaving = instants.select(client, F.col("_us") + micros, F.lit(0), F.lit(-1), *none)
+    entering = instants.select(client, "_us", F.lit(2), F.lit(1), *none)
+    steps = requests.union(leaving).union(entering).withColumn("_slice", F.floor(F.col("_us") / micros))
+    in_order = Window.partitionBy(client, "_slice").orderBy("_us", "_kind", id_column)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    repeat = F.coalesce((F.lag("_us").over(in_order) == F.col("_us")) & (F.lag("_kind").over(in_order) == 1), F.lit(False))
+    counted = steps.withColumn("_seen", F.sum("_step").over(so_far)).withColumn("_repeat", repeat).where("_kind = 1")
+    earlier = Window.partitionBy(client).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = steps.groupBy(client, "_slice").agg(F.sum("_step").alias("_sum"))
+    carried = sums.select(F.col(client).alias("_client"), F.col("_slice").alias("_at"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
+    joined = counted.join(carried, F.col(client).eqNullSafe(F.col("_client")) & (F.col("_slice") == F.col("_at")))
+    prior = (F.col("_seen") + F.col("_carried") + F.col("_repeat").cast("int")).cast("bigint")
+    return joined.withColumn("prior", prior).select(client, ts, id_column, "prior", (F.col("prior") < max_requests).alias("allowed"))

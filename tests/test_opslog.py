@@ -6,6 +6,7 @@ import statistics
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from telespark.operators import opslog
 
@@ -93,3 +94,11 @@ def test_rate_limit(spark, limit, window):
             want[i] = (len(seen), len(seen) < limit)
             seen.add(at)
     assert got == want
+
+
+def test_rate_limit_of_one_busy_client(spark):
+    """A client with very many requests in one window is counted in linear time."""
+    log = spark.range(300_000).select(F.lit("c").alias("client"), F.timestamp_micros(F.col("id") * 150).alias("requested_at"), "id")
+    out = opslog.rate_limit_decisions(log, max_requests=600)
+    row = out.agg(F.max("prior").alias("most"), F.count_if("allowed").alias("allowed")).first()
+    assert (row.most, row.allowed) == (299_999, 600)
