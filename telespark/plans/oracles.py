@@ -468,7 +468,7 @@ def all_oracles() -> dict[str, str]:
         ),
         "chart_series": _with("SELECT concat('R', robot_id) AS name, battery, temperature, speed FROM snapshot", "snapshot"),
         "find_command": _with(f"SELECT {_COMMAND_LIST} FROM commands WHERE id = 'C-42'", "commands"),
-        "find_by_idempotency_key": _with(f"SELECT {_COMMAND_LIST} FROM commands WHERE robot_id = 7 AND idempotency_key = 'key-42'", "commands"),
+        "find_by_idempotency_key": _with(f"SELECT {_COMMAND_LIST} FROM commands WHERE robot_id = 0 AND idempotency_key = 'key-318'", "commands"),
         # joins and key matching
         "prune_telemetry": _with(f"SELECT id, robot_id, {iso_ts} FROM telemetry WHERE timestamp >= {_CUTOFF}", "telemetry"),
         "prune_telemetry_deleted": _with(f"SELECT count(*) AS deleted FROM telemetry WHERE timestamp < {_CUTOFF}", "telemetry"),

@@ -219,7 +219,7 @@ def find_command(spark, sf):
 
 
 def find_by_idempotency_key(spark, sf):
-    return _command_columns(commands.find_by_idempotency_key(fx.commands(spark, sf), 7, "key-42"))
+    return _command_columns(commands.find_by_idempotency_key(fx.commands(spark, sf), 0, "key-318"))
 
 
 # ── joins and key matching ──
