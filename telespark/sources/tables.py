@@ -49,9 +49,10 @@ def _append_by_day(df: DataFrame, path: str, ts: str) -> None:
 
 
 def append_telemetry(df: DataFrame, path: str) -> None:
-    """Bulk append to the table that stream ingest writes too: by day and batch, here APPENDED, clustered by (robot_id, timestamp)."""
+    """Bulk append to the table that stream ingest writes too: by day and batch, here APPENDED. Files are in order of hour,
+    robot and time: row groups of other hours are skipped by a recent window, and robots stay together within one."""
     daily = df.withColumn("dt", F.to_date("timestamp")).withColumn("batch_id", F.lit(APPENDED).cast("bigint")).hint("rebalance", "dt")
-    daily.sortWithinPartitions("dt", "robot_id", "timestamp").write.mode("append").partitionBy("dt", "batch_id").parquet(path)
+    daily.sortWithinPartitions("dt", F.date_trunc("hour", "timestamp"), "robot_id", "timestamp").write.mode("append").partitionBy("dt", "batch_id").parquet(path)
 
 
 def append_events(df: DataFrame, path: str, as_of=None) -> None:

@@ -17,9 +17,11 @@ from telespark.session import prepare_streaming
 WATERMARK = "10 minutes"
 
 
-def read_messages(spark: SparkSession, path: str, max_files: int = 1000, fmt: str = "parquet", **options) -> DataFrame:
-    """A stream of (msg_id, payload, received_at); the batch size is bounded per trigger."""
+def read_messages(spark: SparkSession, path: str | None = None, max_files: int = 1000, fmt: str = "parquet", **options) -> DataFrame:
+    """A stream of (msg_id, payload, received_at), from files or Kafka; the batch size of files is bounded per trigger."""
     reader = prepare_streaming(spark).readStream.format(fmt).options(**options)
+    if fmt == "kafka":  # has columns of its own; options name its servers and topics
+        return from_kafka(reader.load())
     return reader.schema(schemas.MESSAGES).option("maxFilesPerTrigger", max_files).load(path)
 
 
@@ -77,8 +79,8 @@ def _unseen(df: DataFrame, path: str, batch_id: int) -> DataFrame:
 
 
 def _write_once(df: DataFrame, path: str, batch_id: int) -> None:
-    """Each batch owns its (dt, batch_id) folders, so a repeated batch replaces itself."""
-    stamped = df.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "dt")
+    """Each batch owns its (dt, batch_id) folders, so a repeated batch replaces itself. Files are in order of arrival."""
+    stamped = df.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "dt").sortWithinPartitions("dt", "received_at")
     stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch_id").parquet(path)
 
 
