@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from telespark.llm import bpe, langid, licenses, media, mixing, paragraphs, secrets, simhash, topk, toxicity
 from telespark.llm.common import remainder, table
+from telespark.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,14 +35,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), toxicity.score(spark, "text", model).alias("score"))
+    scored = docs.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), toxicity.score(spark, "text", model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs)
-    found = docs.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), langid.predict(spark, "text", model).alias("p"))
+    found = docs.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), langid.predict(spark, "text", model).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
@@ -76,4 +77,4 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -51,3 +51,9 @@ def test_awkward(spark):
     got = {tuple(r) for r in topk.top_k(frame, F.col("id") % 20 == 0).collect()}
     assert got == {(0, 1, 9, 64 * 64 * 5), (0, 2, 20, 64 * 96), (20, 1, 0, 64 * 96), (20, 2, 9, 64 * 64)}
     assert topk.top_k(frame.where(F.lit(False)), F.col("id") % 20 == 0).count() == 0
+
+
+def test_query_equals_its_sql(spark, sf):
+    from compare import connect, spark_rows, sql_rows
+
+    assert spark_rows(queries.op7_exact_top_k(spark, sf)) == sql_rows(connect(sf), queries.llm_oracles()["op7_exact_top_k"])
