@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-KNOWN_WORDS = 150_000
-KNOWN_PAIRS = 300_000
-BLOCK_BYTES = 3 << 20
+from telespark.llm.common import small_batches
+
+KNOWN_WORDS = 100_000
+KNOWN_PAIRS = 200_000
+BLOCK_BYTES = 2 << 20
 FEW = 24
 
 
@@ -229,6 +231,7 @@ def encode(spark: SparkSession, text: Column | str, ranks_path: str, pattern: st
     KNOWN_WORDS different words. Nothing is shuffled, and no text is cut, however long. The vocabulary is read
     once, on the driver, and broadcast: its size is the file's.
     """
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     @F.arrow_udf("array<int>")
@@ -237,7 +240,7 @@ def encode(spark: SparkSession, text: Column | str, ranks_path: str, pattern: st
         split = splitter(pattern)
         known: dict[str, bytes] = {}
         for batch in batches:
-            offsets, values = [0], []
+            offsets, values = [0], bytearray()
             pending: list[list[str]] = []
             size = 0
 
@@ -248,9 +251,8 @@ def encode(spark: SparkSession, text: Column | str, ranks_path: str, pattern: st
                 both = known if len(fresh) <= room else known | new
                 known.update(new if len(fresh) <= room else islice(new.items(), max(room, 0)))
                 for words in pending:
-                    packed = b"".join(map(both.__getitem__, words))
-                    offsets.append(offsets[-1] + len(packed) // 4)
-                    values.append(packed)
+                    values.extend(b"".join(map(both.__getitem__, words)))
+                    offsets.append(len(values) // 4)
                 pending.clear()
 
             for value in batch:
@@ -261,7 +263,7 @@ def encode(spark: SparkSession, text: Column | str, ranks_path: str, pattern: st
                     flush()
                     size = 0
             flush()
-            ids = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(values))])
+            ids = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(values)])
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)
 
     return compute(text)
@@ -269,12 +271,20 @@ def encode(spark: SparkSession, text: Column | str, ranks_path: str, pattern: st
 
 def decode(spark: SparkSession, ids: Column | str, ranks_path: str) -> Column:
     """binary: the bytes that a column of id arrays stands for. Null ids give null; an id outside the vocabulary is an error."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     @F.arrow_udf("binary")
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         token = dict(enumerate(shared.value)).__getitem__
         for batch in batches:
-            yield pa.array([b"".join(map(token, v.values.to_numpy().tolist())) if v.is_valid else None for v in batch], pa.binary())
+            offsets, values, missing = [0], bytearray(), []
+            for v in batch:
+                values.extend(b"".join(map(token, v.values.to_numpy().tolist())) if v.is_valid else b"")
+                offsets.append(len(values))
+                missing.append(not v.is_valid)
+            valid = None if not any(missing) else pa.array([not m for m in missing]).buffers()[1]
+            ends = pa.array(offsets, pa.int32()).buffers()[1]
+            yield pa.Array.from_buffers(pa.binary(), len(batch), [valid, ends, pa.py_buffer(values)])
 
     return compute(ids)

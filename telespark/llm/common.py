@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 1,000 rows to Python instead of Spark's default of 10,000, which take hundreds of MB of a worker where texts are long.
+
+    A setting that the session's owner has chosen stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from the shared checkpoint folder: lineage ends here, and a lost executor loses nothing."""
     context = df.sparkSession.sparkContext

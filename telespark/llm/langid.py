@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm.common import remainder
+from telespark.llm.common import remainder, small_batches
 
 UNKNOWN = "und"
 #: Most documents and words of each that the model is fitted on.
@@ -20,7 +20,7 @@ TRAIN_DOCS = 1500
 TRAIN_WORDS = 160
 BUCKETS = 1 << 16
 STRETCH = 128
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 BATCH_WORDS = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -156,7 +156,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     """A model of the labels in `lang`, learned from at most `docs_most` documents.
 
     Documents whose crc32(id) mod 4 is 2 are held out; null labels and null ids are not used. The sample is drawn by a hash of the id and
-    is bounded: its rows, cut to the words that training reads, are all that comes to the driver. Every label has an equal
+    is bounded: docs_most documents and TRAIN_WORDS words of each are all that comes to the driver. Prediction reads whole texts. Every label has an equal
     part of it, so that rare languages are learned too.
     """
     usable = docs.where((remainder(doc_id, 4) != 2) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
@@ -191,6 +191,8 @@ class _Words(dict):
 
 def label_words(texts: list[str | None], model: Model, known: _Words | None = None) -> list[np.ndarray]:
     """Posteriors (words x labels) of each text's words; chains are stretches of up to STRETCH words, and whole texts are read."""
+    if not model.labels:
+        return [np.zeros((len(words_of(t)), 0), dtype=np.float32) for t in texts]
     known = _Words(model) if known is None else known
     if len(known) > KNOWN_WORDS:
         known.clear()
@@ -225,6 +227,7 @@ def predict(spark: SparkSession, text: Column | str, model: Model) -> Column:
     `lang` has the largest mean posterior over all words of the text, `score` is that mean, and `shares` the means of all
     languages, which show code-switching. A null text, one without letters and any text under a model without labels is `und`, with score 0.
     """
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang: string, score: double, n_words: bigint, shares: map<string, double>>")

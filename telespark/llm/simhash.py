@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telespark.llm.common import cut
+from telespark.llm.common import cut, small_batches
 from telespark.llm.components import connected_components
 from telespark.session import write_and_read
 
@@ -97,6 +97,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     has no other id, when its component_id is null. Repeated rows come back as often as they came. Other columns of
     `docs` are ignored. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     wanted = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), fingerprint(F.col(text)).alias("fp"))
     prints = write_and_read(wanted, "simhash-fp")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm.common import remainder
+from telespark.llm.common import remainder, small_batches
 from telespark.session import write_and_read
 
 #: Most labelled documents that the model is fitted on, and most words that it weighs.
@@ -122,6 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(spark: SparkSession, text: Column | str, model: Model) -> Column:
     """Probability-like score, 0 to 1, of whole texts; a null or empty text gets the score of no words."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
