@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telespark.llm.common import cut
+from telespark.llm.common import cut, small_batches
 from telespark.llm.components import connected_components
 from telespark.session import write_and_read
 
@@ -20,7 +20,7 @@ LEAST_WORDS = 10
 PASSAGE_WORDS = 50
 #: At a similarity of 0.8 a band of 3 agrees with chance 0.51, one of 8 bands with 0.997.
 BANDS, BAND_ROWS = 8, 3
-HOT = 64
+HOT = 8
 _DRAW = np.random.default_rng(11)
 _FACTORS = (_DRAW.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _SHIFTS = _DRAW.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
@@ -107,7 +107,8 @@ def links(classes: DataFrame, docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs (a, b) of different paragraphs that share a band and are similar.
 
     `classes`: exact, text_key and bands of one paragraph of each wording. Bands with up to `hot` wordings make all their pairs. In larger
-    ones every wording is compared with the band's smallest; those that are similar to it are linked already. Each of the others,
+    ones every wording is compared with one of them, that which meets most wordings over all bands, in practice the text that the others were
+    made from; those that are similar to it are linked already. Each of the others,
     at distance d, is compared with all members whose distance is d - 0.2 or more: by the triangle inequality of the
     Jaccard distance no one else can be similar. So groups of near copies make no pairs with their square and
     components are those of all pairs.
@@ -121,7 +122,9 @@ def links(classes: DataFrame, docs: DataFrame, hot: int = HOT) -> DataFrame:
     few, many = met.where(F.col("n") <= hot), met.where(F.col("n") > hot)
     left, right = few.select("key", F.col("exact").alias("a")), few.select("key", F.col("exact").alias("b"))
     pairs = left.join(right, "key").where(F.col("a") < F.col("b")).select("a", "b")
-    centred = many.select("key", F.col("exact").alias("a"), F.min("exact").over(Window.partitionBy("key")).alias("b"))
+    meets = met.groupBy("exact").agg(F.sum("n").alias("meets"))
+    centre = F.max(F.struct("meets", "exact")).over(Window.partitionBy("key"))["exact"]
+    centred = many.join(meets, "exact").select("key", F.col("exact").alias("a"), centre.alias("b"))
     star = write_and_read(_verified(centred.select("a", "b").distinct(), sets), "paragraphs-stars")
     placed = centred.join(star, ["a", "b"]).select("key", "a", "similarity")
     far = placed.where(F.col("similarity") < SIMILAR)
@@ -141,6 +144,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: i
     document, each of which occurs in another document too. Null and empty texts have no paragraphs; a null id is one document; repeated rows of
     one id are one document, whose paragraphs come back as often.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     kinds = "doc_id bigint, text_key bigint, place int, start bigint, end bigint, n_words int, exact bigint, bands array<bigint>"
     found = write_and_read(texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_scan, kinds), "paragraphs")
