@@ -1,4 +1,4 @@
-"""Substring deduplication: paragraphs that repeat across documents, by MinHash banding."""
+"""Substring deduplication: paragraphs that repeat across documents, by MinHash banding; verbatim passages wherever they lie, by winnowing."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 LEAST_WORDS = 10
 PASSAGE_WORDS = 50
+#: Words of a mark: of the shingles of this length in PASSAGE_WORDS words, the least.
+MARK_WORDS = 25
 #: At a similarity of 0.8 a band of 3 agrees with chance 0.51, one of 8 bands with 0.997.
 BANDS, BAND_ROWS = 8, 3
 HOT = 8
@@ -163,3 +165,95 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: i
     passages = run.withColumn("copies", copies).withColumn("passage_words", (words / F.col("copies")).cast("bigint")).where(F.col("passage_words") >= PASSAGE_WORDS)
     removed = ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & F.col("place").eqNullSafe(F.col("first_place")))
     return passages.select("doc_id", "place", "start", "end", "n_words", "first_doc", "first_place", "passage_words", removed.alias("removed"))
+
+
+def _windows_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the MARK_WORDS-word shingles, and of each passage of PASSAGE_WORDS words its least such hash and its own hash."""
+    fives, n = shingle_hashes(words), len(words) - MARK_WORDS + 1
+    marks = np.zeros(n, dtype=np.uint64)
+    for i in range(0, MARK_WORDS, SHINGLE):
+        marks = (marks ^ fives[i : i + n]) * _MIX
+        marks ^= marks >> np.uint64(29)
+    m = len(words) - PASSAGE_WORDS + 1
+    own = np.zeros(m, dtype=np.uint64)
+    for i in (0, PASSAGE_WORDS - MARK_WORDS):
+        own = (own ^ marks[i : i + m]) * _MIX
+        own ^= own >> np.uint64(31)
+    return marks, _slid(marks, PASSAGE_WORDS - MARK_WORDS + 1, np.minimum), own
+
+
+def _slid(values: np.ndarray, n: int, least: np.ufunc) -> np.ndarray:
+    """Least (or most) of each n neighbours."""
+    size, out = 1, values
+    while size < n:
+        step = min(size, n - size)
+        out = least(out[: len(out) - step], out[step:])
+        size += step
+    return out
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The marks of each text: the shingles that are least in some passage."""
+    width = PASSAGE_WORDS - MARK_WORDS
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            docs, keys, texts = batch.slice(at, 256).columns
+            rows: list[list] = [[], [], []]
+            for doc, key, text in zip(docs.to_pylist(), keys.to_pylist(), texts.cast(pa.binary()).to_pylist(), strict=True):
+                words = (text or b"").lower().split()
+                if len(words) < PASSAGE_WORDS:
+                    continue
+                marks, least, _ = _windows_of(words)
+                wide = np.concatenate([np.zeros(width, dtype=np.uint64), least, np.zeros(width, dtype=np.uint64)])
+                found = np.unique(marks[_slid(wide, width + 1, np.maximum) == marks]).astype(np.int64)
+                for column, value in zip(rows, (doc, key, found), strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["doc", "text_key", "marks"])
+
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each passage of PASSAGE_WORDS words whose mark is wanted: its first word's number, its bytes and its hash."""
+    for batch in batches:
+        docs, keys, texts, wanted = (c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), batch.column(3)))
+        for doc, key, text, marks in zip(docs, keys, texts, wanted, strict=True):
+            _, least, own = _windows_of(text.lower().split())
+            at = np.flatnonzero(np.isin(least.astype(np.int64), marks))
+            space = np.concatenate([[True], _SPACE[np.frombuffer(text, dtype=np.uint8)], [True]])
+            starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+            columns = [pa.array(np.full(len(at), doc)), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32))]
+            columns += [pa.array(starts[at]), pa.array(ends[at + PASSAGE_WORDS - 1]), pa.array(own[at].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_key", "at", "start", "end", "passage"])
+
+
+def verbatim(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Stretches of PASSAGE_WORDS words or more that occur word for word in another document, in whatever lines they stand.
+
+    A row each: doc_id, `text_key` (a hash of the text), start and end in bytes of UTF-8, n_words, `first_doc` (where the stretch's first passage occurs first) and `removed`: a
+    stretch is a longest row of overlapping passages that are all the first of their wording, which stay, or all later ones. Stretches of the two kinds
+    may overlap; each word of a removed one has a copy that stays. Words are parted by ASCII white space and lower-cased in ASCII; line ends count as any white space.
+
+    Exact but for equal 64-bit hashes: the least of the MARK_WORDS-word shingles of a passage is the same wherever the passage occurs, so that only
+    passages whose mark other documents have too are compared, by their own hash. Nothing is compared in pairs. Texts of fewer words have no rows; a null
+    id is one document; repeated rows of one id and text have their rows once.
+    """
+    small_batches(docs.sparkSession)
+    missing = -(1 << 62)
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(missing)).alias("doc"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    marked = write_and_read(texts.mapInArrow(_marks, "doc bigint, text_key bigint, marks array<bigint>"), "passages-marks")
+    filed = marked.select("doc", "text_key", F.explode("marks").alias("mark"))
+    shared = filed.groupBy("mark").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("mark")
+    wanted = filed.join(shared, "mark").groupBy("doc", "text_key").agg(F.collect_set("mark").alias("marks"))
+    kinds = "doc bigint, text_key bigint, at int, start bigint, end bigint, passage bigint"
+    met = write_and_read(texts.join(wanted, ["doc", "text_key"]).select("doc", "text_key", "text", "marks").mapInArrow(_passages, kinds), "passages-met")
+    known = met.groupBy("passage").agg(F.min(F.struct("doc", "text_key", "at")).alias("first"), F.max("doc").alias("high")).where("first.doc < high")
+    hit = met.join(known.select("passage", "first"), "passage").withColumn("removed", F.struct("doc", "text_key", "at") != F.col("first"))
+    kind = Window.partitionBy("doc", "text_key", "removed").orderBy("at")
+    begins = F.col("at") - F.lag("at", 1, -PASSAGE_WORDS - 1).over(kind) > PASSAGE_WORDS
+    runs = hit.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(kind))
+    spans = runs.groupBy("doc", "text_key", "removed", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + PASSAGE_WORDS).alias("n_words"), F.min_by("first.doc", "at").alias("first_doc"))
+    named = lambda c: F.when(F.col(c) != missing, F.col(c))
+    return spans.select(named("doc").alias("doc_id"), "text_key", "start", "end", "n_words", named("first_doc").alias("first_doc"), "removed")

@@ -23,6 +23,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated(table(spark, sf_dir, "documents"))
 
 
+def op2_verbatim_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.verbatim(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -73,7 +77,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_byte_bpe, op4_toxicity, op5_language_id, op6_secret_scan, op7_exact_top_k, op8_simhash_near_dedup, op9_media_copies, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op2_verbatim_passages, op3_byte_bpe, op4_toxicity, op5_language_id, op6_secret_scan, op7_exact_top_k, op8_simhash_near_dedup, op9_media_copies, op10_mixing)}
 
 
 def llm_oracles() -> dict[str, str]:

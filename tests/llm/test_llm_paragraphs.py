@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -67,3 +68,51 @@ def test_awkward(spark):
     assert paragraphs.repeated(empty(spark)).count() == 0
     once = spark.createDataFrame([(1, words(1, 80)), (1, words(1, 80)), (2, words(2, 80))], "doc_id bigint, text string")
     assert paragraphs.repeated(once).count() == 0
+
+
+def covered(docs):
+    """{(doc_id, byte)} of the words in runs of 50 words that another document holds too, by comparing all runs."""
+    tokens = {d: [(m.start(), m.group().lower()) for m in re.finditer(rb"[^ \t\n\v\f\r]+", (t or "").encode())] for d, t in docs}
+    where = defaultdict(set)
+    runs = {d: [tuple(w for _, w in found[i : i + 50]) for i in range(len(found) - 49)] for d, found in tokens.items()}
+    for d, found in runs.items():
+        for run in found:
+            where[run].add(d)
+    return {(d, tokens[d][i + k][0]) for d, found in runs.items() for i, run in enumerate(found) if len(where[run]) > 1 for k in range(50)}
+
+
+def spans_covered(docs, rows):
+    texts = {d: (t or "").encode() for d, t in docs}
+    out, gone = set(), set()
+    for r in rows:
+        at = [r.start + m.start() for m in re.finditer(rb"[^ \t\n\v\f\r]+", texts[r.doc_id][r.start : r.end])]
+        assert len(at) == r.n_words >= 50
+        out |= {(r.doc_id, a) for a in at}
+        gone |= {(r.doc_id, a) for a in at} if r.removed else set()
+    return out, gone
+
+
+def test_verbatim_query(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    truth = covered(docs)
+    assert truth and spans_covered(docs, queries.op2_verbatim_passages(spark, sf).collect())[0] == truth
+
+
+def test_passages_inside_longer_lines_and_across_short_ones(spark):
+    shared, wrapped, short = words(1, 57), words(2, 50).split(), words(3, 49)
+    lines = "\n".join(" ".join(wrapped[i : i + 8]) for i in range(0, 50, 8))
+    docs = [
+        (1, f"{words(11, 80, 900)} {shared} {words(12, 60, 900)}"), (2, f"{words(13, 5, 900)} {shared.upper()}\u00a0x {words(14, 40, 900)}"),
+        (3, f"{words(15, 30, 900)}\n{lines}\n{words(16, 9, 900)}"), (4, f"{words(17, 90, 900)} {' '.join(wrapped)}"),
+        (5, f"{short} a {words(18, 30, 900)}"), (6, f"{short} b {words(19, 30, 900)}"), (7, "w " * 70), (8, "w " * 55), (9, None), (10, ""),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = paragraphs.verbatim(frame).collect()
+    found, gone = spans_covered(docs, rows)
+    assert found == covered(docs)
+    assert {r.doc_id for r in rows} == {1, 2, 3, 4, 7, 8}
+    assert {r.doc_id: r.first_doc for r in rows if r.removed} == {2: 1, 4: 3, 7: 7, 8: 7}
+    assert [r.n_words for r in rows if r.doc_id < 3] == [56, 56]
+    assert paragraphs.verbatim(empty(spark)).count() == 0
+    twice = spark.createDataFrame([(1, words(1, 80)), (1, words(1, 80)), (None, words(2, 80)), (None, words(2, 80)), (3, words(2, 80))], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.n_words, r.removed) for r in paragraphs.verbatim(twice).collect()) == [(0, 80, False), (3, 80, True)]
