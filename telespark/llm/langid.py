@@ -9,15 +9,18 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telespark.llm.common import remainder, small_batches
 
 UNKNOWN = "und"
-#: Most documents and words of each that the model is fitted on.
+#: Documents and most words of each that the model is fitted on, places of a text that these come from, least documents of a label, most labels.
 TRAIN_DOCS = 1500
 TRAIN_WORDS = 160
+PLACES = 8
+LABEL_DOCS = 20
+LABELS = 256
 BUCKETS = 1 << 16
 STRETCH = 128
 KNOWN_WORDS = 200_000
@@ -152,26 +155,50 @@ def code_switched(rows: list[tuple[str, str]], labels: tuple[str, ...]) -> list[
     return chains
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_most: int = TRAIN_DOCS) -> Model:
-    """A model of the labels in `lang`, learned from at most `docs_most` documents.
+def _drawn(parts: list[str], seed: int) -> str:
+    """At most TRAIN_WORDS words of a whole text, or of parts cut from its PLACES stretches, in equal shares."""
+    n = TRAIN_WORDS // PLACES
+    if len(parts) > 1:
+        kept = [words_of(part) for part in parts]
+        return " ".join(" ".join((words[1:-1] or words)[:n]) for words in kept)  # the cut may go through the words at the ends
+    words = words_of(parts[0])
+    step = len(words) // PLACES
+    if len(words) <= TRAIN_WORDS:
+        return " ".join(words)
+    begins = np.random.default_rng(seed % (1 << 63)).integers(0, step - n + 1, PLACES) + step * np.arange(PLACES)
+    return " ".join(" ".join(words[i : i + n]) for i in begins.tolist())
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_most: int = TRAIN_DOCS, labels_most: int = LABELS) -> Model:
+    """A model of all labels in `lang`, learned from `docs_most` documents, or from LABEL_DOCS of each label where that is more.
 
     Documents whose crc32(id) mod 4 is 2 are held out; null labels and null ids are not used. The sample is drawn by a hash of the id and
-    is bounded: docs_most documents and TRAIN_WORDS words of each are all that comes to the driver. Prediction reads whole texts. Every label has an equal
-    part of it, so that rare languages are learned too.
+    is bounded: these documents and TRAIN_WORDS words of each are all that comes to the driver, the words from places drawn by the same hash in each of
+    PLACES equal stretches of the whole text. Prediction reads whole texts. Every label has an equal
+    part of it, so that rare languages are learned too. The model grows with the labels (0.5 MB each); more than `labels_most` raise an error, none is left out.
     """
     usable = docs.where((remainder(doc_id, 4) != 2) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    labels = tuple(r[0] for r in usable.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).select("lang").collect())
+    usable = usable.select(F.col(lang).alias("label"), F.xxhash64(doc_id).alias("draw"), F.col(text).alias("text"))
+    ids = usable.select("label", "draw").distinct()
+    sizes = {r[0]: r[1] for r in ids.groupBy("label").agg(F.count(F.lit(1))).limit(labels_most + 1).collect()}
+    labels = tuple(sorted(sizes))
+    if len(labels) > labels_most:
+        raise ValueError(f"`{lang}` has more than {labels_most} labels; pass a larger labels_most")
     if not labels:
         return Model((), np.zeros((BUCKETS, 0)), np.zeros((0, 0)), np.zeros(0))
-    each = max(1, docs_most // len(labels))
-    start = F.substring(F.col(text), 1, TRAIN_WORDS * 12)
-    picked = [usable.where(F.col(lang) == label).select(start.alias("text"), F.lit(label).alias("label"), F.xxhash64(doc_id).alias("draw")).orderBy("draw", "text").limit(each) for label in sorted(labels)]
-    sample = picked[0]
-    for more in picked[1:]:
-        sample = sample.union(more)
-    rows = [(r["text"], r["label"]) for r in sample.collect()]
-    names = tuple(sorted(labels))
-    return fit(code_switched(rows, names), names)
+    each = max(LABEL_DOCS, docs_most // len(labels))
+    # Draws are uniform: of a label's ids, those below this limit are at least `each`, and few enough to be ordered in one place.
+    limits = F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, (2 * each + 64) / n)])
+    first = lambda *by: F.row_number().over(Window.partitionBy("label").orderBy(*by))
+    picked = ids.where(F.col("draw") / F.lit(2.0**64) + 0.5 <= F.element_at(limits, F.col("label"))).withColumn("order", first("draw")).where(F.col("order") <= each)
+    ranked = usable.join(F.broadcast(picked.select("label", "draw")), ["label", "draw"]).withColumn("order", first("draw", "text")).where(F.col("order") <= each)
+    reach, length = TRAIN_WORDS * 12 // PLACES, F.length("text")
+    stretch = F.floor(length / PLACES).cast("int")
+    part = lambda i: F.substring("text", (stretch * i + 1 + F.pmod(F.xxhash64("draw", F.lit(i)), stretch - reach + 1)).cast("int"), F.lit(reach))
+    parts = F.when(length <= reach * PLACES, F.array("text")).otherwise(F.array(*[part(i) for i in range(PLACES)]))
+    sample = ranked.select(parts.alias("parts"), "label", "draw", "order").collect()
+    rows = [(_drawn(r["parts"], r["draw"]), r["label"]) for r in sorted(sample, key=lambda r: (r["label"], r["order"]))]
+    return fit(code_switched(rows, labels), labels)
 
 
 class _Words(dict):

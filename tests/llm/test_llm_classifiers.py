@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from llm_cases import awkward, empty
+from llm_cases import awkward, empty, words
 from telespark.llm import langid, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -42,6 +42,21 @@ def test_language_of_held_out_documents(spark):
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) >= 0.98
 
 
+def test_every_label_and_the_whole_text_are_learned(spark):
+    common = "12 " * 900 + words(0, 700) + " "
+    names = [f"l{i:02}" for i in range(70)]
+    own = {name: words(i + 1, 40, 12) for i, name in enumerate(names)}
+    few = spark.createDataFrame([(2 * j + i % 2, common + own[names[i]], names[i]) for j in range(12) for i in range(2)], "doc_id bigint, text string, lang string")
+    many = spark.createDataFrame([(i + 70 * j, own[name], name) for j in range(2 + 4) for i, name in enumerate(names)], "doc_id bigint, text string, lang string")
+    for frame, wanted in ((few, names[:2]), (many, names)):
+        model = langid.train(frame)
+        assert list(model.labels) == wanted
+        best = [model.labels[p.mean(axis=0).argmax()] for p in langid.label_words([own[x] for x in wanted], model)]
+        assert np.mean([a == b for a, b in zip(best, wanted, strict=True)]) >= 0.95
+    with pytest.raises(ValueError, match="labels_most"):
+        langid.train(many, labels_most=69)
+
+
 def test_words_of_code_switched_text():
     rows = [("the cat and the dog are in the house with a ball " * 3, "en"), ("der hund und die katze sind in dem haus mit einem ball " * 3, "de")] * 20
     model = langid.fit(langid.code_switched(rows, ("de", "en")), ("de", "en"), epochs=20)
