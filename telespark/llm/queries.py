@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import bpe, langid, licenses, media, mixing, paragraphs, secrets, simhash, topk, toxicity
+from telespark.llm import bpe, langid, licenses, media, mixing, paragraphs, periodic, secrets, simhash, suffix_dedup, topk, toxicity
 from telespark.llm.common import remainder, table
 from telespark.llm.oracles import ORACLES
 
@@ -76,8 +76,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(table(spark, sf_dir, "documents"), with_refrains=True).withColumn("best", periodic.longest(F.col("runs")))
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    exponent = F.expr("best.length * 1000 div best.period").alias("exponent_milli")
+    digests = [F.sha2(c.cast("binary"), 256).alias(name) for c, name in ((periodic.runs_text(F.col("runs")), "runs_sha256"), (F.col("collapsed"), "collapsed_sha256"))]
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), *best, exponent, *digests)
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op2_verbatim_passages, op3_byte_bpe, op4_toxicity, op5_language_id, op6_secret_scan, op7_exact_top_k, op8_simhash_near_dedup, op9_media_copies, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op2_verbatim_passages, op3_byte_bpe, op4_toxicity, op5_language_id, op6_secret_scan, op7_exact_top_k, op8_simhash_near_dedup, op9_media_copies, op10_mixing, op11_periodic_runs, op12_suffix_dedup)}
 
 
 def llm_oracles() -> dict[str, str]:
