@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from telespark.llm.common import small_batches
 from telespark.llm.suffixes import permuted_prefixes, suffix_array, words_at
-from telespark.session import scratch_dir, write_and_read
+from telespark.session import scratch_dir
 
 LENGTH = 50
 MARK = 16
 #: Marks that so many bundles hold are common phrases in ever new surroundings: their strings are dealt by longer marks instead.
 CROWDED, LONG_MARK = 256, 40
 #: Bytes of text that are handled together, and of text for each shard.
-BUNDLE = 4 << 20
-SHARD = 16 << 20
+BUNDLE = 2 << 20
+SHARD = 6 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xC2B2AE3D27D4EB4F)
 _ONE = np.uint64(1)
@@ -41,9 +41,16 @@ def _stretches(words: np.ndarray, length: int) -> np.ndarray:
     """Hashes of the `length` bytes (8 or more) from each place."""
     n = max(0, len(words) - length + 1)
     h = words[:n] * _MIX
+    more = np.empty_like(h)
     for at in [*range(8, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        h = _mixed(h ^ (words[at : at + n] * _TURN))
-    return _mixed(h)
+        # In place: fresh memory costs more than the arithmetic.
+        np.right_shift(h, np.uint64(31), out=more)
+        np.bitwise_xor(h, more, out=h)
+        np.multiply(words[at : at + n], _TURN, out=more)
+        np.add(h, more, out=h)
+        np.multiply(h, _MIX, out=h)
+    np.right_shift(h, np.uint64(32), out=more)
+    return np.bitwise_xor(h, more, out=h)
 
 
 def _least(values: np.ndarray, n: int) -> np.ndarray:
@@ -76,7 +83,7 @@ class _Bundle:
         strings = np.where(known, np.maximum(sizes - LENGTH + 1, 0), 0)
         self.places = _ragged(ends - sizes, strings)  # of all strings
         self.docs = np.repeat(np.arange(len(ends)), strings)
-        self.marks = _mixed(least[self.places])
+        self.marks = least[self.places]
         self._runs(self.marks)
         self.unique, self.of_run = np.unique(self.run_marks, return_inverse=True)
 
@@ -86,7 +93,7 @@ class _Bundle:
         first[1:] = (marks[1:] != marks[:-1]) | (self.docs[1:] != self.docs[:-1])
         begins = np.flatnonzero(first)
         self.begins, self.counts = begins, np.diff(np.append(begins, len(marks)))
-        self.run_marks, self.run_docs = marks[begins], self.docs[begins]
+        self.run_marks, self.run_docs = _mixed(marks[begins]), self.docs[begins]
 
     def several(self) -> np.ndarray:
         """Which unique marks more than one document has."""
@@ -103,7 +110,7 @@ class _Bundle:
         """
         of_string = np.repeat(states[self.of_run], self.counts)
         kept = np.flatnonzero(of_string)
-        marks, states = self.marks[kept], of_string[kept]
+        marks, states = _mixed(self.marks[kept]), of_string[kept]
         if (states == 2).any():
             longer = _mixed(_least(_stretches(self.words, LONG_MARK), LENGTH - LONG_MARK + 1))
             marks = np.where(states == 2, longer[self.places[kept]], marks)
@@ -219,7 +226,7 @@ def _cut_up(shards: int):
         found, begins = np.unique(shard[some], return_index=True)
         for s, a, b in zip(found, begins, np.append(begins[1:], len(some))):
             text = bundle.text[_ragged(starts[a:b], counts[a:b] + LENGTH - 1)]
-            rows.append((int(s), counts[a:b].astype(np.uint8).tobytes(), first[a:b].astype(np.int64).tobytes(), text.tobytes()))
+            rows.append((int(s), counts[a:b].astype(np.uint8).tobytes(), first[a:b].astype(np.int64).tobytes(), pa.compress(text.tobytes(), "zstd", asbytes=True)))
         shard_, counts_, numbers, data = zip(*rows)
         columns = [pa.array([name] * len(rows), pa.int64()), pa.array(shard_, pa.int64()), pa.array(counts_, pa.binary()), pa.array(numbers, pa.binary()), pa.array(data, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["bundle", "shard", "counts", "numbers", "data"])
@@ -237,8 +244,10 @@ def _sorted_shard(table: pa.Table) -> pa.Table:
     """Of one shard: for each bundle, the smallest documents of its pieces' strings, as (count, document) of neighbours with the same."""
     counts, sizes = _joined(table["counts"], np.uint8)
     first, _ = _joined(table["numbers"], np.int64)
-    data, _ = _joined(table["data"], np.uint8)
     counts = counts.astype(np.int64)
+    ends = np.cumsum(sizes)
+    sums = np.add.reduceat(counts + LENGTH - 1, ends - sizes)  # no bundle's part is empty
+    data = np.concatenate([np.frombuffer(pa.decompress(b.as_buffer(), int(n), "zstd"), dtype=np.uint8) for b, n in zip(table["data"], sums)])
     starts = np.cumsum(counts + LENGTH - 1) - (counts + LENGTH - 1)
     identity = _identity(words_at(data), starts, counts)
     _, some, which = np.unique(identity, return_index=True, return_inverse=True)
@@ -252,11 +261,10 @@ def _sorted_shard(table: pa.Table) -> pa.Table:
     docs = np.full(len(text), np.iinfo(np.int64).max)
     docs[places] = np.repeat(lowest, counts)
     sa = suffix_array(text)
-    group = np.cumsum(permuted_prefixes(text, sa)[sa] < LENGTH) - 1
-    begins = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    best = np.empty(len(text), dtype=np.int64)
-    best[sa] = np.minimum.reduceat(docs[sa], begins)[group]
-    best = best[places]
+    begins = np.flatnonzero(permuted_prefixes(text, sa)[sa] < LENGTH)  # of the groups of equal strings
+    smallest = np.minimum.reduceat(docs[sa], begins)
+    docs[sa] = np.repeat(smallest, np.diff(np.append(begins, len(sa))))
+    best = docs[places]
     new = np.ones(len(best), dtype=bool)
     new[1:] = best[1:] != best[:-1]
     new[np.cumsum(counts) - counts] = True
@@ -265,7 +273,6 @@ def _sorted_shard(table: pa.Table) -> pa.Table:
     per_piece = np.add.reduceat(new.astype(np.int64), np.cumsum(counts) - counts)
     run_starts = np.cumsum(per_piece) - per_piece
     out: list[list[bytes]] = [[], [], []]
-    ends = np.cumsum(sizes)
     for a, b in zip(ends - sizes, ends):
         mine = which[a:b]
         at = _ragged(run_starts[mine], per_piece[mine])
@@ -346,7 +353,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowded:
     states = judged.groupBy("bundle").agg(F.collect_list(F.struct("shard", "states")).alias("judged"))
     bundles = table.select("bundle", "ids", "ends", "data")
     kinds = "bundle bigint, shard bigint, counts binary, numbers binary, data binary"
-    pieces = write_and_read(bundles.join(states.hint("shuffle_hash"), "bundle").mapInArrow(_cut_up(shards), kinds), "suffix-pieces")
+    path = scratch_dir(spark, "suffix-pieces")
+    bundles.join(states.hint("shuffle_hash"), "bundle").mapInArrow(_cut_up(shards), kinds).write.option("compression", "zstd").parquet(path)
+    pieces = spark.read.schema(kinds).parquet(path)
     best = pieces.where("shard >= 0").groupBy("shard").applyInArrow(_sorted_shard, kinds)
     answers = pieces.where("shard < 0").union(best).groupBy("bundle").agg(F.collect_list(F.struct("shard", "counts", "numbers", "data")).alias("answers"))
     both = bundles.join(answers.hint("shuffle_hash"), "bundle", "left").select("ids", "ends", "data", "answers")
@@ -357,7 +366,7 @@ def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """The same rows from a written table that joins by `key` need not deal out again. The catalog only hands the table over: its name is gone on return."""
     spark = df.sparkSession
     name = f"bundles_{uuid.uuid4().hex}"
-    df.write.option("path", scratch_dir(spark, name)).bucketBy(buckets, key).saveAsTable(name)
+    df.write.option("path", scratch_dir(spark, name)).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return table

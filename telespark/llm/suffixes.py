@@ -108,18 +108,35 @@ def _names(t: np.ndarray, leftmost: np.ndarray, ordered: np.ndarray) -> np.ndarr
 
 
 def _doubled(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of which most places are told apart already: ranks of twice as many names in each round."""
-    rank, reach = names.astype(np.int64), 1
+    """Order of the suffixes of a string of which most places are told apart soon: ranks of twice as many names in each round, for the places that still share one."""
+    n, most, reach = len(names), int(names.max()) + 2, 1
+    keys = names.astype(np.int64) + 1
+    while reach < n and most ** (reach + 1) < 1 << 62:  # as many names at first as fit
+        keys = keys * most
+        keys[: n - reach] += names[reach:] + 1
+        reach += 1
+    order = np.argsort(keys)
+    rank, active, old = np.zeros(n, dtype=np.int64), order, np.zeros(n, dtype=np.int64)
+    keys = keys[order]
     while True:
-        after = np.zeros_like(rank)
-        after[: len(rank) - reach] = rank[reach:] + 1
-        keys = rank * (len(rank) + 1) + after
-        order = np.argsort(keys, kind="stable")
-        differ = np.append(0, np.cumsum(keys[order][1:] != keys[order][:-1]))
-        if differ[-1] == len(rank) - 1:
-            return order
-        rank[order] = differ
+        # A rank is the number of smaller places; places with equal keys share it.
+        at = np.arange(len(active))
+        new = np.append(True, keys[1:] != keys[:-1])
+        group = np.append(True, old[1:] != old[:-1])
+        rank[active] = old + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+        active = active[~(new & np.append(new[1:], True))]
+        if len(active) == 0:
+            break
+        old = rank[active]
+        keys = old * (n + 1)
+        inside = active + reach < n
+        keys[inside] += rank[active[inside] + reach] + 1
+        order = np.argsort(keys)
+        active, old, keys = active[order], old[order], keys[order]
         reach *= 2
+    order = np.empty(n, dtype=np.int64)
+    order[rank] = np.arange(n)
+    return order
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
