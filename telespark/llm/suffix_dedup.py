@@ -222,11 +222,12 @@ def _cut_up(shards: int):
         some = order[begins]
         first = np.minimum.reduceat(ids[bundle.run_docs[order]], begins) if len(begins) else begins
         counts, starts = bundle.counts[some], bundle.starts[some]
-        rows = [(-1, bundle.counts.astype(np.uint8).tobytes(), bundle.starts.astype(np.int64).tobytes(), piece.tobytes())]
+        gaps = _packed(np.diff(bundle.starts, prepend=0).astype(np.int64))
+        rows = [(-1, bundle.counts.astype(np.uint8).tobytes(), gaps, piece.tobytes())]
         found, begins = np.unique(shard[some], return_index=True)
         for s, a, b in zip(found, begins, np.append(begins[1:], len(some))):
             text = bundle.text[_ragged(starts[a:b], counts[a:b] + LENGTH - 1)]
-            rows.append((int(s), counts[a:b].astype(np.uint8).tobytes(), first[a:b].astype(np.int64).tobytes(), pa.compress(text.tobytes(), "zstd", asbytes=True)))
+            rows.append((int(s), counts[a:b].astype(np.uint8).tobytes(), _packed(first[a:b].astype(np.int64)), _packed(text)))
         shard_, counts_, numbers, data = zip(*rows)
         columns = [pa.array([name] * len(rows), pa.int64()), pa.array(shard_, pa.int64()), pa.array(counts_, pa.binary()), pa.array(numbers, pa.binary()), pa.array(data, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["bundle", "shard", "counts", "numbers", "data"])
@@ -234,51 +235,51 @@ def _cut_up(shards: int):
     return run
 
 
-def _joined(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
-    """The rows' arrays in one, and their sizes."""
-    parts = [np.frombuffer(b.as_buffer(), dtype=kind) for b in column]
-    return np.concatenate(parts), np.array(list(map(len, parts)))
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values).data, "zstd", asbytes=True)
+
+
+def _unpacked(data, size: int, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, int(size) * np.dtype(kind).itemsize, "zstd"), dtype=kind)
 
 
 def _sorted_shard(table: pa.Table) -> pa.Table:
-    """Of one shard: for each bundle, the smallest documents of its pieces' strings, as (count, document) of neighbours with the same."""
-    counts, sizes = _joined(table["counts"], np.uint8)
-    first, _ = _joined(table["numbers"], np.int64)
-    counts = counts.astype(np.int64)
-    ends = np.cumsum(sizes)
-    sums = np.add.reduceat(counts + LENGTH - 1, ends - sizes)  # no bundle's part is empty
-    data = np.concatenate([np.frombuffer(pa.decompress(b.as_buffer(), int(n), "zstd"), dtype=np.uint8) for b, n in zip(table["data"], sums)])
-    starts = np.cumsum(counts + LENGTH - 1) - (counts + LENGTH - 1)
-    identity = _identity(words_at(data), starts, counts)
-    _, some, which = np.unique(identity, return_index=True, return_inverse=True)
-    lowest = np.full(len(some), np.iinfo(np.int64).max)
+    """Of one shard: for each bundle a bit for each string of its pieces, whether a document has it that is smaller than the piece's first in the bundle."""
+    parts = [np.frombuffer(b.as_buffer(), dtype=np.uint8) for b in table["counts"]]
+    ends = np.cumsum(list(map(len, parts)))
+    begins = np.append(0, ends[:-1])
+    counts = np.concatenate(parts).astype(np.int64)
+    sums = np.add.reduceat(counts + LENGTH - 1, begins)  # no bundle's part is empty
+    first = np.concatenate([_unpacked(b.as_buffer(), len(p), np.int64) for b, p in zip(table["numbers"], parts)])
+    ids, first = np.unique(first, return_inverse=True)
+    first = first.astype(np.int32)  # ranks of documents from here on
+    data = np.concatenate([_unpacked(b.as_buffer(), n, np.uint8) for b, n in zip(table["data"], sums)])
+    _, some, which = np.unique(_identity(words_at(data), _begins(counts), counts), return_index=True, return_inverse=True)
+    lowest = np.full(len(some), len(ids), dtype=np.int32)
     np.minimum.at(lowest, which, first)
     # The shard's text: its different pieces, one after the other. Strings across their borders are no one's.
-    text = data[_ragged(starts[some], counts[some] + LENGTH - 1)]
-    counts = counts[some]
-    starts = np.cumsum(counts + LENGTH - 1) - (counts + LENGTH - 1)
-    places = _ragged(starts, counts)
-    docs = np.full(len(text), np.iinfo(np.int64).max)
-    docs[places] = np.repeat(lowest, counts)
+    own = counts[some]
+    text = data[_ragged(_begins(counts)[some], own + LENGTH - 1)]
+    del data
+    places = _ragged(_begins(own), own)
+    docs = np.full(len(text), len(ids), dtype=np.int32)
+    docs[places] = np.repeat(lowest, own)
     sa = suffix_array(text)
-    begins = np.flatnonzero(permuted_prefixes(text, sa)[sa] < LENGTH)  # of the groups of equal strings
-    smallest = np.minimum.reduceat(docs[sa], begins)
-    docs[sa] = np.repeat(smallest, np.diff(np.append(begins, len(sa))))
-    best = docs[places]
-    new = np.ones(len(best), dtype=bool)
-    new[1:] = best[1:] != best[:-1]
-    new[np.cumsum(counts) - counts] = True
-    runs = np.flatnonzero(new)
-    lengths = np.diff(np.append(runs, len(best)))
-    per_piece = np.add.reduceat(new.astype(np.int64), np.cumsum(counts) - counts)
-    run_starts = np.cumsum(per_piece) - per_piece
-    out: list[list[bytes]] = [[], [], []]
-    for a, b in zip(ends - sizes, ends):
+    groups = np.flatnonzero(permuted_prefixes(text, sa)[sa] < LENGTH)  # of equal strings
+    docs[sa] = np.repeat(np.minimum.reduceat(docs[sa], groups), np.diff(np.append(groups, len(sa))))
+    best, offsets = docs[places], np.cumsum(own) - own
+    out = []
+    for a, b in zip(begins, ends):
         mine = which[a:b]
-        at = _ragged(run_starts[mine], per_piece[mine])
-        for column, values in zip(out, (per_piece[mine].astype(np.uint8), lengths[at].astype(np.uint8), best[runs][at])):
-            column.append(values.tobytes())
-    return pa.table({"bundle": table["bundle"], "shard": table["shard"], "counts": pa.array(out[0], pa.binary()), "numbers": pa.array(out[2], pa.binary()), "data": pa.array(out[1], pa.binary())})
+        earlier = best[_ragged(offsets[mine], counts[a:b])] < np.repeat(first[a:b], counts[a:b])
+        out.append(np.packbits(earlier).tobytes())
+    nothing = pa.nulls(len(out), pa.binary())
+    return pa.table({"bundle": table["bundle"], "shard": table["shard"], "counts": table["counts"], "numbers": nothing, "data": pa.array(out, pa.binary())})
+
+
+def _begins(counts: np.ndarray) -> np.ndarray:
+    """Where pieces of so many strings begin, one after the other."""
+    return np.cumsum(counts + LENGTH - 1) - (counts + LENGTH - 1)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,20 +313,21 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _mark(gone: np.ndarray, ends: np.ndarray, ids: np.ndarray, answers: list[dict]) -> None:
-    """Sets the bytes to go."""
+    """Sets the bytes to go: of strings that an earlier document has, in this bundle or another."""
     stands, *answers = answers
     counts = np.frombuffer(stands["counts"], dtype=np.uint8).astype(np.int64)
-    starts = np.frombuffer(stands["numbers"], dtype=np.int64)
+    starts = np.cumsum(_unpacked(stands["numbers"], len(counts), np.int64))
     piece = np.frombuffer(stands["data"], dtype=np.int32)
-    per_piece = np.concatenate([np.frombuffer(x["counts"], dtype=np.uint8) for x in answers]).astype(np.int64)
-    lengths = np.concatenate([np.frombuffer(x["data"], dtype=np.uint8) for x in answers]).astype(np.int64)
-    lowest = np.concatenate([np.frombuffer(x["numbers"], dtype=np.int64) for x in answers])
-    at = _ragged((np.cumsum(per_piece) - per_piece)[piece], per_piece[piece])
     owner = ids[np.searchsorted(ends, starts, side="right")]
-    later = np.repeat(lowest[at] < np.repeat(owner, per_piece[piece]), lengths[at])
-    places = _ragged(starts, counts)[later]
+    per_piece = np.concatenate([np.frombuffer(x["counts"], dtype=np.uint8) for x in answers]).astype(np.int64)
+    first = np.full(len(per_piece), np.iinfo(np.int64).max)
+    np.minimum.at(first, piece, owner)
+    sizes = [int(np.frombuffer(x["counts"], dtype=np.uint8).sum(dtype=np.int64)) for x in answers]
+    earlier = np.concatenate([np.unpackbits(np.frombuffer(x["data"], dtype=np.uint8), count=n) for x, n in zip(answers, sizes)]).astype(bool)
+    later = earlier[_ragged((np.cumsum(per_piece) - per_piece)[piece], counts)] | np.repeat(owner > first[piece], counts)
     steps = np.zeros(len(gone) + LENGTH, dtype=np.int32)
-    steps[: len(gone)] += np.bincount(places, minlength=len(gone)).astype(np.int32)[: len(gone)]
+    places = _ragged(starts, counts)[later]
+    steps[places] += 1  # a place is a string's start once
     np.subtract.at(steps, places + LENGTH, 1)
     gone[:] = np.cumsum(steps)[: len(gone)] > 0
 

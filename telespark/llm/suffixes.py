@@ -1,4 +1,4 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, of one shard of bytes; in numpy."""
+"""Suffix arrays by induced sorting, and permuted common prefixes, of one shard of fewer than 2**31 bytes; in numpy."""
 
 from __future__ import annotations
 
@@ -154,22 +154,24 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     before = np.full(n, -1, dtype=np.int32)
     before[sa[1:]] = sa[:-1]
     unlike = np.append(True, t[:-1] != t[np.maximum(before[1:] - 1, 0)])
-    place = np.flatnonzero((before == 0) | ((before > 0) & unlike))
-    other = before[place].astype(np.int64)
+    place = np.flatnonzero((before == 0) | ((before > 0) & unlike)).astype(np.int32)
+    other = before[place]
     words = words_at(t)
-    shared = np.zeros(len(place), dtype=np.int64)
-    active = np.arange(len(place))
+    shared = np.zeros(len(place), dtype=np.int32)
+    active = np.arange(len(place), dtype=np.int32)
     while len(active):
         x, y = place[active] + shared[active], other[active] + shared[active]
         inside = np.maximum(x, y) < n
-        active, x, y = active[inside], x[inside], y[inside]
+        if not inside.all():
+            active, x, y = active[inside], x[inside], y[inside]
         differ = words[x] ^ words[y]
         low = differ & (~differ + np.uint64(1))
-        shared[active] += np.where(differ == 0, 8, (np.frexp(low.astype(np.float64))[1] - 1) // 8)
+        shared[active] += np.where(differ == 0, 8, (np.frexp(low.astype(np.float64))[1] - 1) // 8).astype(np.int32)
         active = active[differ == 0]
     shared = np.minimum(shared, n - np.maximum(place, other))
-    known = np.zeros(n, dtype=np.int64)
-    known[place] = shared + place
-    prefixes = np.maximum.accumulate(known) - np.arange(n)
+    prefixes = np.zeros(n, dtype=np.int32)
+    prefixes[place] = shared + place
+    np.maximum.accumulate(prefixes, out=prefixes)
+    prefixes -= np.arange(n, dtype=np.int32)
     prefixes[sa[0]] = 0
-    return np.maximum(prefixes, 0)
+    return np.maximum(prefixes, 0, out=prefixes)
