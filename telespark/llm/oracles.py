@@ -12,4 +12,28 @@ ORACLES = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
         WHERE rank <= 20""",
+    "op13_ranked_search": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS row_id, doc_id,
+            list_filter(string_split(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda t: t <> '') AS terms
+          FROM documents WHERE text IS NOT NULL),
+        docs AS (SELECT row_id, doc_id, terms, len(terms) AS n FROM d WHERE len(terms) > 0),
+        total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM docs),
+        tf AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(terms) AS term FROM docs) GROUP BY ALL),
+        weights AS (
+          SELECT term, CAST(floor(1000 * ln((2 * any_value(total.docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+          FROM tf, total GROUP BY term),
+        asked AS (
+          SELECT item_row, item_id, term, count(*) AS n FROM (
+            SELECT item_row, item_id, unnest(list_filter(string_split(regexp_replace(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda t: t <> '')) AS term
+            FROM (SELECT *, row_number() OVER () AS item_row FROM benchmark)) GROUP BY ALL),
+        scored AS (
+          SELECT item_row, item_id, row_id, doc_id, CAST(sum(asked.n * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * docs.n * total.docs) // total.words)))) AS BIGINT) AS score
+          FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN docs USING (row_id), total
+          GROUP BY item_row, item_id, row_id, doc_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }

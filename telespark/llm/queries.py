@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import bpe, langid, licenses, media, mixing, paragraphs, periodic, secrets, simhash, suffix_dedup, topk, toxicity
+from telespark.llm import bpe, langid, licenses, media, mixing, paragraphs, periodic, ranked, secrets, simhash, suffix_dedup, topk, toxicity
 from telespark.llm.common import remainder, table
 from telespark.llm.oracles import ORACLES
 
@@ -90,8 +90,12 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op2_verbatim_passages, op3_byte_bpe, op4_toxicity, op5_language_id, op6_secret_scan, op7_exact_top_k, op8_simhash_near_dedup, op9_media_copies, op10_mixing, op11_periodic_runs, op12_suffix_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op2_verbatim_passages, op3_byte_bpe, op4_toxicity, op5_language_id, op6_secret_scan, op7_exact_top_k, op8_simhash_near_dedup, op9_media_copies, op10_mixing, op11_periodic_runs, op12_suffix_dedup, op13_ranked_search)}
 
 
 def llm_oracles() -> dict[str, str]:
