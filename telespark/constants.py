@@ -4,6 +4,7 @@
 STATUS_CATEGORIES = ("ACTIVE", "LOW POWER", "OVERHEATING", "OFFLINE", "CHARGING", "DEAD")
 ALERT_STATUSES = ("LOW POWER", "OVERHEATING", "OFFLINE", "CHARGING", "DEAD")
 MISSION_TYPES = ("PATROL", "DELIVERY", "INSPECTION")
+ORDERED_LIMIT = 5000
 UNASSIGNABLE_STATUSES = ("DEAD", "CHARGING", "OVERHEATING", "STOPPED")
 
 # Half-open buckets [low, high) with their labels.

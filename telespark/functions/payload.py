@@ -13,7 +13,7 @@ NUMBERS = (
     "network_health", "x", "y", "timeout_seconds",
 )
 TEXTS = (
-    "type", "status", "mission_id", "mission_type", "mission_start_time", "timestamp", "message", "command_type", "idempotency_key",
+    "type", "status", "mission_id", "mission_type", "mission_start_time", "timestamp", "message", "command_type", "command_id", "idempotency_key",
 )
 OBJECTS = ("payload",)
 

@@ -539,6 +539,7 @@ def all_oracles() -> dict[str, str]:
         # sorts, limits
         "recent_telemetry": _with(f"SELECT {stored} FROM (SELECT * FROM telemetry ORDER BY id DESC LIMIT 50 OFFSET 10)", "telemetry"),
         "recent_events": _with(f"SELECT id, robot_id, message, {iso_ts} FROM (SELECT * FROM robot_events ORDER BY timestamp DESC, id DESC LIMIT 50)", "robot_events"),
+        "telemetry_ordered_page": _with(f"SELECT id, robot_id, {iso_ts} FROM (SELECT * FROM telemetry ORDER BY timestamp, id LIMIT 5000)", "telemetry"),
         "telemetry_ordered": _with(f"SELECT id, robot_id, {iso_ts} FROM (SELECT * FROM telemetry ORDER BY timestamp, id)", "telemetry"),
         "event_log_tail": _with(
             f"SELECT robot_id, payload FROM ({_OUTGOING}) WHERE logged ORDER BY timestamp DESC, robot_id DESC, payload DESC LIMIT 50",
@@ -635,15 +636,19 @@ def _stream_oracles(batch: dict[str, str]) -> dict[str, str]:
     """What a drained stream must have written."""
     iso_ts = f"{_iso('timestamp')} AS timestamp"
     stored = "SELECT DISTINCT * FROM classified WHERE class IN ('ok', 'no_robot')"
+    readings = _with(
+        f"SELECT cast(id AS varchar) AS msg_id, CASE WHEN class = 'no_robot' THEN 0 ELSE robot_id END AS robot_id, battery, status, {iso_ts} FROM ({stored})", "classified"
+    )
     all_minutes = _CTES["trend"].replace(f"WHERE timestamp > {_NOW} - INTERVAL '20 minutes' GROUP BY 1 ORDER BY 1 DESC LIMIT 20", "GROUP BY 1")
     return {
-        "ingest_stream": _with(
-            f"SELECT cast(id AS varchar) AS msg_id, CASE WHEN class = 'no_robot' THEN 0 ELSE robot_id END AS robot_id, battery, status, {iso_ts} FROM ({stored})",
-            "classified",
-        ),
+        "ingest_stream": readings,
+        "ingest_then_compact": readings,
         "ingest_stream_rejects": _with(
             "SELECT DISTINCT cast(id AS varchar) AS msg_id, CASE class WHEN 'null_battery' THEN 'battery: no usable value' ELSE 'not a reading: ' || class END AS reason "
-            "FROM classified WHERE class IN ('null_battery', 'corrupt', 'event')", "classified"
+            "FROM classified WHERE class IN ('null_battery', 'corrupt')", "classified"
+        ),
+        "ingest_events": _with(
+            f"SELECT DISTINCT cast(id AS varchar) AS msg_id, robot_id, 'Entered zone' AS message, {iso_ts} FROM classified WHERE class = 'event'", "classified"
         ),
         "ingest_metrics": _with(f"SELECT count(*) AS readings_ingested FROM ({stored})", "classified"),
         "dedupe_stream": "SELECT cast(event_id AS varchar) AS msg_id FROM events",

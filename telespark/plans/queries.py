@@ -374,6 +374,12 @@ def recent_events(spark, sf):
     return tables.recent_events(fx.robot_events(spark, sf), limit=50).withColumns(_iso("timestamp"))
 
 
+def telemetry_ordered_page(spark, sf):
+    """The first 5,000 rows."""
+    ordered = tables.telemetry_ordered(_telemetry(spark, sf), K.ORDERED_LIMIT)
+    return ordered.select("id", "robot_id", S.iso_utc(F.col("timestamp")).alias("timestamp"))
+
+
 def telemetry_ordered(spark, sf):
     return tables.telemetry_ordered(_telemetry(spark, sf)).select("id", "robot_id", S.iso_utc(F.col("timestamp")).alias("timestamp"))
 

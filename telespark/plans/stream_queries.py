@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,8 @@ from telespark.functions import scalars as S
 from telespark.operators import analytics, status
 from telespark.session import prepare_streaming, scratch_dir
 from telespark.sources import fixtures as fx
+from telespark.sources import tables
+from telespark.sources.versions import Versions
 from telespark.streaming import ingest, stateful, views
 
 IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
@@ -62,26 +64,47 @@ def _last_update(drained: DataFrame, keys: list[str]) -> DataFrame:
     return drained.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v")).select(*keys, "v.*")
 
 
-def _ingested(spark, sf, on_metrics=None):
-    out = scratch_dir(spark, "ingest")
-    paths = (f"{out}/table", f"{out}/rejects", f"{out}/checkpoint")
-    ingest.ingest_stream(_messages(spark, sf), *paths, on_metrics=on_metrics).awaitTermination()
-    return spark.read.parquet(paths[0]), spark.read.parquet(paths[1])
+def _ingested(spark, sf):
+    """The root of the tables after the whole feed has come in."""
+    root = scratch_dir(spark, "ingest")
+    ingest.ingest_stream(_messages(spark, sf), root, f"{root}-checkpoint").awaitTermination()
+    return root
+
+
+def _readings_of(rows):
+    return rows.select("msg_id", "robot_id", "battery", "status", S.iso_utc(F.col("timestamp")).alias("timestamp"))
 
 
 def ingest_stream(spark, sf):
-    table, _ = _ingested(spark, sf)
-    return table.select("msg_id", "robot_id", "battery", "status", S.iso_utc(F.col("timestamp")).alias("timestamp"))
+    return _readings_of(tables.read_ingested(spark, _ingested(spark, sf)))
 
 
 def ingest_stream_rejects(spark, sf):
-    return _ingested(spark, sf)[1].select("msg_id", "reason")
+    return tables.read_ingested(spark, _ingested(spark, sf), "rejects").select("msg_id", "reason")
+
+
+def ingest_events(spark, sf):
+    """Robot events that came in with the readings, in their own table."""
+    return tables.read_ingested(spark, _ingested(spark, sf), "events").select("msg_id", "robot_id", "message", S.iso_utc(F.col("timestamp")).alias("timestamp"))
 
 
 def ingest_metrics(spark, sf):
-    counts = []
-    _ingested(spark, sf, on_metrics=lambda batch_id, n: counts.append(n))
-    return spark.range(1).select(F.lit(sum(counts)).cast("bigint").alias("readings_ingested"))
+    """Readings stored, from the rows that each batch leaves in the metrics table."""
+    return ingest.ingest_metrics(spark, _ingested(spark, sf)).agg(F.sum("readings").alias("readings_ingested"))
+
+
+def ingest_then_compact(spark, sf):
+    """The feed in two deliveries, the second with all messages of the first again, then compaction and removal of what it replaced."""
+    root = scratch_dir(spark, "ingest")
+    messages = fx.feed(spark, sf)
+    store = ingest.store_batch(root)
+    prepare_streaming(spark)
+    store(messages.where("pmod(xxhash64(msg_id), 2) = 0"), 0)
+    store(messages, 1)
+    for table in ("telemetry", "message_ids"):
+        tables.compact(spark, root, date(2100, 1, 1), table)
+    Versions(spark, root).vacuum(keep_versions=1, min_age_seconds=0)
+    return _readings_of(tables.read_ingested(spark, root))
 
 
 def dedupe_stream(spark, sf):
@@ -141,7 +164,7 @@ def all_queries():
     return {
         f.__name__: f
         for f in (
-            ingest_stream, ingest_stream_rejects, ingest_metrics, dedupe_stream, health_trend_stream, mission_completions_stream,
+            ingest_stream, ingest_stream_rejects, ingest_events, ingest_metrics, ingest_then_compact, dedupe_stream, health_trend_stream, mission_completions_stream,
             coalesce_live_stream, replace_snapshot, live_status_stream, geofence_stream, command_stream,
         )
     }

@@ -97,6 +97,50 @@ MESSAGES = _struct(
     ("received_at", TimestampType(), False),
 )
 
+# What stream ingest stores below one root (see streaming.ingest).
+INGESTED_READINGS = StructType([*TELEMETRY.fields, StructField("msg_id", StringType()), StructField("received_at", TimestampType())])
+INGESTED_EVENTS = _struct(
+    ("id", LongType(), False),
+    ("robot_id", IntegerType(), False),
+    ("message", StringType(), False),
+    ("timestamp", TimestampType(), False),
+    ("msg_id", StringType(), False),
+)
+INGESTED_COMMANDS = _struct(
+    ("msg_id", StringType(), False),
+    ("type", StringType(), False),
+    ("command_id", StringType(), True),
+    ("robot_id", IntegerType(), False),
+    ("command_type", StringType(), True),
+    ("status", StringType(), True),
+    ("timestamp", TimestampType(), False),
+    ("payload", StringType(), False),
+)
+REJECTS = _struct(
+    ("msg_id", StringType(), False),
+    ("received_at", TimestampType(), False),
+    ("payload", StringType(), True),
+    ("kind", StringType(), False),
+    ("reason", StringType(), False),
+)
+MESSAGE_IDS = _struct(("msg_id", StringType(), False))
+INGEST_METRICS = _struct(
+    ("batch_id", LongType(), False),
+    ("readings", LongType(), False),
+    ("events", LongType(), False),
+    ("commands", LongType(), False),
+    ("rejects", LongType(), False),
+    ("write_ms", LongType(), False),
+)
+INGESTED = {
+    "telemetry": (INGESTED_READINGS, "dt", "date"),
+    "events": (INGESTED_EVENTS, "dt", "date"),
+    "commands": (INGESTED_COMMANDS, "dt", "date"),
+    "rejects": (REJECTS, "dt", "date"),
+    "metrics": (INGEST_METRICS, "dt", "date"),
+    "message_ids": (MESSAGE_IDS, "slot", "long"),
+}
+
 FLEET_ANALYTICS = _struct(
     ("fleet_health_trend", ArrayType(_struct(("timestamp", StringType(), True), ("health_score", DoubleType(), True))), False),
     ("battery_distribution", ArrayType(_struct(("range", StringType(), True), ("count", LongType(), True))), False),

@@ -1,20 +1,24 @@
-"""Stream ingest: decode, validate, normalise, de-duplicate, store, with rejects kept aside."""
+"""Stream ingest: decode, validate, normalise, de-duplicate by an index of message ids, and store by kind, with rejects kept aside."""
 
 from __future__ import annotations
 
-from datetime import timedelta
+import time
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from telespark import schemas
+from telespark.functions import payload as P
 from telespark.operators import decode
 from telespark.operators.slices import running_position
 from telespark.session import prepare_streaming
+from telespark.sources import tables
+from telespark.sources.versions import Versions
 
 WATERMARK = "10 minutes"
+#: Message ids are filed by so many seconds of payload time, over so many days; those without one in so many slots by id.
+SLOT_SECONDS, SLOT_DAYS, UNTIMED_SLOTS = 600, 30, 16
 
 
 def read_messages(spark: SparkSession, path: str | None = None, max_files: int = 1000, fmt: str = "parquet", **options) -> DataFrame:
@@ -42,10 +46,9 @@ def dedupe_stream(messages: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return messages.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["msg_id"])
 
 
-def ingest_metrics(df: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation]:
-    """The same rows, counted on their way to the sink."""
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("readings_ingested")), seen
+def ingest_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """What each batch of stream ingest stored and how long its writes took: (batch_id, readings, events, commands, rejects, write_ms, dt)."""
+    return tables.read_ingested(spark, root, "metrics")
 
 
 def numbered(readings: DataFrame, batch_id: int) -> DataFrame:
@@ -59,61 +62,93 @@ def numbered(readings: DataFrame, batch_id: int) -> DataFrame:
     return placed.drop("_all").withColumn("id", F.shiftleft(F.lit(batch_id).cast("bigint"), 36) + F.col("id"))
 
 
-def _stored_ids(spark: SparkSession, path: str, days: list, batch_id: int) -> DataFrame | None:
-    """Message ids that other batches stored under these days, or None before the first batch."""
-    try:
-        table = spark.read.schema("msg_id string, dt date, batch_id bigint").parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return table.where(F.col("dt").isin(days) & (F.col("batch_id") != batch_id)).select("msg_id")
+def _slot(timestamp: Column) -> Column:
+    """Where a message's id is filed: by ten minutes of the time in its payload, over SLOT_DAYS days and then again from the first; without one, by its id.
+
+    A repeat has the same payload, so its id lies in the same slot. There is a fixed number of slots, whatever clocks senders have.
+    """
+    timed = F.pmod(F.floor(F.unix_seconds(timestamp) / SLOT_SECONDS), F.lit(SLOT_DAYS * 86_400 // SLOT_SECONDS))
+    return F.coalesce(timed, -1 - F.pmod(F.xxhash64("msg_id"), F.lit(UNTIMED_SLOTS)))
+
+
+def unseen(messages: DataFrame, store: Versions) -> DataFrame:
+    """Messages, with their `slot`, whose id no earlier batch has filed. Only the slots of these messages are read, not the day."""
+    slots = [r["slot"] for r in messages.select("slot").distinct().collect()]  # at most as many as there are slots
+    filed = store.read("message_ids", schemas.MESSAGE_IDS, "slot", "long", only=map(str, slots)).select("slot", "msg_id")
+    return messages.join(filed, ["slot", "msg_id"], "left_anti")
 
 
-def _unseen(df: DataFrame, path: str, batch_id: int) -> DataFrame:
-    """Rows whose message no other batch has stored. Only the days that the rows fall on, and those before, are read."""
-    days = [r["dt"] for r in df.select("dt").distinct().collect()]  # a value per calendar day
-    days = sorted({d - timedelta(days=back) for d in days if d is not None for back in (0, 1)})
-    stored = _stored_ids(df.sparkSession, path, days, batch_id) if days else None
-    return df if stored is None else df.join(stored, "msg_id", "left_anti")
+def _sorted_readings(fresh: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    """(storable readings with ids, rejected with reason)."""
+    readings = decode.normalize_telemetry(fresh.where("kind = 'telemetry'"), F.col("received_at"))
+    good, nulls = decode.quarantine_nulls(readings)
+    return numbered(good, batch_id), nulls.select("msg_id", "received_at", "raw", F.lit("telemetry").alias("kind"), "reason")
 
 
-def _write_once(df: DataFrame, path: str, batch_id: int) -> None:
-    """Each batch owns its (dt, batch_id) folders, so a repeated batch replaces itself. Files are in order of arrival."""
-    stamped = df.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "dt").sortWithinPartitions("dt", "received_at")
-    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch_id").parquet(path)
+def _others(fresh: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(robot events, command messages, rejected with reason)."""
+    usable = P.integer("robot_id").isNotNull() & F.when(F.col("kind") == "event", P.is_text("message")).otherwise(F.lit(True))
+    known = F.col("kind").isin("event", "command")
+    others = fresh.where("kind != 'telemetry'").withColumn("reason", F.when(~known, F.concat(F.lit("not a reading: "), "kind")).when(~usable, F.concat("kind", F.lit(": no usable fields"))))
+    at = F.coalesce(P.parse_timestamp(P.text("timestamp")), "received_at").alias("timestamp")
+    good = others.where("reason IS NULL").withColumn("robot_id", P.integer("robot_id"))
+    events = numbered(good.where("kind = 'event'"), batch_id).select("id", "robot_id", P.text("message").alias("message"), at, "msg_id")
+    texts = [P.text(c).alias(c) for c in ("type", "command_id")]
+    command_texts = [P.text(c).alias(c) for c in ("command_type", "status")]
+    commands = good.where("kind = 'command'").select("msg_id", *texts, "robot_id", *command_texts, at, F.col("raw").alias("payload"))
+    return events, commands, others.where("reason IS NOT NULL").select("msg_id", "received_at", "raw", "kind", "reason")
 
 
-def store_batch(table: str, rejects: str, on_metrics=None):
-    """A foreachBatch writer: readings to `table`, all other messages to `rejects` with payload and reason, decoded once for both.
+def store_batch(root: str, on_metrics=None, writer: str = "ingest"):
+    """A foreachBatch writer to the tables below `root`: readings, robot events and command messages, each to its own; all other messages to
+    `rejects` with payload and reason; the ids of all to `message_ids`; a row of counts and the time taken to `metrics`.
 
-    No message is lost for its age. Repeats within a batch are merged, those of other batches are recognised by the message ids
-    stored under the same days.
+    One commit publishes all of a batch. A repeated batch finds itself committed and does nothing, so that each message is stored once. No message is
+    lost for its age: repeats within a batch are merged, those of other batches are recognised by the ids of their slots.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark, begun = batch.sparkSession, time.monotonic()
+        store = Versions(spark, root)
+        if store.committed(writer, batch_id):
+            return
         messages = decode.dedupe_messages(batch.select("msg_id", "payload", "received_at")).withColumn("raw", F.col("payload"))
-        kinds = decode.decode_messages(messages).persist()
+        decoded = decode.decode_messages(messages).withColumn("slot", _slot(P.parse_timestamp(P.text("timestamp")))).persist()
+        fresh = unseen(decoded, store).persist()
         try:
-            readings = decode.normalize_telemetry(kinds.where("kind = 'telemetry'"), F.col("received_at"))
-            good, nulls = decode.quarantine_nulls(readings)
-            # The day of arrival for what has no usable values; the rest is kept as it came.
-            others = kinds.where("kind != 'telemetry'").select("msg_id", "received_at", "raw", "kind", F.concat(F.lit("not a reading: "), "kind").alias("reason"))
-            bad = nulls.select("msg_id", "received_at", "raw", F.lit("telemetry").alias("kind"), "reason").unionByName(others)
-            fresh = numbered(_unseen(good.drop("raw").withColumn("dt", F.to_date("timestamp")), table, batch_id), batch_id)
-            counted, seen = ingest_metrics(fresh, f"ingest-{batch_id}")
-            _write_once(counted, table, batch_id)
-            set_aside = bad.withColumnRenamed("raw", "payload").withColumn("dt", F.to_date("received_at"))
-            _write_once(_unseen(set_aside, rejects, batch_id), rejects, batch_id)
+            readings, unusable = _sorted_readings(fresh, batch_id)
+            events, commands, odd = _others(fresh, batch_id)
+            rejects = unusable.unionByName(odd).withColumnRenamed("raw", "payload")
+            outputs = {
+                "telemetry": readings.drop("raw", "slot").withColumn("dt", F.to_date("timestamp")),
+                "events": events.withColumn("dt", F.to_date("timestamp")),
+                "commands": commands.withColumn("dt", F.to_date("timestamp")),
+                "rejects": rejects.withColumn("dt", F.to_date("received_at")),
+            }
+            folders, counts = [], {}
+            for table, rows in outputs.items():
+                order = ("dt", "received_at") if "received_at" in rows.columns else ("dt", "timestamp")
+                written = store.write(rows.hint("rebalance", "dt").sortWithinPartitions(*order), table, "dt")
+                counts[table] = store.rows(written)
+                folders += written
+            arrived = decoded.agg(F.max(F.to_date("received_at"))).first()[0]
+            if arrived is not None:
+                ids = fresh.select("msg_id", "slot").hint("rebalance", "slot").sortWithinPartitions("slot", "msg_id")
+                folders += store.write(ids, "message_ids", "slot", arrived.isoformat())
+                row = (batch_id, *(counts[t] for t in ("telemetry", "events", "commands", "rejects")), int(1000 * (time.monotonic() - begun)))
+                one = spark.createDataFrame([row], schemas.INGEST_METRICS).withColumn("dt", F.lit(arrived))
+                folders += store.write(one, "metrics", "dt")
+            store.commit(folders, writer=writer, batch=batch_id)
             if on_metrics is not None:
-                on_metrics(batch_id, seen.get["readings_ingested"])
+                on_metrics(batch_id, counts["telemetry"])
         finally:
-            kinds.unpersist()
+            fresh.unpersist()
+            decoded.unpersist()
 
     return write
 
 
-def ingest_stream(messages: DataFrame, table: str, rejects: str, checkpoint: str, on_metrics=None, **trigger) -> StreamingQuery:
-    """Runs the ingest; with no trigger given it drains what is there and stops."""
+def ingest_stream(messages: DataFrame, root: str, checkpoint: str, on_metrics=None, **trigger) -> StreamingQuery:
+    """Runs the ingest into the tables below `root`; with no trigger given it drains what is there and stops."""
     writer = messages.writeStream.option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(store_batch(table, rejects, on_metrics)).start()
+    return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(store_batch(root, on_metrics)).start()

@@ -3,22 +3,21 @@
 import pytest
 from test_tables import plan
 
-import __spark_entry__ as entry
 from telespark.plans import queries, stream_queries
 
-BATCH = sorted(set(entry.queries()) - set(stream_queries.all_queries()))
+BATCH = sorted(set(queries.all_queries()) - set(stream_queries.all_queries()))
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
 
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_pairwise_joins_or_python(spark, sf, name):
-    text = plan(entry.queries()[name](spark, sf))
+    text = plan(queries.all_queries()[name](spark, sf))
     assert not [word for word in FORBIDDEN if word in text]
 
 
 @pytest.mark.parametrize("name", ["recent_per_robot", "fleet_status", "active_latest", "next_pending", "dedupe_deliveries", "error_samples"])
 def test_ranks_are_pruned_before_the_shuffle(spark, sf, name):
-    assert "WindowGroupLimit" in plan(entry.queries()[name](spark, sf))
+    assert "WindowGroupLimit" in plan(queries.all_queries()[name](spark, sf))
 
 
 def test_status_shuffles_once_per_robot(spark, sf):
@@ -27,6 +26,6 @@ def test_status_shuffles_once_per_robot(spark, sf):
     assert plan(snapshot).count("Exchange") == 1
 
 
-@pytest.mark.parametrize("name", ["recent_telemetry", "recent_events", "telemetry_ordered", "event_log_tail", "fleet_status_page"])
+@pytest.mark.parametrize("name", ["recent_telemetry", "recent_events", "telemetry_ordered_page", "event_log_tail", "fleet_status_page"])
 def test_top_k_is_not_a_full_sort(spark, sf, name):
-    assert "TakeOrderedAndProject" in plan(entry.queries()[name](spark, sf))
+    assert "TakeOrderedAndProject" in plan(queries.all_queries()[name](spark, sf))

@@ -4,12 +4,14 @@ import json
 import time
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from telespark import schemas
 from telespark.operators import live, spatial
 from telespark.session import prepare_streaming
 from telespark.sources import fixtures, tables
+from telespark.sources.versions import Versions
 from telespark.streaming import ingest, stateful, views
 
 
@@ -25,44 +27,62 @@ T0 = datetime(2026, 7, 22, tzinfo=timezone.utc)
 
 
 def test_ingest_over_batches(spark, tmp_path):
-    source, table, rejects, checkpoint = (str(tmp_path / n) for n in ("source", "table", "rejects", "checkpoint"))
+    source, root, checkpoint = (str(tmp_path / n) for n in ("source", "root", "checkpoint"))
+    event = json.dumps({"type": "EVENT", "robot_id": 4, "message": "Entered zone", "timestamp": T0.isoformat()})
+    command = json.dumps({"type": "COMMAND_UPDATE", "robot_id": 4, "command_id": "c1", "command_type": "RESUME", "status": "COMPLETED", "timestamp": T0.isoformat()})
     first = [(f"m{i}", reading(i, 50.0, T0), T0 + timedelta(seconds=i)) for i in range(5)]
-    first += [("bad", "junk{", T0), ("null", '{"battery":null}', T0), ("event", '{"type":"EVENT"}', T0)]
+    first += [("bad", "junk{", T0), ("null", '{"battery":null}', T0), ("event", event, T0), ("no-robot", '{"type":"EVENT"}', T0), ("command", command, T0), ("other", "[1]", T0)]
     write_messages(spark, source, first)
     counts = {}
 
     def run():
         messages = ingest.read_messages(spark, source, max_files=1)
-        ingest.ingest_stream(messages, table, rejects, checkpoint, on_metrics=counts.__setitem__).awaitTermination()
+        ingest.ingest_stream(messages, root, checkpoint, on_metrics=counts.__setitem__).awaitTermination()
 
     run()
-    # A redelivery of m4 and one new message arrive later.
-    write_messages(spark, source, [("m4", reading(4, 50.0, T0), T0 + timedelta(seconds=60)), ("m5", reading(5, 50.0, T0), T0 + timedelta(seconds=61))])
+    # Redeliveries of all kinds and one new message arrive later.
+    again = [(i, p, at + timedelta(days=3)) for i, p, at in first if i in ("m4", "event", "command", "bad", "null")]
+    write_messages(spark, source, [*again, ("m5", reading(5, 50.0, T0), T0 + timedelta(seconds=61))])
     run()
-    assert sorted(r.msg_id for r in spark.read.parquet(table).collect()) == [f"m{i}" for i in range(6)]
-    aside = sorted((r.msg_id, r.payload, r.reason) for r in spark.read.parquet(rejects).collect())
-    assert aside == [("bad", "junk{", "not a reading: corrupt"), ("event", '{"type":"EVENT"}', "not a reading: event"), ("null", '{"battery":null}', "battery: no usable value")]
+    read = lambda table: tables.read_ingested(spark, root, table).collect()
+    assert sorted(r.msg_id for r in read("telemetry")) == [f"m{i}" for i in range(6)]
+    aside = sorted((r.msg_id, r.payload, r.reason) for r in read("rejects"))
+    assert aside == [
+        ("bad", "junk{", "not a reading: corrupt"), ("no-robot", '{"type":"EVENT"}', "event: no usable fields"),
+        ("null", '{"battery":null}', "battery: no usable value"), ("other", "[1]", "not a reading: other"),
+    ]
+    assert [(r.robot_id, r.message, r.msg_id, str(r.dt)) for r in read("events")] == [(4, "Entered zone", "event", "2026-07-22")]
+    assert [(r.type, r.command_id, r.robot_id, r.command_type, r.status, r.payload) for r in read("commands")] == [("COMMAND_UPDATE", "c1", 4, "RESUME", "COMPLETED", command)]
     assert sum(counts.values()) == 6
-    back = spark.read.schema(schemas.TELEMETRY).parquet(table)
-    assert back.orderBy(F.desc("id")).first().robot_id == 5
+    assert sorted((r.batch_id, r.readings, r.events, r.commands, r.rejects) for r in read("metrics")) == [(0, 5, 1, 1, 4), (1, 1, 0, 0, 0)]
+    assert all(r.write_ms > 0 for r in read("metrics"))
+    assert tables.read_ingested(spark, root).orderBy(F.desc("id")).first().robot_id == 5
 
 
-def test_repeated_batch_replaces_itself(spark, tmp_path):
+def test_repeated_and_crashed_batches(spark, tmp_path, monkeypatch):
     prepare_streaming(spark)
-    table, rejects = str(tmp_path / "table"), str(tmp_path / "rejects")
+    root = str(tmp_path / "root")
     rows = [(f"m{i}", reading(i, 50.0, T0), T0) for i in range(4)]
     batch = spark.createDataFrame(rows, schemas.MESSAGES)
-    write = ingest.store_batch(table, rejects)
+    write = ingest.store_batch(root)
+    with monkeypatch.context() as patch:  # all files are written, the commit is lost
+        patch.setattr(Versions, "_publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            write(batch, 0)
+    assert tables.read_ingested(spark, root).count() == 0
     write(batch, 0)
     write(batch, 0)
     write(spark.createDataFrame([("m9", reading(9, 1.0, T0), T0)], schemas.MESSAGES), 1)
-    assert sorted(r.msg_id for r in spark.read.parquet(table).collect()) == ["m0", "m1", "m2", "m3", "m9"]
+    write(spark.createDataFrame([], schemas.MESSAGES), 2)
+    assert sorted(r.msg_id for r in tables.read_ingested(spark, root).collect()) == ["m0", "m1", "m2", "m3", "m9"]
+    assert Versions(spark, root).vacuum(keep_versions=1, min_age_seconds=0) >= 2
+    assert tables.read_ingested(spark, root).count() == 5
 
 
 def test_late_messages_stay_and_late_repeats_go(spark, tmp_path):
     prepare_streaming(spark)
-    table, rejects = str(tmp_path / "table"), str(tmp_path / "rejects")
-    write = ingest.store_batch(table, rejects)
+    root = str(tmp_path / "root")
+    write = ingest.store_batch(root)
     batches = [
         [(f"m{i}", reading(i, 50.0, T0), T0 + timedelta(minutes=30)) for i in range(5)] + [("bad", "junk{", T0)],
         [(f"late{i}", reading(i, 40.0, T0 - timedelta(days=2)), T0 - timedelta(hours=1)) for i in range(5)],
@@ -70,17 +90,36 @@ def test_late_messages_stay_and_late_repeats_go(spark, tmp_path):
     ]
     for i, rows in enumerate(batches):
         write(spark.createDataFrame(rows, schemas.MESSAGES), i)
-    stored = tables.read_telemetry(spark, table)
-    assert stored.count() == 11 and spark.read.parquet(rejects).count() == 1
+    stored = tables.read_ingested(spark, root)
+    assert stored.count() == 11 and tables.read_ingested(spark, root, "rejects").count() == 1
     assert stored.select("id").distinct().count() == 11
     # Retention on the table that ingest writes, then more ingest.
-    assert tables.retention_job(spark, table, T0 + timedelta(hours=12)) == 5
+    assert tables.retention_job(spark, root, T0 + timedelta(hours=12), table="telemetry") == 5
     write(spark.createDataFrame([("after", reading(8, 1.0, T0), T0)], schemas.MESSAGES), 3)
-    assert sorted(r.robot_id for r in tables.read_telemetry(spark, table).collect()) == [0, 1, 2, 3, 4, 7, 8]
-    alerts = stateful.geofence_stream(spark.readStream.schema(stored.schema).option("recursiveFileLookup", "true").parquet(table), 900)
+    assert sorted(r.robot_id for r in tables.read_ingested(spark, root).collect()) == [0, 1, 2, 3, 4, 7, 8]
+    assert tables.drop_days(spark, root, "message_ids", (T0 + timedelta(days=1)).date()) > 0
+    assert tables.read_ingested(spark, root, "message_ids").count() == 0
+    alerts = stateful.geofence_stream(spark.readStream.schema(stored.schema).option("recursiveFileLookup", "true").parquet(f"{root}/telemetry"), 900)
     assert run_to_memory(alerts, "ingested_alerts").count() == 0
 
 
+def test_a_batch_reads_the_ids_of_its_slots_only(spark, tmp_path, monkeypatch):
+    """Batches through a day: what one of them looks up does not grow with the day."""
+    prepare_streaming(spark)
+    root, read = str(tmp_path / "root"), []
+    write = ingest.store_batch(root)
+    for i in range(12):
+        at = T0 + timedelta(hours=2 * i)
+        write(spark.createDataFrame([(f"m{i}-{k}", reading(k, 50.0, at), at) for k in range(5)] + [(f"bad{i}", "junk{", at)], schemas.MESSAGES), i)
+    real = Versions.read
+    monkeypatch.setattr(Versions, "read", lambda self, table, *a, **k: read.append(real(self, table, *a, **k)) or read[-1])
+    write(spark.createDataFrame([("m3-1", reading(1, 50.0, T0 + timedelta(hours=6)), T0), ("more", reading(1, 5.0, T0 + timedelta(hours=6)), T0)], schemas.MESSAGES), 99)
+    assert [len(df.inputFiles()) for df in read] == [1]
+    assert tables.read_ingested(spark, root).count() == 61
+    assert tables.compact(spark, root, (T0 + timedelta(days=9)).date(), "message_ids") > 0
+    assert tables.read_ingested(spark, root, "message_ids").count() == 12 * 6 + 1
+
+
 def test_ids_of_one_instant_are_unique_and_repeat(spark):
     messages = spark.range(100_000).select(F.concat(F.lit("m"), "id").alias("msg_id"), F.lit(T0).alias("received_at"))
     first, again = ingest.numbered(messages, 7), ingest.numbered(messages.repartition(5), 7)
