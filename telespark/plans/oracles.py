@@ -660,5 +660,17 @@ def _stream_oracles(batch: dict[str, str]) -> dict[str, str]:
             "SELECT robot_id, 'OFFLINE' AS status, epoch_us(max(timestamp)) AS last_seen_us FROM telemetry GROUP BY 1", "telemetry"
         ),
         "geofence_stream": _alerts(45, "id, robot_id"),
+        "status_changes_stream": _with(
+            "SELECT robot_id, status, since_us FROM (SELECT *, lag(status) OVER (PARTITION BY robot_id ORDER BY since_us, id, late) AS before FROM shown) "
+            "WHERE before IS NULL OR before <> status",
+            "telemetry",
+            extra="reported AS (SELECT id, robot_id, status, epoch_us(timestamp) AS us, "
+            "epoch_us(timestamp) + CASE WHEN coalesce(status, '') = '' THEN 180000000 ELSE 60000000 END AS until, "
+            "lead(epoch_us(timestamp)) OVER (PARTITION BY robot_id ORDER BY timestamp, id) AS next_us FROM telemetry), "
+            "shown AS (SELECT id, robot_id, CASE WHEN coalesce(status, '') = '' THEN 'ACTIVE' ELSE upper(status) END AS status, us AS since_us, 0 AS late FROM reported "
+            "UNION ALL SELECT id, robot_id, 'OFFLINE', until, 1 FROM reported WHERE next_us IS NULL OR next_us > until)",
+        ),
+        "feed_stream": f"SELECT payload FROM ({batch['to_feed_telemetry']})",
         "command_stream": batch["update_outcomes"],
+        "command_table_stream": batch["apply_status_updates"].replace("c JOIN fold", "c LEFT JOIN fold"),
     }

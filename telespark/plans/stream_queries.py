@@ -10,7 +10,7 @@ from pyspark.sql.types import LongType
 
 from telespark import constants as K
 from telespark.functions import scalars as S
-from telespark.operators import analytics, status
+from telespark.operators import analytics, live, status
 from telespark.session import prepare_streaming, scratch_dir
 from telespark.sources import fixtures as fx
 from telespark.sources import tables
@@ -37,6 +37,17 @@ def _messages(spark, sf):
     return fx.feed_from(_stream(spark, sf, "events", EVENTS_SCHEMA))
 
 
+#: An event long after all others: the watermark that it brings closes windows and releases what waits. It is of robot -1 and no command.
+_LAST = [(-4, datetime(2100, 1, 1), -1, "view", 0.0, '{"k": 99}')]
+
+
+def _events_and_end(spark, sf):
+    """The events as a stream, and behind them one that ends event time."""
+    end = scratch_dir(spark, "end")
+    spark.createDataFrame(_LAST, EVENTS_SCHEMA).coalesce(1).write.parquet(end)
+    return _stream(spark, sf, "events", EVENTS_SCHEMA).union(spark.readStream.schema(EVENTS_SCHEMA).parquet(end))
+
+
 def _drain(df: DataFrame, label: str, mode: str = "append", idle_batches: bool = True) -> DataFrame:
     """Runs the stream to its end into a file sink (append) or per-batch folders (update), and reads it back.
 
@@ -117,8 +128,9 @@ def health_trend_stream(spark, sf):
 
 
 def mission_completions_stream(spark, sf):
-    done = _drain(views.completed_missions_stream(_readings(spark, sf)), "missions")
-    counts = done.groupBy("mission_type").agg(F.count(F.lit(1)).alias("count"))
+    """The streaming count itself: windows that the watermark has closed."""
+    readings = fx.telemetry_from(_events_and_end(spark, sf))
+    counts = _drain(views.mission_completions_stream(readings), "missions").groupBy("mission_type").agg(F.sum("count").alias("count"))
     return analytics.zero_fill(counts, "mission_type", K.MISSION_TYPES)
 
 
@@ -142,22 +154,45 @@ def replace_snapshot(spark, sf):
     return spark.read.parquet(last[-1]).select("robot_id", "battery", "status", "runtime_remaining_minutes")
 
 
+def feed_stream(spark, sf):
+    """What the stream of readings publishes, a message a line."""
+    out = scratch_dir(spark, "feed")
+    views.feed_stream(live.to_feed(_readings(spark, sf), "telemetry"), out, f"{out}-checkpoint").awaitTermination()
+    return spark.read.text(out).withColumnRenamed("value", "payload")
+
+
 def live_status_stream(spark, sf):
     return _drain(stateful.live_status_stream(_readings(spark, sf)), "status", idle_batches=False)
 
 
+def status_changes_stream(spark, sf):
+    changes = _drain(stateful.status_changes_stream(fx.telemetry_from(_events_and_end(spark, sf))), "changes")
+    return changes.where("robot_id >= 0")
+
+
 def geofence_stream(spark, sf):
-    return _drain(stateful.geofence_stream(_readings(spark, sf)), "fence").select("id", "robot_id")
+    return _drain(stateful.geofence_stream(fx.telemetry_from(_events_and_end(spark, sf))), "fence").select("id", "robot_id")
 
 
-def command_stream(spark, sf):
-    """Outcomes of all status requests; every command exists before the first of them."""
-    orders = _stream(spark, sf, "orders", ORDERS_SCHEMA)
+def _command_outcomes(spark, sf):
+    """Outcomes of all status requests; every command exists before the first of them, half of them in the table that the stream starts from."""
     start = F.lit(datetime(2023, 12, 31, tzinfo=timezone.utc))
-    created = fx.commands_from(orders).withColumns({"created_at": start, "timeout_seconds": F.lit(None).cast("int")})
-    updates = fx.command_updates_from(_stream(spark, sf, "events", EVENTS_SCHEMA))
-    outcomes = _drain(stateful.command_stream(stateful.command_log(created, updates)), "commands", idle_batches=False)
-    return outcomes.select("update_id", "command_id", "outcome")
+    fresh = lambda orders: fx.commands_from(orders).withColumns({"created_at": start, "status": F.lit("PENDING"), "timeout_seconds": F.lit(None).cast("int")})
+    created = fresh(_stream(spark, sf, "orders", ORDERS_SCHEMA).where("o_orderkey % 2 = 0"))
+    stored = fresh(fx.table(spark, sf, "orders").where("o_orderkey % 2 <> 0"))
+    updates = fx.command_updates_from(_events_and_end(spark, sf))
+    outcomes = _drain(stateful.command_stream(stateful.command_log(created, updates), stored), "commands")
+    return fresh(fx.table(spark, sf, "orders")), outcomes.where("update_id >= 0 OR update_id IS NULL")
+
+
+def command_stream(spark, sf):
+    return _command_outcomes(spark, sf)[1].select("update_id", "command_id", "outcome")
+
+
+def command_table_stream(spark, sf):
+    """The command table as the stream has left it."""
+    after = stateful.command_table(*_command_outcomes(spark, sf))
+    return after.select("id", "status", *[S.iso_utc(F.col(c)).alias(c) for c in ("dispatched_at", "acknowledged_at", "started_at", "completed_at")])
 
 
 def all_queries():
@@ -165,6 +200,6 @@ def all_queries():
         f.__name__: f
         for f in (
             ingest_stream, ingest_stream_rejects, ingest_events, ingest_metrics, ingest_then_compact, dedupe_stream, health_trend_stream, mission_completions_stream,
-            coalesce_live_stream, replace_snapshot, live_status_stream, geofence_stream, command_stream,
+            coalesce_live_stream, replace_snapshot, feed_stream, live_status_stream, status_changes_stream, geofence_stream, command_stream, command_table_stream,
         )
     }

@@ -1,7 +1,7 @@
 """Per-key stream state: live status with timers, geofence alerts, command lifecycle.
 
-State per key is a handful of scalars. Each trigger's share of a key is bounded by the source's
-rate limit, and rows arrive as Arrow batches.
+State per key is a handful of scalars and, where order matters, the rows that the watermark has not passed yet. Each trigger's
+share of a key is bounded by the source's rate limit, and rows arrive as Arrow batches.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from telespark import constants as K
 from telespark.operators import commands
+from telespark.streaming.ingest import WATERMARK
 
 
 def _rows(batches, *columns: str) -> list[tuple]:
@@ -75,75 +76,276 @@ def live_status_stream(
     )
 
 
-class FenceAlerts(StatefulProcessor):
+class InOrder(StatefulProcessor):
+    """Hands a key's rows to `advance` in order of time, whatever order they arrive in.
+
+    By event time, rows wait in the state until the watermark has passed them, so that no earlier one can come any more; a timer releases them. By
+    processing time they are handed on as they arrive, those of a trigger in order. `advance` also learns how far the clock has come, and `due` when it wants to be called again.
+    """
+
+    COLUMNS: tuple[str, ...]  # the first is the time in microseconds, and the first ORDER are the order
+    TYPES: str
+    ORDER = 2
+
+    def __init__(self, event_time: bool) -> None:
+        self.event_time = event_time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.TYPES)
+        self.timer = handle.getValueState("timer", "ms bigint")
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def advance(self, key, rows: list[tuple], now_us: int) -> list[tuple]:
+        raise NotImplementedError
+
+    def due(self) -> int | None:
+        """Microseconds at which the state changes without new rows."""
+        return None
+
+    def frame(self, out: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues):
+        whole = [t.split()[1] in ("bigint", "int") for t in self.TYPES.split(", ")]
+        cells = ((map(_plain, t) for t in zip(*(batch[c] for c in self.COLUMNS))) for batch in rows)
+        # A column of integers with missing ones comes as doubles.
+        new = [tuple(int(v) if v is not None and w else v for v, w in zip(t, whole)) for batch in cells for t in batch]
+        if self.event_time:
+            if new:
+                self.waiting.appendList(new)
+                self._wake(min(t[0] for t in new))
+            return
+        out = self.advance(key, self._sorted(new), timerValues.getCurrentProcessingTimeInMs() * 1000)
+        self._wake(self.due())
+        if out:
+            yield self.frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.timer.clear()
+        now_us = 1000 * (timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs())
+        rows = self._sorted(self.waiting.get()) if self.event_time and self.waiting.exists() else []
+        ready, later = [t for t in rows if t[0] <= now_us], [t for t in rows if t[0] > now_us]
+        if ready:
+            self.waiting.put(later) if later else self.waiting.clear()
+        out = self.advance(key, ready, now_us)
+        times = [t for t in (self.due(), later[0][0] if later else None) if t is not None]
+        self._wake(min(times, default=None))
+        if out:
+            yield self.frame(out)
+
+    def _sorted(self, rows) -> list[tuple]:
+        return sorted(rows, key=lambda t: t[: self.ORDER])
+
+    def _wake(self, us: int | None) -> None:
+        """One timer a key, the earliest; none where nothing is due."""
+        wanted = None if us is None else us // 1000 + 1
+        known = self.timer.get()[0] if self.timer.exists() else None
+        if self.event_time and known is not None and (wanted is None or known <= wanted):
+            return
+        if known is not None and known != wanted:
+            self.handle.deleteTimer(known)
+        if wanted is None:
+            self.timer.clear()
+        elif known != wanted:
+            self.handle.registerTimer(wanted)
+            self.timer.update((wanted,))
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(value):
+    """A Python value of a cell; None for all that is missing."""
+    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+        return None
+    return value.item() if hasattr(value, "item") else value
+
+
+class FenceAlerts(InOrder):
     """Hysteresis state and cooldown per robot."""
 
+    COLUMNS, TYPES = ("us", "id", "distance"), "us bigint, id bigint, distance double"
+
     def __init__(self, cooldown_seconds: int) -> None:
+        super().__init__(event_time=True)
         self.cooldown = cooldown_seconds * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.fence = handle.getValueState("fence", "inside boolean, last_alert bigint")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def advance(self, key, rows, now_us):
         inside, last_alert = self.fence.get() if self.fence.exists() else (False, None)
         alerts = []
-        for us, id_, distance in _rows(rows, "us", "id", "distance"):
+        for us, id_, distance in rows:
             if not inside and distance < K.FENCE_ENTER:
                 inside = True
                 if last_alert is None or us >= last_alert + self.cooldown:
-                    last_alert = int(us)
-                    alerts.append((int(id_), int(us)))
+                    last_alert = us
+                    alerts.append((id_, key[0], us))
             elif inside and distance > K.FENCE_EXIT:
                 inside = False
-        self.fence.update((bool(inside), last_alert))
-        if alerts:
-            ids, times = zip(*alerts)
-            yield pd.DataFrame({"id": ids, "robot_id": [key[0]] * len(ids), "us": times})
+        if rows:
+            self.fence.update((inside, last_alert))
+        return alerts
 
-    def close(self) -> None:
-        pass
+    def frame(self, out):
+        return pd.DataFrame(out, columns=["id", "robot_id", "us"])
 
 
-def geofence_stream(readings: DataFrame, cooldown_seconds: int = K.FENCE_COOLDOWN_SECONDS) -> DataFrame:
-    """(id, robot_id, us) of fence alerts. Only rows that can change a state reach the processor."""
+def geofence_stream(readings: DataFrame, cooldown_seconds: int = K.FENCE_COOLDOWN_SECONDS, delay: str = WATERMARK) -> DataFrame:
+    """(id, robot_id, us) of fence alerts, those of the batch operator for any order of arrival within `delay`.
+
+    An alert comes when the watermark has passed it. Only rows that can change a state reach the processor.
+    """
     distance = F.hypot(F.col("x") - F.lit(K.FENCE_X), F.col("y") - F.lit(K.FENCE_Y))
-    narrow = readings.select("robot_id", "id", F.unix_micros("timestamp").alias("us"), distance.alias("distance"))
+    timed = readings.withWatermark("timestamp", delay)
+    narrow = timed.select("robot_id", "id", "timestamp", F.unix_micros("timestamp").alias("us"), distance.alias("distance"))
     decisive = narrow.filter((F.col("distance") < K.FENCE_ENTER) | (F.col("distance") > K.FENCE_EXIT))
     return decisive.groupBy("robot_id").transformWithStateInPandas(
-        FenceAlerts(cooldown_seconds), "id bigint, robot_id int, us bigint", "Append", "None"
+        FenceAlerts(cooldown_seconds), "id bigint, robot_id int, us bigint", "Append", "EventTime"
     )
 
 
-class CommandState(StatefulProcessor):
-    """Applies status requests in order and times a command out when its expiry passes."""
+class StatusChanges(InOrder):
+    """The status a robot shows as event time goes on: what it reports, and OFFLINE once its last report is too old."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "status string")
+    COLUMNS, TYPES = ("us", "id", "status"), "us bigint, id bigint, status string"
 
-    def handleInputRows(self, key, rows, timerValues):
-        status = self.state.get()[0] if self.state.exists() else None
+    def __init__(self, stale_seconds: int, gone_seconds: int) -> None:
+        super().__init__(event_time=True)
+        self.stale, self.gone = stale_seconds * 1_000_000, gone_seconds * 1_000_000
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.shown = handle.getValueState("shown", "us bigint, reported string, shown string")
+
+    def due(self):
+        if not self.shown.exists():
+            return None
+        us, reported, shown = self.shown.get()
+        return None if shown == "OFFLINE" else us + (self.stale if reported else self.gone)
+
+    def advance(self, key, rows, now_us):
+        last, out = self.shown.get() if self.shown.exists() else None, []
+
+        def pass_time(until):
+            nonlocal last
+            if last is not None and last[2] != "OFFLINE":
+                limit = last[0] + (self.stale if last[1] else self.gone)
+                if until > limit:  # at the limit itself a report is not too old
+                    last = (*last[:2], "OFFLINE")
+                    out.append((key[0], "OFFLINE", limit))
+
+        for us, _, reported in rows:
+            pass_time(us)
+            shown = reported.upper() if reported else "ACTIVE"
+            if last is None or last[2] != shown:
+                out.append((key[0], shown, us))
+            last = (us, reported, shown)
+        pass_time(now_us)
+        if last is not None:
+            self.shown.update(last)
+        return out
+
+    def frame(self, out):
+        return pd.DataFrame(out, columns=["robot_id", "status", "since_us"])
+
+
+def status_changes_stream(
+    readings: DataFrame, stale_seconds: int = K.STALE_STATUS_SECONDS, gone_seconds: int = K.STALE_ROBOT_SECONDS, delay: str = WATERMARK
+) -> DataFrame:
+    """(robot_id, status, since_us): each change of the status a robot shows, by the clock of the events; for any order of arrival within `delay`."""
+    timed = readings.withWatermark("timestamp", delay).select("robot_id", "timestamp", F.unix_micros("timestamp").alias("us"), "id", "status")
+    return timed.groupBy("robot_id").transformWithStateInPandas(
+        StatusChanges(stale_seconds, gone_seconds), "robot_id int, status string, since_us bigint", "Append", "EventTime"
+    )
+
+
+_STATE = (
+    "status string, expires_us bigint, timeout_seconds bigint, forget_us bigint, dispatched_us bigint, acknowledged_us bigint, "
+    "started_us bigint, completed_us bigint, result string, error_code string, error_message string"
+)
+_FIELDS = [c.split()[0] for c in _STATE.split(", ")]
+_SHOWN = ["dispatched_us", "acknowledged_us", "started_us", "completed_us", "result", "error_code", "error_message"]
+_STAMPED = {"DISPATCHED": "dispatched_us", "ACKNOWLEDGED": "acknowledged_us", "EXECUTING": "started_us"}
+
+
+class CommandState(InOrder):
+    """Applies status requests in order, and times a command out when its expiry passes; ended commands are forgotten after a while."""
+
+    COLUMNS = ("us", "kind", "update_id", "requested_status", "expires_us", "timeout_seconds", "result", "error_code", "error_message")
+    TYPES = "us bigint, kind int, update_id bigint, requested_status string, expires_us bigint, timeout_seconds bigint, result string, error_code string, error_message string"
+    ORDER = 3
+
+    def __init__(self, event_time: bool, keep_seconds: int) -> None:
+        super().__init__(event_time)
+        self.keep = keep_seconds * 1_000_000
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.command = handle.getValueState("command", _STATE)
+
+    def handleInitialState(self, key, initialState, timerValues):
+        stored = {c: _plain(initialState[c].iloc[0]) for c in _FIELDS}
+        stored |= {c: int(v) for c, v in stored.items() if v is not None and (c.endswith("_us") or c == "timeout_seconds")}
+        if stored["status"] in K.TERMINAL_STATES and stored["forget_us"] is None:
+            stored["forget_us"] = (stored["completed_us"] or 0) + self.keep
+        self.command.update(tuple(stored[c] for c in _FIELDS))
+        self._wake(self.due())
+
+    def due(self):
+        if not self.command.exists():
+            return None
+        stored = dict(zip(_FIELDS, self.command.get()))
+        return stored["forget_us"] if stored["status"] in K.TERMINAL_STATES else stored["expires_us"]
+
+    def advance(self, key, rows, now_us):
+        stored = dict(zip(_FIELDS, self.command.get())) if self.command.exists() else None
         out = []
-        for us, update_id, requested, expires_us in _rows(rows, "us", "update_id", "requested_status", "expires_us"):
-            if requested == "CREATED":
-                if status is None:
-                    status = "PENDING"
-                    if not pd.isna(expires_us):
-                        self.handle.registerTimer(int(expires_us) // 1000 + 1)
+
+        def end(at_us):
+            stored["completed_us"] = at_us
+            stored["forget_us"] = (at_us if self.event_time else max(at_us, now_us)) + self.keep
+
+        def pass_time(until):
+            nonlocal stored
+            if stored is None:
+                return
+            if stored["status"] not in K.TERMINAL_STATES and stored["expires_us"] is not None and stored["expires_us"] < until:
+                seconds = stored["timeout_seconds"]
+                text = None if seconds is None else f"Command did not complete within {seconds} seconds"
+                stored |= {"status": "TIMEOUT", "error_code": "TIMEOUT", "error_message": text}
+                end(stored["expires_us"])
+                out.append(self._row(None, key, "accepted", stored, stored["expires_us"]))
+            if stored["status"] in K.TERMINAL_STATES and stored["forget_us"] < until:
+                stored = None
+
+        for us, kind, update_id, requested, expires_us, timeout, *given in rows:
+            pass_time(us)
+            if kind == 0:
+                if stored is None:
+                    stored = dict.fromkeys(_FIELDS) | {"status": "PENDING", "expires_us": expires_us, "timeout_seconds": timeout}
                 continue
-            outcome = self._judge(status, requested)
+            outcome = self._judge(stored, requested)
             if outcome == "accepted":
-                status = requested
-            out.append((int(update_id), key[0], outcome, status, int(us)))
-        if status is not None:
-            self.state.update((status,))
-        if out:
-            yield self._frame(out)
+                self._move(stored, requested, us, *given)
+                if requested in K.TERMINAL_STATES:
+                    end(us)
+            out.append(self._row(update_id, key, outcome, stored, us))
+        pass_time(now_us)
+        if stored is not None:
+            self.command.update(tuple(stored[c] for c in _FIELDS))
+        elif self.command.exists():
+            self.command.clear()
+        return out
 
     @staticmethod
-    def _judge(status, requested):
-        if status is None:
+    def _judge(stored, requested):
+        if stored is None:
             return "Command not found"
+        status = stored["status"]
         if status == requested:
             return "unchanged"
         if status in K.TERMINAL_STATES:
@@ -152,40 +354,84 @@ class CommandState(StatefulProcessor):
             return "accepted"
         return f"Invalid transition from {status} to {requested}"
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        status = self.state.get()[0]
-        if status not in K.TERMINAL_STATES:
-            self.state.update(("TIMEOUT",))
-            yield self._frame([(None, key[0], "accepted", "TIMEOUT", expiredTimerInfo.getExpiryTimeInMs() * 1000)])
+    @staticmethod
+    def _move(stored, requested, us, result, error_code, error_message):
+        stored["status"] = requested
+        if requested in _STAMPED:
+            stored[_STAMPED[requested]] = us
+        elif requested == "COMPLETED":
+            stored["result"] = result
+        else:
+            stored |= {"error_code": error_code, "error_message": error_message}
+            if result not in (None, "", "{}", "null"):
+                stored["result"] = result
 
     @staticmethod
-    def _frame(out):
-        update_ids, commands_, outcomes, states, times = zip(*out)
-        return pd.DataFrame(
-            {"update_id": pd.array(update_ids, dtype="Int64"), "command_id": commands_, "outcome": outcomes, "status": states, "us": times}
-        )
+    def _row(update_id, key, outcome, stored, us):
+        shown = [None] * (1 + len(_SHOWN)) if stored is None else [stored[c] for c in ("status", *_SHOWN)]
+        return (update_id, key[0], outcome, us, *shown)
 
-    def close(self) -> None:
-        pass
+    def frame(self, out):
+        whole = pd.DataFrame(out, columns=["update_id", "command_id", "outcome", "us", "status", *_SHOWN])
+        return whole.astype({c: "Int64" for c in ("update_id", "us", *(c for c in _SHOWN if c.endswith("_us")))})
 
 
-OUTCOME_SCHEMA = "update_id bigint, command_id string, outcome string, status string, us bigint"
+OUTCOME_SCHEMA = (
+    "update_id bigint, command_id string, outcome string, us bigint, status string, dispatched_us bigint, acknowledged_us bigint, "
+    "started_us bigint, completed_us bigint, result string, error_code string, error_message string"
+)
 
 
 def command_log(created: DataFrame, updates: DataFrame) -> DataFrame:
-    """Creations and status requests as one ordered log for command_stream."""
+    """Creations (`kind` 0) and status requests (1) as one log for command_stream; `at` is the event time."""
     with_expiry = created if "expires_at" in created.columns else commands.with_expiry(created)
+    nothing = lambda *names: [F.lit(None).cast("string").alias(c) for c in names]
     creations = with_expiry.select(
-        F.col("id").alias("command_id"), F.lit(-1).cast("bigint").alias("update_id"), F.lit("CREATED").alias("requested_status"),
-        F.unix_micros("created_at").alias("us"), F.unix_micros("expires_at").alias("expires_us"),
+        F.col("id").alias("command_id"), F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("update_id"), *nothing("requested_status"),
+        F.col("created_at").alias("at"), F.unix_micros("created_at").alias("us"), F.unix_micros("expires_at").alias("expires_us"),
+        F.col("timeout_seconds").cast("bigint").alias("timeout_seconds"), *nothing("result", "error_code", "error_message"),
     )
+    given = [F.col(c) if c in updates.columns else nothing(c)[0] for c in ("result", "error_code", "error_message")]
     requests = updates.select(
-        "command_id", "update_id", "requested_status", F.unix_micros("requested_at").alias("us"),
-        F.lit(None).cast("bigint").alias("expires_us"),
+        "command_id", F.lit(1).alias("kind"), "update_id", "requested_status", F.col("requested_at").alias("at"), F.unix_micros("requested_at").alias("us"),
+        F.lit(None).cast("bigint").alias("expires_us"), F.lit(None).cast("bigint").alias("timeout_seconds"), *given,
     )
     return creations.unionByName(requests)
 
 
-def command_stream(log: DataFrame) -> DataFrame:
-    """One outcome per status request, and a TIMEOUT for every command whose expiry passes."""
-    return log.groupBy("command_id").transformWithStateInPandas(CommandState(), OUTCOME_SCHEMA, "Append", "ProcessingTime")
+def command_state(stored: DataFrame) -> DataFrame:
+    """Rows of a command table as command_stream starts from them."""
+    have = stored if "expires_at" in stored.columns else commands.with_expiry(stored)
+    times = {"expires_us": "expires_at", "dispatched_us": "dispatched_at", "acknowledged_us": "acknowledged_at", "started_us": "started_at", "completed_us": "completed_at"}
+    kinds = dict(c.split() for c in _STATE.split(", "))
+
+    def value(name):
+        source = times.get(name, name)
+        if source not in have.columns:
+            return F.lit(None).cast(kinds[name]).alias(name)
+        return (F.unix_micros(source) if name in times else F.col(source).cast(kinds[name])).alias(name)
+
+    return have.select(F.col("id").alias("command_id"), *[value(c) for c in _FIELDS])
+
+
+def command_stream(log: DataFrame, stored: DataFrame | None = None, event_time: bool = True, delay: str = WATERMARK, keep_seconds: int = 86_400) -> DataFrame:
+    """One row for each status request and one for every command whose expiry passes: the outcome, and the command's status, times, result and error after it.
+
+    By event time, requests apply in their order whatever order they arrive in within `delay`, and expiries pass with the watermark; else both
+    follow the wall clock. `stored`: a command table from before the stream. A command's state goes `keep_seconds` after its end; requests after that are not found.
+    """
+    timed = log.withWatermark("at", delay) if event_time else log
+    start = None if stored is None else command_state(stored).groupBy("command_id")
+    mode = "EventTime" if event_time else "ProcessingTime"
+    return timed.groupBy("command_id").transformWithStateInPandas(CommandState(event_time, keep_seconds), OUTCOME_SCHEMA, "Append", mode, start)
+
+
+def command_table(stored: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The command table after what a drained command_stream has accepted."""
+    changed = outcomes.where("outcome = 'accepted'")
+    fields = ["status", *_SHOWN]
+    last = changed.groupBy("command_id").agg(F.max_by(F.struct(*fields), F.struct("us", F.coalesce("update_id", F.lit((1 << 63) - 1)))).alias("new"))
+    named = {c: (F.timestamp_micros(F.col(f"new.{c}")), c.removesuffix("_us") + "_at") if c.endswith("_us") else (F.col(f"new.{c}"), c) for c in fields}
+    joined = stored.join(last.withColumnRenamed("command_id", "id"), "id", "left")
+    kept = lambda c: F.col(c) if c in stored.columns else F.lit(None)
+    return joined.withColumns({c: F.when(F.col("new").isNotNull(), value).otherwise(kept(c)) for value, c in named.values()}).drop("new")

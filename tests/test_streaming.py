@@ -5,10 +5,12 @@ import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from telespark import constants as K
 from telespark import schemas
-from telespark.operators import live, spatial
+from telespark.operators import commands, live, spatial
 from telespark.session import prepare_streaming
 from telespark.sources import fixtures, tables
 from telespark.sources.versions import Versions
@@ -133,19 +135,117 @@ def run_to_memory(df, name):
     return df.sparkSession.table(name)
 
 
-def test_geofence_over_batches(spark, sf, tmp_path):
+LAST = datetime(2100, 1, 1, tzinfo=timezone.utc)
+
+
+def shuffled(spark, df, time_column, path, triggers=20, minutes=9):
+    """A stream of the rows in 20 triggers, dealt out by a random delay of up to `minutes`, and of a last row far in the future. Returns its files' schema."""
+    late = F.unix_micros(time_column) + (F.rand(5) * minutes * 60_000_000).cast("bigint")
+    dealt = df.withColumn("_late", late).withColumn("_file", F.ntile(triggers).over(Window.orderBy("_late"))).persist()
+    for i in range(1, triggers + 1):
+        dealt.where(F.col("_file") == i).drop("_late", "_file").coalesce(1).write.mode("append").parquet(path)
+    dealt.unpersist()
+    return df.schema
+
+
+def stream_of(spark, schema, path):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def close(spark, schema, path, **values):
+    row = {f.name: None for f in schema.fields} | values
+    spark.createDataFrame([tuple(row.values())], schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_geofence_in_any_order_of_arrival(spark, sf, tmp_path):
     prepare_streaming(spark)
-    rows = fixtures.telemetry(spark, sf).select("id", "robot_id", "x", "y", "timestamp")
-    path = str(tmp_path / "readings")
-    for low, high in ((0, 20), (20, 40), (40, 61)):
-        minute = F.minute("timestamp")
-        rows.filter((minute >= low) & (minute < high)).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    got = run_to_memory(stateful.geofence_stream(stream, 900), "fence_alerts")
+    rows, path = fixtures.telemetry(spark, sf).select("id", "robot_id", "x", "y", "timestamp"), str(tmp_path / "readings")
+    schema = shuffled(spark, rows, "timestamp", path)
+    close(spark, schema, path, id=-1, robot_id=-1, x=0.0, y=0.0, timestamp=LAST)
+    got = run_to_memory(stateful.geofence_stream(stream_of(spark, schema, path), 900), "fence_alerts")
     want = spatial.geofence_alerts(rows, 900)
     assert {r.id for r in got.collect()} == {r.id for r in want.collect()}
 
 
+def test_status_changes_by_event_time(spark, tmp_path):
+    prepare_streaming(spark)
+    at = lambda seconds: T0 + timedelta(seconds=seconds)
+    seen = [(1, 1, "active", at(0)), (2, 1, "charging", at(60)), (3, 1, None, at(200)), (4, 1, "", at(380)), (5, 1, "dead", at(561)), (6, 2, "low power", at(5)), (7, 2, "low power", at(6))]
+    path, schema = str(tmp_path / "readings"), "id int, robot_id int, status string, timestamp timestamp"
+    for row in (seen[4], seen[1], seen[6], seen[0], seen[5], seen[3], seen[2]):  # a file each
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(path)
+    close(spark, spark.createDataFrame([], schema).schema, path, id=0, robot_id=-1, timestamp=LAST)
+    stream = stateful.status_changes_stream(stream_of(spark, schema, path))
+    got = run_to_memory(stream, "status_changes").where("robot_id > 0").collect()
+    since = lambda r: (r.since_us - int(T0.timestamp() * 1_000_000)) / 1e6
+    assert sorted((r.robot_id, since(r), r.status) for r in got) == [
+        (1, 0, "ACTIVE"), (1, 60, "CHARGING"), (1, 120, "OFFLINE"), (1, 200, "ACTIVE"), (1, 560, "OFFLINE"), (1, 561, "DEAD"), (1, 621, "OFFLINE"),
+        (2, 5, "LOW POWER"), (2, 66, "OFFLINE"),
+    ]
+
+
+#: What the last row keeps in the state, since event time never passes it: itself and its timer.
+OF_LAST_ROW = 4
+
+
+def drained(df, name):
+    query = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.table(name), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_commands_in_any_order_of_arrival(spark, sf, tmp_path):
+    """The stream leaves the table of the batch operator, and the state of live commands only."""
+    prepare_streaming(spark)
+    updates = fixtures.command_updates(spark, sf).withColumns({
+        "result": F.when(F.col("update_id") % 3 == 0, F.lit('{"ok":1}')), "error_code": F.lit("E7"), "error_message": F.concat(F.lit("m"), "update_id"),
+    })
+    begin = F.lit(datetime(2023, 12, 31, 23, 55, tzinfo=timezone.utc))
+    stored = fixtures.commands(spark, sf).select("id", "robot_id", F.lit("PENDING").alias("status"), begin.alias("created_at"), F.lit(None).cast("int").alias("timeout_seconds"))
+    log = stateful.command_log(stored.where("robot_id % 2 = 0"), updates)
+    path = str(tmp_path / "log")
+    schema = shuffled(spark, log, "at", path)
+    close(spark, schema, path, command_id="last", kind=1, update_id=-1, requested_status="DISPATCHED", at=LAST, us=int(LAST.timestamp() * 1_000_000))
+    outcomes, state = drained(stateful.command_stream(stream_of(spark, schema, path), stored.where("robot_id % 2 = 1")), "any_order")
+    got = outcomes.where("update_id >= 0")
+    want_table, want_outcomes = commands.apply_status_updates(stored, updates)
+    key = ["update_id", "command_id", "outcome"]
+    assert sorted(map(tuple, got.select(key).collect()), key=str) == sorted(map(tuple, want_outcomes.select(key).collect()), key=str)
+    live = want_table.where(~F.col("status").isin(*K.TERMINAL_STATES)).count()
+    assert live <= state <= live + OF_LAST_ROW
+    columns = ["id", "status", "dispatched_at", "acknowledged_at", "started_at", "completed_at", "result", "error_code", "error_message"]
+    after = stateful.command_table(stored, got)
+    assert sorted(map(str, after.select(columns).collect())) == sorted(map(str, want_table.select(columns).collect()))
+
+
+def test_expiry_by_event_time(spark, tmp_path):
+    """A command times out at its expiry if event time passes it first, and is forgotten after its keeping time."""
+    prepare_streaming(spark)
+    at = lambda seconds: T0 + timedelta(seconds=seconds)
+    created = spark.createDataFrame([("late", 1, at(0), 30), ("done", 1, at(0), 30), ("edge", 1, at(0), 30)], "id string, robot_id int, created_at timestamp, timeout_seconds int")
+    requests = [(1, "late", "DISPATCHED", at(10)), (2, "late", "ACKNOWLEDGED", at(31)), (3, "done", "DISPATCHED", at(29)), (4, "done", "FAILED", at(29)), (5, "edge", "CANCELLED", at(30))]
+    requests += [(6, "done", "COMPLETED", at(100)), (7, "done", "COMPLETED", at(5000)), (8, "CREATED", "CREATED", at(3))]
+    path = str(tmp_path / "log")
+    log = stateful.command_log(created, spark.createDataFrame(requests, "update_id long, command_id string, requested_status string, requested_at timestamp"))
+    log.orderBy(F.desc("at")).coalesce(1).write.parquet(path)
+    close(spark, log.schema, path, command_id="last", kind=1, update_id=-1, requested_status="X", at=LAST, us=int(LAST.timestamp() * 1_000_000))
+    outcomes, state = drained(stateful.command_stream(stream_of(spark, log.schema, path), keep_seconds=600), "expiry")
+    assert state <= OF_LAST_ROW
+    got = outcomes.where("update_id IS NULL OR update_id > 0").collect()
+    second = lambda us: None if us is None else (us - int(T0.timestamp() * 1_000_000)) / 1e6
+    assert sorted(((r.update_id or 0, r.command_id, r.outcome, r.status, second(r.completed_us), r.error_code, r.error_message) for r in got)) == [
+        (0, "late", "accepted", "TIMEOUT", 30, "TIMEOUT", "Command did not complete within 30 seconds"),
+        (1, "late", "accepted", "DISPATCHED", None, None, None),
+        (2, "late", "Cannot transition from terminal state TIMEOUT", "TIMEOUT", 30, "TIMEOUT", "Command did not complete within 30 seconds"),
+        (3, "done", "accepted", "DISPATCHED", None, None, None),
+        (4, "done", "accepted", "FAILED", 29, None, None),
+        (5, "edge", "accepted", "CANCELLED", 30, None, None),
+        (6, "done", "Cannot transition from terminal state FAILED", "FAILED", 29, None, None),
+        (7, "done", "Command not found", None, None, None, None),
+        (8, "CREATED", "Command not found", None, None, None, None),
+    ]
+
+
 def test_silence_emits_offline(spark, tmp_path):
     prepare_streaming(spark)
     now = datetime.now(timezone.utc)
@@ -170,15 +270,15 @@ def test_silence_emits_offline(spark, tmp_path):
 
 
 def test_expired_command_times_out(spark, tmp_path):
+    """By the wall clock: no further row is needed."""
     prepare_streaming(spark)
     past = datetime(2024, 1, 1, tzinfo=timezone.utc)
-    log_schema = "command_id string, update_id long, requested_status string, us long, expires_us long"
-    micros = int(past.timestamp() * 1_000_000)
+    created = spark.createDataFrame([(i, past, t) for i, t in (("late", 30), ("done", 30), ("open", None))], "id string, created_at timestamp, timeout_seconds int")
+    moves = [(i, "done", s, past + timedelta(microseconds=i)) for i, s in enumerate(["DISPATCHED", "ACKNOWLEDGED", "COMPLETED"], 1)]
+    log = stateful.command_log(created, spark.createDataFrame(moves, "update_id long, command_id string, requested_status string, requested_at timestamp"))
     path = str(tmp_path / "log")
-    rows = [("late", -1, "CREATED", micros, micros + 30_000_000), ("done", -1, "CREATED", micros, micros + 30_000_000), ("open", -1, "CREATED", micros, None)]
-    rows += [("done", i, s, micros + i, None) for i, s in enumerate(["DISPATCHED", "ACKNOWLEDGED", "COMPLETED"], 1)]
-    spark.createDataFrame(rows, log_schema).coalesce(1).write.parquet(path)
-    stream = stateful.command_stream(spark.readStream.schema(log_schema).parquet(path))
+    log.coalesce(1).write.parquet(path)
+    stream = stateful.command_stream(spark.readStream.schema(log.schema).parquet(path), event_time=False)
     query = stream.writeStream.format("memory").queryName("command_outcomes").outputMode("append").start()
     try:
         deadline = time.time() + 60
