@@ -25,12 +25,20 @@ BUCKETS = 1 << 16
 STRETCH = 128
 KNOWN_WORDS = 200_000
 BATCH_WORDS = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Words of a prediction's chains at once, times labels.
+CHAIN_CELLS = 1 << 21
+
+
+_RUNS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, in lower case."""
-    return _LETTERS.findall(text.lower()) if text else []
+    words = _RUNS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    # Fractions, superscripts and other numbers are word characters, but no letters.
+    return [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def features(word: str) -> list[int]:
@@ -202,10 +210,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
 
 class _Words(dict):
-    """Emission rows of words, computed as they are met."""
+    """Emission rows of words, computed as they are met, and their potentials: exponentials relative to the best label."""
 
     def __init__(self, model: Model):
         self.model, self.rows = model, np.zeros((1 << 12, len(model.labels)), dtype=np.float32)
+        self.potentials, self.done = np.zeros((len(model.labels), 0), dtype=np.float32), 0
 
     def __missing__(self, word: str) -> int:
         i = len(self)
@@ -215,6 +224,78 @@ class _Words(dict):
         self[word] = i
         return i
 
+    def clear(self) -> None:
+        super().clear()
+        self.done = 0
+
+    def by_label(self) -> np.ndarray:
+        """Potentials, labels x words."""
+        if self.potentials.shape[1] != len(self.rows):
+            wider = np.zeros((len(self.model.labels), len(self.rows)), dtype=np.float32)
+            wider[:, : self.done] = self.potentials[:, : self.done]
+            self.potentials = wider
+        if self.done < len(self):
+            new = self.rows[self.done : len(self)]
+            self.potentials[:, self.done : len(self)] = np.exp(np.maximum(new - new.max(axis=1, keepdims=True), -25)).T
+            self.done = len(self)
+        return self.potentials
+
+
+def _chains(index: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start among all words, length, text) of the stretches of up to STRETCH words, longest first."""
+    sizes = np.array(list(map(len, index)), dtype=np.int64)
+    many = -(-sizes // STRETCH)
+    text = np.repeat(np.arange(len(sizes)), many)
+    within = STRETCH * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
+    lengths = np.minimum(sizes[text] - within, STRETCH)
+    order = np.argsort(-lengths, kind="stable")
+    return ((np.cumsum(sizes) - sizes)[text] + within)[order], lengths[order], text[order]
+
+
+def text_sums(texts: list[str | None], model: Model, known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, sums of their posteriors by label, sums of their largest posteriors): those of label_words, without keeping each word's.
+
+    Chains run side by side, a step of all of them at a time, labels by chains.
+    """
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    index = [np.fromiter(map(known.__getitem__, words_of(t)), dtype=np.int64) for t in texts]
+    k = len(model.labels)
+    sums, tops = np.zeros((len(texts), k)), np.zeros(len(texts))
+    counts = np.array(list(map(len, index)), dtype=np.int64)
+    if not counts.sum() or not k:
+        return counts, sums, tops
+    flat, potentials = np.concatenate(index), known.by_label()
+    starts, lengths, text = _chains(index)
+    move = np.exp(model.transitions - model.transitions.max()).astype(np.float32)
+    onward, start = np.ascontiguousarray(move.T), np.exp(model.start - model.start.max()).astype(np.float32)[:, None]
+    size = max(16, CHAIN_CELLS // (STRETCH * k))
+    for at in range(0, len(starts), size):
+        begin, n = starts[at : at + size], lengths[at : at + size]
+        steps = int(n[0])
+        active = np.searchsorted(-n, -np.arange(1, steps + 1), side="right")  # chains with more than t words
+        words = flat[np.minimum(begin[None, :] + np.arange(steps)[:, None], len(flat) - 1)]
+        own = [potentials[:, words[t, : active[t]]] for t in range(steps)]
+        forward = [own[0] * start]
+        forward[0] /= forward[0].sum(axis=0)
+        for t in range(1, steps):
+            f = (onward @ forward[-1][:, : active[t]]) * own[t]
+            f /= f.sum(axis=0)
+            forward.append(f)
+        backward = np.ones((k, len(n)), dtype=np.float32)
+        chain, top = np.zeros((k, len(n)), dtype=np.float32), np.zeros(len(n), dtype=np.float32)
+        for t in range(steps - 1, -1, -1):
+            m = active[t]
+            both = forward[t] * backward[:, :m]
+            both /= np.maximum(both.sum(axis=0), np.finfo(np.float32).tiny)
+            chain[:, :m] += both
+            top[:m] += both.max(axis=0)
+            b = move @ (own[t] * backward[:, :m])
+            backward[:, :m] = b / b.sum(axis=0)
+        np.add.at(sums, text[at : at + size], chain.T)
+        np.add.at(tops, text[at : at + size], top)
+    return counts, sums, tops
+
 
 def label_words(texts: list[str | None], model: Model, known: _Words | None = None) -> list[np.ndarray]:
     """Posteriors (words x labels) of each text's words; chains are stretches of up to STRETCH words, and whole texts are read."""
@@ -249,25 +330,27 @@ def label_words(texts: list[str | None], model: Model, known: _Words | None = No
 
 
 def predict(spark: SparkSession, text: Column | str, model: Model) -> Column:
-    """struct<lang, score, n_words, shares> of a text column.
+    """struct<lang, score, confidence, n_words, shares> of a text column.
 
     `lang` has the largest mean posterior over all words of the text, `score` is that mean, and `shares` the means of all
-    languages, which show code-switching. A null text, one without letters and any text under a model without labels is `und`, with score 0.
+    languages, which show code-switching. `confidence` is the mean of each word's largest posterior: high for a text in several known languages too. A null text, one without letters and any text under a model without labels is `und`, with score 0.
     """
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang: string, score: double, n_words: bigint, shares: map<string, double>>")
+    @F.arrow_udf("struct<lang: string, score: double, confidence: double, n_words: bigint, shares: map<string, double>>")
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         known = _Words(model)
 
-        def summary(probability: np.ndarray) -> tuple:
-            if not len(probability) or not model.labels:
-                return UNKNOWN, 0.0, len(probability), []
-            mean = probability.mean(axis=0, dtype=np.float64)
-            best = int(mean.argmax())
-            return model.labels[best], min(float(mean[best]), 1.0), len(probability), list(zip(model.labels, mean.tolist(), strict=True))
+        def summaries(texts: list[str | None]) -> Iterator[tuple]:
+            for n, total, top in zip(*text_sums(texts, model, known), strict=True):
+                if not n or not model.labels:
+                    yield UNKNOWN, 0.0, 0.0, n, []
+                    continue
+                mean = total / n
+                best = int(mean.argmax())
+                yield model.labels[best], min(float(mean[best]), 1.0), min(float(top / n), 1.0), n, list(zip(model.labels, mean.tolist(), strict=True))
 
         for batch in batches:
             rows, pending, size = [], [], 0
@@ -275,11 +358,11 @@ def predict(spark: SparkSession, text: Column | str, model: Model) -> Column:
                 pending.append(value.as_py())
                 size += len(pending[-1] or "")
                 if size >= BATCH_WORDS * 5:
-                    rows += map(summary, label_words(pending, model, known))
+                    rows += summaries(pending)
                     pending, size = [], 0
-            rows += map(summary, label_words(pending, model, known))
-            names = ("lang", "score", "n_words", "shares")
-            kinds = (pa.string(), pa.float64(), pa.int64(), pa.map_(pa.string(), pa.float64()))
+            rows += summaries(pending)
+            names = ("lang", "score", "confidence", "n_words", "shares")
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.map_(pa.string(), pa.float64()))
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
     return compute(text)

@@ -66,6 +66,28 @@ def test_words_of_code_switched_text():
     assert labels[-7:] == ["de"] * 7
 
 
+def test_words_are_letters_only():
+    assert langid.words_of("½ ² ③ a1b x²y É_ñ Ⅷ 12ab ªº") == ["a", "b", "x", "y", "é", "ñ", "ab", "ªº"]
+    assert langid.words_of("½ ² ③ Ⅷ 7 _") == langid.words_of(None) == []
+
+
+def test_numbers_that_look_like_letters_have_no_language(spark):
+    model = langid.train(awkward(spark).where("text like '%e%'"))
+    rows = spark.createDataFrame([("½ ² ③",), ("Ⅷ ½",), ("one ½",)], "text string").select(langid.predict(spark, "text", model)["lang"]).collect()
+    assert [r[0] == "und" for r in rows] == [True, True, False]
+
+
+def test_sums_are_those_of_the_words():
+    rows = [("the cat and the dog " * 9, "en"), ("der hund und die katze " * 9, "de"), ("le chat et le chien " * 9, "fr")] * 9
+    model = langid.fit(langid.code_switched(rows, ("de", "en", "fr")), ("de", "en", "fr"), epochs=4)
+    texts = [None, "", "½", "cat", "der cat et", " ".join(t for t, _ in rows[:20]) * 3, "hund " * 128, "chien " * 129, "zzz " * 500]
+    words = langid.label_words(texts, model)
+    counts, sums, tops = langid.text_sums(texts, model, langid._Words(model))
+    assert counts.tolist() == list(map(len, words))
+    np.testing.assert_allclose(sums, [w.sum(axis=0) for w in words], rtol=1e-3, atol=1e-3)
+    np.testing.assert_allclose(tops, [w.max(axis=1).sum() if len(w) else 0 for w in words], rtol=1e-3, atol=1e-3)
+
+
 def test_language_of_awkward_texts(spark):
     model = langid.train(awkward(spark).where("text like '%e%'"))
     rows = awkward(spark).select("doc_id", "text", langid.predict(spark, "text", model).alias("q")).collect()

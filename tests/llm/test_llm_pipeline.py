@@ -35,6 +35,15 @@ def test_language_keeps_documents_with_language(steps):
     assert len(after) >= 0.97 * len(before)
 
 
+def test_texts_that_mix_known_languages_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one = {r.lang: " ".join((r.text or "").split()[:40]) for r in docs.where("lang is not null").orderBy("n_chars").collect()}
+    assert len(one) >= 4
+    mixed = [(9001, " ".join(one.values()), None, "a", 1), (9002, " ".join(list(one.values())[:3]), next(iter(one)), "a", 1), (9003, "½ ² 77", "en", "a", 1)]
+    kept = corpus_pipeline.language_stage(spark, docs.union(spark.createDataFrame(mixed, docs.schema)), sf).where("doc_id > 9000")
+    assert sorted((r.doc_id, r.lang is None) for r in kept.collect()) == [(9001, False), (9002, False)]
+
+
 def test_one_document_of_each_group(spark, steps):
     from test_llm_simhash import groups, plain
 
