@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 from telespark.llm import bpe, langid, mixing, secrets, simhash
 from telespark.session import write_and_read
 
-#: Documents of which no language holds this share are rejected, as are those without letters.
-LEAST_LANGUAGE_SHARE = 0.4
+#: Documents whose words are of no known language are rejected: their words' best languages have a lower mean posterior than this. Texts that mix known languages are kept.
+LEAST_CONFIDENCE = 0.4
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language. A null `lang` becomes the predicted one; texts without letters, and those of no language, go."""
+    """Documents in a known language. A null `lang` becomes the predicted one; texts without letters, and those whose words are of no known language, go."""
     model = langid.train(docs)
     # Behind a one-element generator the prediction is made once a row.
     judged = docs.select(F.struct("*").alias("row"), langid.predict(spark, "text", model).alias("p"))
-    judged = judged.select("row", F.explode(F.array("p")).alias("p")).where((F.col("p.lang") != langid.UNKNOWN) & (F.col("p.score") >= LEAST_LANGUAGE_SHARE))
+    judged = judged.select("row", F.explode(F.array("p")).alias("p")).where((F.col("p.lang") != langid.UNKNOWN) & (F.col("p.confidence") >= LEAST_CONFIDENCE))
     return judged.select(F.col("row").withField("lang", F.coalesce("row.lang", "p.lang")).alias("row")).select("row.*")
 
 
