@@ -25,8 +25,8 @@ MARK = 16
 #: Marks that so many bundles hold are common phrases in ever new surroundings: their strings are dealt by longer marks instead.
 CROWDED, LONG_MARK = 256, 40
 #: Bytes of text that are handled together, and of text for each shard.
-BUNDLE = 2 << 20
-SHARD = 6 << 20
+BUNDLE = 3 << 20
+SHARD = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xC2B2AE3D27D4EB4F)
 _ONE = np.uint64(1)
@@ -79,25 +79,25 @@ class _Bundle:
         self.text = np.frombuffer(data, dtype=np.uint8)
         self.words = words_at(self.text)
         least = _least(_stretches(self.words, MARK), LENGTH - MARK + 1)
-        sizes = np.diff(np.append(0, ends))
-        strings = np.where(known, np.maximum(sizes - LENGTH + 1, 0), 0)
-        self.places = _ragged(ends - sizes, strings)  # of all strings
-        self.docs = np.repeat(np.arange(len(ends)), strings)
-        self.marks = least[self.places]
-        self._runs(self.marks)
+        # A run ends where the mark changes, where a document begins, and behind the last string of a document.
+        first = np.zeros(len(least) + 1, dtype=bool)
+        np.not_equal(least[1:], least[:-1], out=first[1 : len(least)])
+        first[0] = True
+        behind = ends - LENGTH + 1
+        for border in (ends, behind):
+            first[border[(border >= 0) & (border < len(first))]] = True
+        first[-1] = True
+        borders = np.flatnonzero(first)
+        begins, counts = borders[:-1], np.diff(borders)
+        docs = np.searchsorted(ends, begins, side="right")
+        inside = (begins < behind[docs]) & known[docs] if len(begins) else np.zeros(0, dtype=bool)
+        self.begins, self.counts, self.run_docs = begins[inside], counts[inside], docs[inside]
+        self.run_marks = _mixed(least[self.begins])
         self.unique, self.of_run = np.unique(self.run_marks, return_inverse=True)
 
-    def _runs(self, marks: np.ndarray) -> None:
-        """Neighbouring strings of a document with equal marks."""
-        first = np.ones(len(marks), dtype=bool)
-        first[1:] = (marks[1:] != marks[:-1]) | (self.docs[1:] != self.docs[:-1])
-        begins = np.flatnonzero(first)
-        self.begins, self.counts = begins, np.diff(np.append(begins, len(marks)))
-        self.run_marks, self.run_docs = _mixed(marks[begins]), self.docs[begins]
-
     def several(self) -> np.ndarray:
         """Which unique marks more than one document has."""
-        low = np.full(len(self.unique), len(self.docs) + 1)
+        low = np.full(len(self.unique), np.iinfo(np.int64).max)
         high = np.full(len(self.unique), -1)
         np.minimum.at(low, self.of_run, self.run_docs)
         np.maximum.at(high, self.of_run, self.run_docs)
@@ -108,21 +108,27 @@ class _Bundle:
 
         Equal pieces of a bundle are one: of at most 2 * LENGTH bytes, they have equal first and last LENGTH bytes.
         """
-        of_string = np.repeat(states[self.of_run], self.counts)
-        kept = np.flatnonzero(of_string)
-        marks, states = _mixed(self.marks[kept]), of_string[kept]
-        if (states == 2).any():
-            longer = _mixed(_least(_stretches(self.words, LONG_MARK), LENGTH - LONG_MARK + 1))
-            marks = np.where(states == 2, longer[self.places[kept]], marks)
-        self.places, self.docs = self.places[kept], self.docs[kept]
-        first = np.ones(len(kept), dtype=bool)
-        first[1:] = (marks[1:] != marks[:-1]) | (self.docs[1:] != self.docs[:-1]) | (np.diff(self.places) != 1)
-        begins = np.flatnonzero(first)
+        of_run = states[self.of_run]
+        kept = np.flatnonzero(of_run)
+        starts, counts, docs, marks, of_run = self.begins[kept], self.counts[kept], self.run_docs[kept], self.run_marks[kept], of_run[kept]
+        places = _ragged(starts, counts)
+        first = np.zeros(len(places), dtype=bool)
+        first[np.cumsum(counts) - counts] = True
+        if (of_run == 2).any():
+            longer = _mixed(_least(_stretches(self.words, LONG_MARK), LENGTH - LONG_MARK + 1)[places])
+            of_string = np.where(np.repeat(of_run == 2, counts), longer, np.repeat(marks, counts))
+            first[1:] |= of_string[1:] != of_string[:-1]
+            begins = np.flatnonzero(first)
+            marks, docs = of_string[begins], np.repeat(docs, counts)[begins]
+        else:
+            begins = np.flatnonzero(first)
         # A mark that recurs at once, as in repeated lines, would make a piece of any length.
-        within = np.arange(len(kept)) - np.repeat(begins, np.diff(np.append(begins, len(kept))))
-        begins = np.flatnonzero(within % LENGTH == 0)
-        self.counts = np.diff(np.append(begins, len(kept)))
-        self.starts, self.run_docs, self.run_marks = self.places[begins], self.docs[begins], marks[begins]
+        counts = np.diff(np.append(begins, len(places)))
+        many = -(-counts // LENGTH)
+        within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        self.starts = np.repeat(places[begins], many) + LENGTH * within
+        self.counts = np.minimum(np.repeat(counts, many) - LENGTH * within, LENGTH)
+        self.run_docs, self.run_marks = np.repeat(docs, many), np.repeat(marks, many)
 
 
 def _identity(words: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
