@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from telespark import constants as K
 from telespark.functions import scalars as S
-from telespark.operators.latest import active_latest, recent_since
+from telespark.operators.latest import LATEST_MINUTES, as_of_column, is_active, recent_since
 from telespark.schemas import HEALTH_COLUMNS
 
 DAY_SECONDS = 86_400
+TREND_MINUTES = 20
 
 
 def minute_averages(df: DataFrame, minute) -> DataFrame:
@@ -23,7 +24,7 @@ def score_minutes(averages: DataFrame) -> DataFrame:
     return averages.select("minute", score.alias("health_score"))
 
 
-def fleet_health_trend(df: DataFrame, as_of=None, minutes: int = 20) -> DataFrame:
+def fleet_health_trend(df: DataFrame, as_of=None, minutes: int = TREND_MINUTES) -> DataFrame:
     """Health score of the newest `minutes` minutes, oldest first."""
     recent = recent_since(df, as_of, minutes * 60)
     scored = score_minutes(minute_averages(recent, F.date_trunc("minute", "timestamp")))
@@ -89,37 +90,56 @@ def status_breakdown(latest: DataFrame) -> DataFrame:
     return _section(latest, "robot_status_breakdown", "status")
 
 
+#: Grains of the one aggregation behind fleet_analytics.
+_MINUTE, _ROBOT, _MISSION = 0, 1, 2
+
+
+def _grains(df: DataFrame, as_of=None) -> DataFrame:
+    """One row for each minute of the trend, each robot of the latest window and each completed mission of the day, from one scan and one exchange.
+
+    A reading counts in the grains that it belongs to. All states of the aggregation have a fixed width, so it stays a hash aggregation, combined before the
+    exchange: the latest reading of a robot is chosen by one number made of its time and id, and its status is a position in the list of categories.
+    """
+    tag, time = F.col("grain"), F.col("timestamp")
+    now = as_of_column(as_of).cast("timestamp")
+    newer = lambda seconds: time > now - F.expr(f"INTERVAL {seconds} SECONDS")
+    done = (F.col("mission_progress") >= 100.0) & F.col("mission_type").isin(*K.MISSION_TYPES) & F.col("mission_id").isNotNull()
+    member = ((tag == _MINUTE) & newer(TREND_MINUTES * 60)) | ((tag == _ROBOT) & newer(LATEST_MINUTES * 60)) | ((tag == _MISSION) & done)
+    kind = F.coalesce(*[F.when(F.col("mission_type") == t, i) for i, t in enumerate(K.MISSION_TYPES)]).cast("bigint")
+    of = F.when(tag == _MINUTE, F.unix_micros(F.date_trunc("minute", time))).when(tag == _ROBOT, F.col("robot_id").cast("bigint")).otherwise(kind)
+    name = F.when(tag == _MISSION, F.col("mission_id")).otherwise(F.lit(""))
+    status = S.reported_status(F.col("status"))
+    place = F.coalesce(*[F.when(status == s, i) for i, s in enumerate(K.STATUS_CATEGORIES)], F.lit(-1))
+    metrics = ("battery", "temperature", *HEALTH_COLUMNS)
+    order = F.expr(f"CAST(unix_micros(timestamp) AS decimal(18,0)) * {1 << 63}BD + CAST(id AS decimal(19,0))")
+    tags = F.explode(F.array(*[F.lit(t) for t in (_MINUTE, _ROBOT, _MISSION)])).alias("grain")
+    rows = recent_since(df, as_of, DAY_SECONDS).select("id", "robot_id", "status", "mission_id", "mission_type", "mission_progress", time, *metrics, tags).where(member)
+    rows = rows.select("grain", of.alias("of"), name.alias("name"), time, *metrics, place.alias("status"), F.when(tag == _ROBOT, order).alias("order"))
+    last = [F.max_by(c, "order").alias(f"last_{c}") for c in ("battery", "temperature", "status")]
+    return rows.groupBy("grain", "of", "name").agg(*[F.avg(c).alias(c) for c in metrics], *last, F.max("timestamp").alias("last_seen"))
+
+
 def fleet_analytics(df: DataFrame, as_of=None) -> DataFrame:
     """The whole analytics response as one row of arrays (at most 20 + 3 + 16 entries in all)."""
-    empty = F.lit(None)
-    trend = fleet_health_trend(df, as_of).select(
-        F.lit("fleet_health_trend").alias("section"),
-        empty.cast("int").alias("position"),
-        F.col("timestamp").alias("label"),
-        empty.cast("bigint").alias("count"),
-        "health_score",
-    )
-    missions = mission_completions(df, as_of).select(
-        F.lit("mission_completion_count").alias("section"), "position", F.col("mission_type").alias("label"), "count",
-        empty.cast("double").alias("health_score"),
-    )
-    spread = distributions(active_latest(df, as_of)).withColumn("health_score", empty.cast("double"))
-    entry = F.struct("position", "label", "count", "health_score")
-
-    def gather(section, shape):
-        ordered = F.array_sort(F.collect_list(F.when(F.col("section") == section, entry)))
-        return F.transform(ordered, shape).alias(section)
-
-    def counted(label):
-        return lambda e: F.struct(e["label"].alias(label), e["count"].alias("count"))
-
-    return trend.unionByName(missions).unionByName(spread).agg(
-        gather("fleet_health_trend", lambda e: F.struct(e["label"].alias("timestamp"), e["health_score"].alias("health_score"))),
-        gather("battery_distribution", counted("range")),
-        gather("temperature_distribution", counted("range")),
-        gather("mission_completion_count", counted("mission_type")),
-        gather("robot_status_breakdown", counted("status")),
-    )
+    grains = _grains(df, as_of)
+    of = F.col("grain")
+    score = S.health_score(F.col("battery"), F.col("temperature"), *[F.col(c) for c in HEALTH_COLUMNS])
+    minutes = F.array_sort(F.collect_list(F.when(of == _MINUTE, F.struct(F.col("of").alias("minute"), score.alias("health_score")))))
+    newest = F.when(F.size("minutes") > TREND_MINUTES, F.slice("minutes", -TREND_MINUTES, TREND_MINUTES)).otherwise(F.col("minutes"))
+    trend = F.transform(newest, lambda m: F.struct(S.iso_utc(F.timestamp_micros(m["minute"])).alias("timestamp"), m["health_score"].alias("health_score")))
+    active = (of == _ROBOT) & is_active(F.col("last_seen"), as_of)
+
+    def counts(label, pairs):
+        return F.array(*[F.struct(F.lit(name).alias(label), F.count_if(test).alias("count")) for name, test in pairs])
+
+    buckets = lambda column, ranges: [(name, active & test) for name, test in _bucket_tests(column, ranges)]
+    return grains.agg(
+        minutes.alias("minutes"),
+        counts("range", buckets("last_battery", K.BATTERY_BUCKETS)).alias("battery_distribution"),
+        counts("range", buckets("last_temperature", K.TEMPERATURE_BUCKETS)).alias("temperature_distribution"),
+        counts("mission_type", [(t, (of == _MISSION) & (F.col("of") == i)) for i, t in enumerate(K.MISSION_TYPES)]).alias("mission_completion_count"),
+        counts("status", [(s, active & (F.col("last_status") == i)) for i, s in enumerate(K.STATUS_CATEGORIES)]).alias("robot_status_breakdown"),
+    ).select(trend.alias("fleet_health_trend"), "battery_distribution", "temperature_distribution", "mission_completion_count", "robot_status_breakdown")
 
 
 def explode_analytics(response: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from telespark import constants as K
 from telespark.functions import scalars as S
 from telespark.operators.slices import top_n_per_key
 
+LATEST_MINUTES = 15
+
 
 def as_of_column(as_of: datetime | Column | None) -> Column:
     """An explicit instant, or the time of the query."""
@@ -34,9 +36,13 @@ def recent_per_robot(df: DataFrame, as_of=None, n: int = 30, minutes: int | None
     return top_n_per_key(df, ["robot_id"], [F.desc("timestamp"), F.desc("id")], n)
 
 
-def active_latest(df: DataFrame, as_of=None, window_minutes: int = 15, max_age_seconds: int = K.STALE_ROBOT_SECONDS) -> DataFrame:
+def is_active(last_seen: Column, as_of=None, max_age_seconds: int = K.STALE_ROBOT_SECONDS) -> Column:
+    return S.age_seconds(last_seen, as_of_column(as_of)) <= max_age_seconds
+
+
+def active_latest(df: DataFrame, as_of=None, window_minutes: int = LATEST_MINUTES, max_age_seconds: int = K.STALE_ROBOT_SECONDS) -> DataFrame:
     latest = recent_per_robot(df, as_of, 1, window_minutes).drop("rn")
-    return latest.filter(S.age_seconds(F.col("timestamp"), as_of_column(as_of)) <= max_age_seconds)
+    return latest.filter(is_active(F.col("timestamp"), as_of, max_age_seconds))
 
 
 def _runtime(battery, battery_health, oldest_battery, minutes, rows) -> Column:

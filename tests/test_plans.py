@@ -29,3 +29,8 @@ def test_status_shuffles_once_per_robot(spark, sf):
 @pytest.mark.parametrize("name", ["recent_telemetry", "recent_events", "telemetry_ordered_page", "event_log_tail", "fleet_status_page"])
 def test_top_k_is_not_a_full_sort(spark, sf, name):
     assert "TakeOrderedAndProject" in plan(queries.all_queries()[name](spark, sf))
+
+
+def test_the_analytics_response_reads_the_readings_once(spark, sf):
+    text = plan(queries.all_queries()["fleet_analytics"](spark, sf))
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 2 and "SortAggregate" not in text
