@@ -3,14 +3,14 @@
 ORACLES = {
     "op7_exact_top_k": """
         WITH grid AS (
-          SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+          SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
           WHERE vec_id IS NOT NULL AND len(embedding) > 0
             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
         pairs AS (
-          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-          FROM grid q JOIN grid c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+          SELECT q.row_id, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+          FROM grid q JOIN grid c ON q.row_id <> c.row_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+          SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
         WHERE rank <= 20""",
     "op13_ranked_search": r"""
         WITH d AS (

@@ -19,8 +19,8 @@ DEPTHS = (0.125, 0.25, 0.5)
 AT_ONCE = 256
 
 
-def best_of_block(queries: np.ndarray, candidates: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, candidate position, score) of each query's k best candidates of one block; ties to smaller ids.
+def best_of_block(queries: np.ndarray, candidates: np.ndarray, query_rows: np.ndarray, rows_: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, candidate position, score) of each query's k best candidates of one block but its own row; ties to smaller ids.
 
     Each dimension is a list of candidates sorted by value, read from the top where the query's component is positive and from
     the bottom where it is negative. After each depth a seen entry counts with its value; an unseen one lies between the list's
@@ -36,7 +36,7 @@ def best_of_block(queries: np.ndarray, candidates: np.ndarray, query_ids: np.nda
     for at in range(0, len(queries), AT_ONCE):
         part = queries[at : at + AT_ONCE].astype(kind)
         signed = np.concatenate([np.maximum(part, 0), np.minimum(part, 0)], axis=1)
-        own = query_ids[at : at + AT_ONCE, None] == ids[None, :]
+        own = query_rows[at : at + AT_ONCE, None] == rows_[None, :]
         wanted = np.minimum(k, n - own.sum(axis=1))
         alive = [None] * len(part)
         open_ = np.flatnonzero(wanted > 0)
@@ -68,7 +68,11 @@ def best_of_block(queries: np.ndarray, candidates: np.ndarray, query_ids: np.nda
                 limit = np.partition(scores, len(scores) - m)[len(scores) - m]
                 inside = scores >= limit
                 rows, scores = rows[inside], scores[inside]
-            order = np.lexsort((ids[rows], -scores))[:m]
+            if kind is object:  # integers of any size; what 64 bits cannot hold is given as the nearest that they can
+                order = np.array(sorted(range(len(rows)), key=lambda j: (-scores[j], ids[rows[j]]))[:m], dtype=np.int64)
+                scores = np.clip(scores, -(1 << 63), (1 << 63) - 1)
+            else:
+                order = np.lexsort((ids[rows], -scores))[:m]
             found[0].append(np.full(len(order), at + i))
             found[1].append(rows[order])
             found[2].append(scores[order].astype(np.int64))
@@ -76,13 +80,14 @@ def best_of_block(queries: np.ndarray, candidates: np.ndarray, query_ids: np.nda
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(id, v): floor(scale * x) of each component. Vectors that are null or empty or hold a null or non-finite component drop
-    out, as do rows with a null id; of rows with one id the smallest vector stays."""
+    """(id, v, row): floor(scale * x) of each component, as far as 64 bits reach, and a number of the row. Vectors that are null or empty or hold a
+    null or non-finite component drop out, as do rows with a null id; rows that share an id stay rows of their own."""
     wide = F.transform(F.col(vector), lambda x: x.cast("double"))
     finite = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kept = vectors.where(F.col(vec_id).isNotNull() & (F.size(vector) > 0) & finite)
-    grid = F.transform(wide, lambda x: F.floor(x * F.lit(float(scale))))
-    return kept.select(F.col(vec_id).cast("bigint").alias("id"), grid.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    bound = float((1 << 63) - 1024)  # the largest double that is a 64-bit integer
+    grid = F.transform(wide, lambda x: F.floor(F.greatest(F.least(x * F.lit(float(scale)), F.lit(bound)), F.lit(-bound))))
+    return kept.select(F.col(vec_id).cast("bigint").alias("id"), grid.alias("v")).withColumn("row", F.monotonically_increasing_id())
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", candidates_most: int = CANDIDATES, queries_most: int = QUERIES) -> DataFrame:
@@ -90,24 +95,24 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vec
 
     `is_query` is a condition on the column `id`. Rows meet in blocks of bounded size, a block of queries with a block of candidates at a
     time; a block's lists are sorted once and read for all its queries. Each block gives at most k rows a query, and ranking these gives the
-    result, whole if there are fewer than k candidates. Vectors of different lengths don't meet. An empty table gives no rows.
+    result, whole if there are fewer than k candidates. Every query row has a ranking of its own, also where rows share an id, and rows of its id but itself are candidates. Vectors of different lengths don't meet. An empty table gives no rows.
     """
     grid = write_and_read(quantised(vectors, vec_id, vector).withColumn("d", F.size("v")), "topk-grid")
     n = grid.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q"))
     blocks = n.select("d", F.ceil(F.col("n") / candidates_most).cast("int").alias("cs"), F.ceil(F.col("q") / queries_most).cast("int").alias("qs")).where("qs > 0")
     sized = grid.join(blocks, "d")
-    block = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(count)).cast("int")
-    candidates = sized.select("d", block("cs", 1).alias("c"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), "id", "v", F.lit(False).alias("asks"))
-    queries = sized.where(is_query).select("d", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), block("qs", 2).alias("q"), "id", "v", F.lit(True).alias("asks"))
+    block = lambda count, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(count)).cast("int")
+    candidates = sized.select("d", block("cs", 1).alias("c"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), "id", "row", "v", F.lit(False).alias("asks"))
+    queries = sized.where(is_query).select("d", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), block("qs", 2).alias("q"), "id", "row", "v", F.lit(True).alias("asks"))
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows["asks"].to_numpy(dtype=bool)
         if asks.all() or not asks.any():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        ids, v = rows["id"].to_numpy(dtype=np.int64), np.stack(rows["v"].to_numpy())
-        i, j, score = best_of_block(v[asks], v[~asks], ids[asks], ids[~asks], k)
-        return pd.DataFrame({"query_id": ids[asks][i], "vec_id": ids[~asks][j], "score": score})
+            return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
+        ids, own, v = rows["id"].to_numpy(dtype=np.int64), rows["row"].to_numpy(dtype=np.int64), np.stack(rows["v"].to_numpy())
+        i, j, score = best_of_block(v[asks], v[~asks], own[asks], own[~asks], ids[~asks], k)
+        return pd.DataFrame({"row": own[asks][i], "query_id": ids[asks][i], "vec_id": ids[~asks][j], "score": score})
 
-    near = candidates.union(queries).groupBy("d", "c", "q").applyInPandas(meet, "query_id bigint, vec_id bigint, score bigint")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    near = candidates.union(queries).groupBy("d", "c", "q").applyInPandas(meet, "row bigint, query_id bigint, vec_id bigint, score bigint")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
