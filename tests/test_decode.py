@@ -9,9 +9,8 @@ from telespark.operators import decode
 
 AS_OF = datetime(2026, 7, 22, 12, 0, tzinfo=timezone.utc)
 READING = {
-    "robot_id": 1, "battery": 85.5, "temperature": 38.2, "speed": 1.1, "status": "ACTIVE", "mission_id": "M-00001",
-    "mission_type": "PATROL", "mission_progress": 100.0, "battery_health": 92, "motor_health": 88, "sensor_health": 95,
-    "network_health": 90, "x": 5.2, "y": -3.1,
+    "battery": 61.25, "temperature": 44.5, "robot_id": 7, "speed": 0.75, "x": -8.5, "y": 12.25, "status": "ACTIVE", "mission_type": "DELIVERY",
+    "mission_id": "M-40213", "mission_progress": 37.5, "sensor_health": 71, "network_health": 64, "motor_health": 83, "battery_health": 77,
 }
 
 
@@ -28,7 +27,7 @@ def test_kinds(spark):
     cases = {
         '{"battery": 1}': "telemetry", '{"battery": null}': "telemetry", '{"type": "EVENT", "battery": 3}': "telemetry",
         '{"type": "EVENT", "robot_id": 5, "message": "Entered zone"}': "event", '{"type": "COMMAND_UPDATE"}': "command",
-        '{"x": 1}': "other", "[1, 2]": "other", "5": "other", "not-valid-json{": "corrupt", '{"battery": 1} tail': "corrupt",
+        '{"x": 1}': "other", "[1, 2]": "other", "5": "other", "<no json>": "corrupt", '{"battery": 1} tail': "corrupt",
         '{"battery": 1}, {"battery": 2}': "corrupt", "": "corrupt", '{"battery": 1, "battery": 2}': "telemetry",
     }
     got = by_id(decode.decode_messages(messages(spark, [*cases, None])), "kind")
@@ -77,8 +76,8 @@ def reasons(split):
 def test_telemetry_validation(spark):
     payloads = [
         READING, {k: v for k, v in READING.items() if k != "robot_id"}, READING | {"battery": None}, READING | {"speed": "fast"},
-        READING | {"robot_id": 1.5}, READING | {"status": 7}, READING | {"x": "left"}, READING | {"extra": 1}, "[]", "not-valid-json{",
-        READING | {"mission_start_time": "never"}, READING | {"battery": "85.5"}, {"robot_id": 1, "battery": 1, "temperature": 1, "speed": 1},
+        READING | {"robot_id": 1.5}, READING | {"status": 7}, READING | {"x": "left"}, READING | {"extra": 1}, "[]", "<no json>",
+        READING | {"mission_start_time": "never"}, READING | {"battery": "61.25"}, {"robot_id": 1, "battery": 1, "temperature": 1, "speed": 1},
     ]
     assert reasons(decode.validate_telemetry(messages(spark, payloads))) == {
         "1": "robot_id: missing", "2": "battery: invalid", "3": "speed: invalid", "4": "robot_id: invalid", "5": "status: invalid",
@@ -92,7 +91,7 @@ def test_event_and_command_validation(spark):
         "1": "message: missing", "2": "robot_id: invalid", "3": "message: invalid"
     }
     commands = [
-        {"command_type": "MOVE_TO", "payload": {"x": 10, "y": 20}, "idempotency_key": "test-key-1"}, {"payload": {}},
+        {"command_type": "RESUME", "payload": {"delay": 3}, "idempotency_key": "again-7f"}, {"payload": {}},
         {"command_type": "A", "payload": [1]}, {"command_type": "A", "timeout_seconds": 1.5}, {"command_type": "A", "idempotency_key": 4},
         {"command_type": "A", "payload": None, "timeout_seconds": None, "idempotency_key": None}, {"command_type": None},
     ]

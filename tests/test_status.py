@@ -9,9 +9,8 @@ from telespark.operators import analytics, latest, live, status
 
 NOW = datetime(2026, 7, 22, 12, 0, tzinfo=timezone.utc)
 BASE = {
-    "robot_id": 1, "battery": 85.5, "temperature": 38.2, "speed": 1.1, "status": "ACTIVE", "mission_id": "M-00001", "mission_type": "PATROL",
-    "mission_progress": 100.0, "mission_start_time": None, "battery_health": 92.0, "motor_health": 88.0, "sensor_health": 95.0,
-    "network_health": 90.0, "x": 5.2, "y": -3.1,
+    "robot_id": 1, "battery": 72.25, "temperature": 41.5, "speed": 0.75, "x": -8.5, "y": 12.25, "status": "ACTIVE", "mission_type": "DELIVERY", "mission_id": "M-40213",
+    "mission_progress": 100.0, "mission_start_time": None, "sensor_health": 71.0, "network_health": 64.0, "motor_health": 83.0, "battery_health": 77.0,
 }
 
 
@@ -30,7 +29,7 @@ def test_no_history(spark):
 
 def test_single_row_has_no_runtime(spark):
     row = status.fleet_status(readings(spark, [{}]), NOW).first()
-    assert (row.status, row.battery, row.runtime_remaining_minutes, row.last_seen) == ("ACTIVE", 85.5, None, "2026-07-22T12:00:00Z")
+    assert (row.status, row.battery, row.runtime_remaining_minutes, row.last_seen) == ("ACTIVE", 72.25, None, "2026-07-22T12:00:00Z")
 
 
 def test_drain_gives_runtime(spark):
