@@ -27,7 +27,7 @@ PASS_TERMS = 200_000
 KNOWN_WORDS = 200_000
 #: Bounds are sums of doubles; this share more than they are is certainly enough.
 SLACK = 1e-9
-_LEVEL = np.uint64(0xD6E8FEB86659FD93)
+_LEVEL = 0xD6E8FEB86659FD93
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII letters in lower case, digits and all bytes beyond ASCII stay; the rest parts terms.
 _FOLD = bytes(c | 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -49,7 +49,7 @@ class _Hashes(dict):
 
 def _levels(hashes: np.ndarray, level: int) -> np.ndarray:
     """Hashes of the entries `term occurs 2**level times or more`."""
-    h = (hashes ^ (np.uint64(level) * _LEVEL)) * _MIX
+    h = (hashes ^ np.uint64(level * _LEVEL % (1 << 64))) * _MIX
     return h ^ (h >> np.uint64(32))
 
 

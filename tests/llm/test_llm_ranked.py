@@ -50,6 +50,14 @@ def test_query_equals_brute_force(spark, sf):
     assert got == plain(docs.select("doc_id", "text").collect(), items.select("item_id", "text").collect())
 
 
+def test_query_equals_its_sql(spark, sf):
+    from compare import connect, spark_rows, sql_rows
+
+    from telespark.llm.queries import llm_oracles, op13_ranked_search
+
+    assert spark_rows(op13_ranked_search(spark, sf)) == sql_rows(connect(sf), llm_oracles()["op13_ranked_search"])
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     items = [(1, None), (2, ""), (3, "!!"), (None, "the quick fox the"), (4, words(5, 20)), (4, words(5, 20)), (5, "12345 É nothing one"), (6, words(4, 3000))]

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from llm_cases import awkward, empty, words
 
 from telespark.llm import suffix_dedup, suffixes
+from telespark.llm.oracles import ORACLES
 from telespark.llm.queries import op12_suffix_dedup
 
 
@@ -68,6 +69,12 @@ def test_query_equals_brute_force(spark, sf, tmp_path):
     assert queried(spark, docs, tmp_path) == plain(docs.select("doc_id", "text").collect())
 
 
+def test_query_equals_its_sql(spark, sf):
+    from compare import connect, spark_rows, sql_rows
+
+    assert spark_rows(op12_suffix_dedup(spark, sf)) == sql_rows(connect(sf), ORACLES["op12_suffix_dedup"])
+
+
 def test_awkward_rows(spark, tmp_path):
     docs = awkward(spark)
     assert queried(spark, docs, tmp_path) == plain(docs.select("doc_id", "text").collect())
