@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query runs once to warm up and once timed, its rows consumed by a no-op sink.
+Each query runs once to warm up and three times timed, its rows consumed by a no-op sink; the median counts.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import os
 import sys
 import time
 from pathlib import Path
+from statistics import median
 
 from pyspark.sql import SparkSession
 
@@ -43,10 +44,12 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     timings = {}
     for name in names:
-        for _ in range(2):
+        runs = []
+        for _ in range(4):
             started = time.perf_counter()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            timings[name] = round(time.perf_counter() - started, 3)
+            runs.append(time.perf_counter() - started)
+        timings[name] = round(median(runs[1:]), 3)
     sf = Path(sf_dir).name.removeprefix("sf")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(timings.values()), 3), "unit": "sec", "queries": timings, "sf": float(sf)}))
     spark.stop()
