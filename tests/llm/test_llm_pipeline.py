@@ -20,7 +20,7 @@ def steps(spark, sf, tmp_path_factory):
 
 def test_registered():
     names = {n.split("_")[0] for n in entry.queries()}
-    assert {f"op{i}" for i in range(1, 11)} | {"pipeline"} <= names
+    assert {f"op{i}" for i in range(1, 14)} | {"pipeline"} <= names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "SimHash near-dedup", "secret scans", "mixing sources", "byte-level BPE"]
 
 
