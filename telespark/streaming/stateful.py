@@ -165,6 +165,10 @@ def _plain(value):
     return value.item() if hasattr(value, "item") else value
 
 
+def _least(*times: int | None) -> int | None:
+    return min((t for t in times if t is not None), default=None)
+
+
 class FenceAlerts(InOrder):
     """Hysteresis state and cooldown per robot."""
 
@@ -273,37 +277,129 @@ _SHOWN = ["dispatched_us", "acknowledged_us", "started_us", "completed_us", "res
 _STAMPED = {"DISPATCHED": "dispatched_us", "ACKNOWLEDGED": "acknowledged_us", "EXECUTING": "started_us"}
 
 
-class CommandState(InOrder):
-    """Applies status requests in order, and times a command out when its expiry passes; ended commands are forgotten after a while."""
+#: Of a bucket's commands, up to this many are read one by one; where more have rows, the bucket is read in one go.
+_FEW = 16
+
+
+class CommandState(StatefulProcessor):
+    """Applies status requests in order, and times a command out when its expiry passes; ended commands are forgotten after a while.
 
-    COLUMNS = ("us", "kind", "update_id", "requested_status", "expires_us", "timeout_seconds", "result", "error_code", "error_message")
-    TYPES = "us bigint, kind int, update_id bigint, requested_status string, expires_us bigint, timeout_seconds bigint, result string, error_code string, error_message string"
+    A group is a bucket of commands, so that the cost of a group (its call, its batches, its timer) is shared; each command is an entry of its own in the bucket's
+    map, read and written only when something happens to it. By event time, rows wait in the state until the watermark has passed them, so that no earlier
+    one can come any more, and the bucket's timer releases them; rows without a time are never passed and don't wait. By processing time they apply as they arrive, those of a trigger in order.
+    """
+
+    COLUMNS = ("command_id", "us", "kind", "update_id", "requested_status", "expires_us", "timeout_seconds", "result", "error_code", "error_message")
+    TYPES = "command_id string, us bigint, kind int, update_id bigint, requested_status string, expires_us bigint, timeout_seconds bigint, result string, error_code string, error_message string"
     ORDER = 3
 
     def __init__(self, event_time: bool, keep_seconds: int) -> None:
-        super().__init__(event_time)
-        self.keep = keep_seconds * 1_000_000
+        self.event_time, self.keep = event_time, keep_seconds * 1_000_000
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.command = handle.getValueState("command", _STATE)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.commands = handle.getMapState("commands", "command_id string", _STATE)
+        self.waiting = handle.getListState("waiting", self.TYPES)
+        # The bucket's one timer, and a time before which none of its commands ends or is forgotten.
+        self.timer = handle.getValueState("timer", "ms bigint, due_us bigint")
 
     def handleInitialState(self, key, initialState, timerValues):
-        stored = {c: _plain(initialState[c].iloc[0]) for c in _FIELDS}
-        stored |= {c: int(v) for c, v in stored.items() if v is not None and (c.endswith("_us") or c == "timeout_seconds")}
-        if stored["status"] in K.TERMINAL_STATES and stored["forget_us"] is None:
-            stored["forget_us"] = (stored["completed_us"] or 0) + self.keep
-        self.command.update(tuple(stored[c] for c in _FIELDS))
-        self._wake(self.due())
+        held = {}
+        for command_id, *values in zip(*(initialState[c] for c in ("command_id", *_FIELDS))):
+            stored = dict(zip(_FIELDS, map(_plain, values)))
+            stored |= {c: int(v) for c, v in stored.items() if v is not None and (c.endswith("_us") or c == "timeout_seconds")}
+            if stored["status"] in K.TERMINAL_STATES and stored["forget_us"] is None:
+                stored["forget_us"] = (stored["completed_us"] or 0) + self.keep
+            held.setdefault(_plain(command_id), stored)
+        for command_id, stored in held.items():
+            self.commands.updateValue((command_id,), tuple(stored[c] for c in _FIELDS))
+        known, due = self._timer()
+        due = _least(due, *map(self._due, held.values()))
+        self._wake(known, due, due)
 
-    def due(self):
-        if not self.command.exists():
-            return None
-        stored = dict(zip(_FIELDS, self.command.get()))
+    def handleInputRows(self, key, rows, timerValues):
+        whole = [t.split()[1] in ("bigint", "int") for t in self.TYPES.split(", ")]
+        cells = ((map(_plain, t) for t in zip(*(batch[c] for c in self.COLUMNS))) for batch in rows)
+        # A column of integers with missing ones comes as doubles.
+        new = [tuple(int(v) if v is not None and w else v for v, w in zip(t, whole)) for batch in cells for t in batch]
+        known, due = self._timer()
+        if self.event_time:
+            new = [t for t in new if t[1] is not None]
+            if new:
+                self.waiting.appendList(new)
+                self._wake(known, _least(due, *(t[1] for t in new)), due)
+            return
+        out, due = self._apply(new, due, timerValues.getCurrentProcessingTimeInMs() * 1000)
+        self._wake(known, due, due)
+        if out:
+            yield self.frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        _, due = self._timer()
+        now_us = 1000 * (timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs())
+        rows = list(self.waiting.get()) if self.event_time and self.waiting.exists() else []
+        ready, later = [t for t in rows if t[1] <= now_us], [t for t in rows if t[1] > now_us]
+        if ready:
+            self.waiting.put(later) if later else self.waiting.clear()
+        out, due = self._apply(ready, due, now_us)
+        self.timer.clear()
+        self._wake(None, _least(due, *(t[1] for t in later)), due)
+        if out:
+            yield self.frame(out)
+
+    def close(self) -> None:
+        pass
+
+    def _timer(self) -> tuple:
+        return tuple(self.timer.get()) if self.timer.exists() else (None, None)
+
+    def _wake(self, known: int | None, us: int | None, due: int | None) -> None:
+        """The timer at `us`, where `known` is the one there is; by event time an earlier one stays."""
+        wanted = None if us is None else us // 1000 + 1
+        if self.event_time and known is not None and (wanted is None or known <= wanted):
+            wanted = known
+        if known is not None and known != wanted:
+            self.handle.deleteTimer(known)
+        if wanted is None:
+            self.timer.clear()
+            return
+        if known != wanted:
+            self.handle.registerTimer(wanted)
+        self.timer.update((wanted, due))
+
+    def _due(self, stored: dict) -> int | None:
+        """Microseconds at which a command changes without new rows."""
         return stored["forget_us"] if stored["status"] in K.TERMINAL_STATES else stored["expires_us"]
 
-    def advance(self, key, rows, now_us):
-        stored = dict(zip(_FIELDS, self.command.get())) if self.command.exists() else None
-        out = []
+    def _apply(self, rows: list[tuple], due: int | None, now_us: int) -> tuple[list[tuple], int | None]:
+        """What the rows, and the time until now, do to the bucket's commands; and when the next of them may be due."""
+        given: dict = {}
+        for command_id, *row in rows:
+            given.setdefault(command_id, []).append(tuple(row))
+        passed = due is not None and due < now_us
+        if passed or len(given) > _FEW:
+            entries = self.commands.iterator() if self.commands.exists() else ()
+            held = {k[0]: tuple(v) for k, v in entries}
+        else:
+            found = ((c, self.commands.getValue((c,))) for c in given)
+            held = {c: tuple(v) for c, v in found if v is not None}
+        out, times = [], [] if passed else [due]
+        for command_id in dict.fromkeys((*held, *given)):
+            before = held.get(command_id)
+            stored = None if before is None else dict(zip(_FIELDS, before))
+            if command_id in given or (stored is not None and self._due(stored) is not None and self._due(stored) < now_us):
+                stored, shown = self._advance(command_id, stored, sorted(given.get(command_id, ()), key=lambda t: t[: self.ORDER]), now_us)
+                out += shown
+                after = None if stored is None else tuple(stored[c] for c in _FIELDS)
+                if after is None and before is not None:
+                    self.commands.removeKey((command_id,))
+                elif after != before:
+                    self.commands.updateValue((command_id,), after)
+            times.append(None if stored is None else self._due(stored))
+        return out, _least(*times)
+
+    def _advance(self, command_id, stored: dict | None, rows: list[tuple], now_us: int) -> tuple[dict | None, list[tuple]]:
+        key, out = (command_id,), []
 
         def end(at_us):
             stored["completed_us"] = at_us
@@ -322,7 +418,7 @@ class CommandState(InOrder):
             if stored["status"] in K.TERMINAL_STATES and stored["forget_us"] < until:
                 stored = None
 
-        for us, kind, update_id, requested, expires_us, timeout, *given in rows:
+        for us, kind, update_id, requested, expires_us, timeout, *more in rows:
             pass_time(us)
             if kind == 0:
                 if stored is None:
@@ -330,16 +426,12 @@ class CommandState(InOrder):
                 continue
             outcome = self._judge(stored, requested)
             if outcome == "accepted":
-                self._move(stored, requested, us, *given)
+                self._move(stored, requested, us, *more)
                 if requested in K.TERMINAL_STATES:
                     end(us)
             out.append(self._row(update_id, key, outcome, stored, us))
         pass_time(now_us)
-        if stored is not None:
-            self.command.update(tuple(stored[c] for c in _FIELDS))
-        elif self.command.exists():
-            self.command.clear()
-        return out
+        return stored, out
 
     @staticmethod
     def _judge(stored, requested):
@@ -414,16 +506,19 @@ def command_state(stored: DataFrame) -> DataFrame:
     return have.select(F.col("id").alias("command_id"), *[value(c) for c in _FIELDS])
 
 
-def command_stream(log: DataFrame, stored: DataFrame | None = None, event_time: bool = True, delay: str = WATERMARK, keep_seconds: int = 86_400) -> DataFrame:
+def command_stream(log: DataFrame, stored: DataFrame | None = None, event_time: bool = True, delay: str = WATERMARK, keep_seconds: int = 86_400, buckets: int = 1024) -> DataFrame:
     """One row for each status request and one for every command whose expiry passes: the outcome, and the command's status, times, result and error after it.
 
     By event time, requests apply in their order whatever order they arrive in within `delay`, and expiries pass with the watermark; else both
     follow the wall clock. `stored`: a command table from before the stream. A command's state goes `keep_seconds` after its end; requests after that are not found.
+
+    Commands are dealt to `buckets` groups, whose number stays with a checkpoint; the result doesn't depend on it. One for every few hundred commands that live at once is enough.
     """
-    timed = log.withWatermark("at", delay) if event_time else log
-    start = None if stored is None else command_state(stored).groupBy("command_id")
+    bucket = F.pmod(F.xxhash64("command_id"), F.lit(buckets)).alias("bucket")
+    timed = (log.withWatermark("at", delay) if event_time else log).select("*", bucket)
+    start = None if stored is None else command_state(stored).select("*", bucket).groupBy("bucket")
     mode = "EventTime" if event_time else "ProcessingTime"
-    return timed.groupBy("command_id").transformWithStateInPandas(CommandState(event_time, keep_seconds), OUTCOME_SCHEMA, "Append", mode, start)
+    return timed.groupBy("bucket").transformWithStateInPandas(CommandState(event_time, keep_seconds), OUTCOME_SCHEMA, "Append", mode, start)
 
 
 def command_table(stored: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -246,6 +246,29 @@ def test_expiry_by_event_time(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("buckets", [1, 50])
+def test_commands_share_buckets(spark, tmp_path, buckets):
+    """Commands of one group don't touch each other: stored and new ones, null ids, expiries and repeats, over several triggers."""
+    prepare_streaming(spark)
+    at = lambda seconds: T0 + timedelta(seconds=seconds)
+    kinds = "id string, robot_id int, status string, created_at timestamp, timeout_seconds int"
+    stored = spark.createDataFrame([(f"s{i}", 1, "PENDING", at(0), 30 if i % 3 == 0 else None) for i in range(30)] + [(None, 1, "PENDING", at(0), None)], kinds)
+    created = spark.createDataFrame([(f"n{i}", 1, "PENDING", at(i), None) for i in range(30)], kinds)
+    requests = [(i, f"{'sn'[i % 2]}{i // 2}", "DISPATCHED", at(20 + i)) for i in range(60)] + [(60, None, "DISPATCHED", at(5)), (61, "n29", "COMPLETED", at(900))]
+    log = stateful.command_log(created, spark.createDataFrame(requests, "update_id long, command_id string, requested_status string, requested_at timestamp"))
+    path = str(tmp_path / "log")
+    schema = shuffled(spark, log, "at", path, triggers=3)
+    close(spark, schema, path, command_id="last", kind=1, update_id=-1, requested_status="X", at=LAST, us=int(LAST.timestamp() * 1_000_000))
+    stream = stateful.command_stream(stream_of(spark, schema, path), stored, keep_seconds=600, buckets=buckets)
+    outcomes, state = drained(stream, f"buckets_{buckets}")
+    got = sorted((-1 if r.update_id is None else r.update_id, r.command_id or "", r.outcome) for r in outcomes.where("update_id IS NULL OR update_id >= 0").collect())
+    ended = "Cannot transition from terminal state TIMEOUT"
+    moved = [(i, c, ended if c[0] == "s" and i // 2 % 3 == 0 and i > 10 else "accepted") for i, c, _, _ in requests[:60]]
+    timeouts = [(-1, f"s{i}", "accepted") for i in range(0, 30, 3)]
+    assert got == sorted([*moved, *timeouts, (60, "", "accepted"), (61, "n29", "Invalid transition from DISPATCHED to COMPLETED")])
+    assert 51 <= state <= 51 + OF_LAST_ROW  # 20 stored ones, 30 new ones and that without an id
+
+
 def test_silence_emits_offline(spark, tmp_path):
     prepare_streaming(spark)
     now = datetime.now(timezone.utc)
