@@ -266,6 +266,8 @@ def test_commands_share_buckets(spark, tmp_path, buckets):
     moved = [(i, c, ended if c[0] == "s" and i // 2 % 3 == 0 and i > 10 else "accepted") for i, c, _, _ in requests[:60]]
     timeouts = [(-1, f"s{i}", "accepted") for i in range(0, 30, 3)]
     assert got == sorted([*moved, *timeouts, (60, "", "accepted"), (61, "n29", "Invalid transition from DISPATCHED to COMPLETED")])
+    after = stateful.command_table(stored.where("id IS NOT NULL").union(created), outcomes).collect()
+    assert {r.id: r.status for r in after} == {f"n{i}": "DISPATCHED" for i in range(30)} | {f"s{i}": "DISPATCHED" if i % 3 else "TIMEOUT" for i in range(30)}
     assert 51 <= state <= 51 + OF_LAST_ROW  # 20 stored ones, 30 new ones and that without an id
 
 
