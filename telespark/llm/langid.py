@@ -25,6 +25,8 @@ BUCKETS = 1 << 16
 STRETCH = 128
 KNOWN_WORDS = 200_000
 BATCH_WORDS = 200_000
+#: Words whose emissions are summed together.
+NEW_WORDS = 1 << 12
 #: Words of a prediction's chains at once, times labels.
 CHAIN_CELLS = 1 << 21
 
@@ -51,6 +53,53 @@ def features(word: str) -> list[int]:
     return [crc32(x.encode()) % BUCKETS for x in names]
 
 
+_NONE = 0xFFFFFFFF  # a checksum's register before the first byte
+#: What a byte does to the register.
+_STEPS = np.array([crc32(bytes([b])) ^ _NONE ^ (_NONE >> 8) for b in range(256)], dtype=np.uint32)[np.arange(256) ^ 255]
+
+
+def listed_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, feature), in order, of many words at once: those of `features`, each once. All words' checksums go on together, a letter at a time."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le"), dtype=np.uint32)
+    extra = (codes >= 0x80).astype(np.uint32) + (codes >= 0x800) + (codes >= 0x10000)  # bytes of UTF-8 after the first
+    lead = np.array([0, 0xC0, 0xE0, 0xF0], dtype=np.uint32)[extra] | (codes >> (6 * extra))
+    longest = int(extra.max())
+
+    def fed(register: np.ndarray, at: np.ndarray) -> np.ndarray:
+        register = _STEPS[(register ^ lead[at]) & 255] ^ (register >> 8)
+        for j in range(longest):
+            rest = np.flatnonzero(extra[at] > j)
+            code, old = codes[at[rest]] >> (6 * (extra[at[rest]] - j - 1)), register[rest]
+            register[rest] = _STEPS[(old ^ (0x80 | code & 63)) & 255] ^ (old >> 8)
+        return register
+
+    begins = np.cumsum(sizes + 2) - (sizes + 2)  # of the mark before each word
+    owner = np.repeat(np.arange(len(words)), sizes + 2)
+    number = np.arange(len(words))
+    found = [(number, np.fromiter((crc32(b"w" + w.encode()) for w in words), np.uint32, len(words)) ^ _NONE), (number, np.full(len(words), crc32(b"b") ^ _NONE, dtype=np.uint32))]
+    prefix = np.full(len(words), crc32(b"p") ^ _NONE, dtype=np.uint32)
+    for n in range(1, 5):
+        number = np.flatnonzero(sizes >= n)
+        prefix[number] = fed(prefix[number], begins[number] + n)
+        found.append((number, prefix[number]))
+        suffix = np.full(len(number), crc32(b"s") ^ _NONE, dtype=np.uint32)
+        for i in range(n):
+            suffix = fed(suffix, begins[number] + sizes[number] + 1 - n + i)
+        found.append((number, suffix))
+    ends = np.zeros(len(codes) + 1, dtype=bool)
+    ends[begins + sizes + 1] = True
+    at = np.flatnonzero(~ends[:-1])
+    pair = fed(fed(np.full(len(at), _NONE, dtype=np.uint32), at), at + 1)
+    found.append((owner[at], pair))
+    inner = ~ends[at + 1]
+    found.append((owner[at[inner]], fed(pair[inner], at[inner] + 2)))
+    number, registers = (np.concatenate(x) for x in zip(*found, strict=True))
+    pairs = np.sort(number * BUCKETS + ((registers ^ np.uint32(_NONE)) % BUCKETS).astype(np.int64))
+    pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+    return pairs // BUCKETS, pairs % BUCKETS
+
+
 @dataclass(frozen=True)
 class Model:
     labels: tuple[str, ...]
@@ -210,26 +259,48 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
 
 class _Words(dict):
-    """Emission rows of words, computed as they are met, and their potentials: exponentials relative to the best label."""
+    """Emission rows of words, and their potentials: exponentials relative to the best label.
+
+    A word that is met gets its number at once; the rows are summed for some thousand words together, feature by feature.
+    """
 
     def __init__(self, model: Model):
         self.model, self.rows = model, np.zeros((1 << 12, len(model.labels)), dtype=np.float32)
         self.potentials, self.done = np.zeros((len(model.labels), 0), dtype=np.float32), 0
+        self.new: list[str] = []  # the last words, without rows as yet
 
     def __missing__(self, word: str) -> int:
-        i = len(self)
-        if i == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[i] = self.model.weights[list(set(features(word)))].sum(axis=0)
-        self[word] = i
+        if len(self.new) == NEW_WORDS:
+            self.emissions()
+        self.new.append(word)
+        self[word] = i = len(self)
         return i
 
+    def emissions(self) -> np.ndarray:
+        """Rows by number, of all words so far."""
+        if not self.new:
+            return self.rows
+        while len(self) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        number, listed = listed_features(self.new)
+        sizes = np.bincount(number)
+        order = np.argsort(-sizes, kind="stable")
+        starts = (np.cumsum(sizes) - sizes)[order]
+        left = np.searchsorted(-sizes[order], -np.arange(1, int(sizes.max()) + 1), side="right")  # words with more than t features
+        sums = self.model.weights[listed[starts]]
+        for t in range(1, len(left)):
+            sums[: left[t]] += self.model.weights[listed[starts[: left[t]] + t]]
+        self.rows[order + (len(self) - len(self.new))] = sums
+        self.new = []
+        return self.rows
+
     def clear(self) -> None:
         super().clear()
-        self.done = 0
+        self.done, self.new = 0, []
 
     def by_label(self) -> np.ndarray:
         """Potentials, labels x words."""
+        self.emissions()
         if self.potentials.shape[1] != len(self.rows):
             wider = np.zeros((len(self.model.labels), len(self.rows)), dtype=np.float32)
             wider[:, : self.done] = self.potentials[:, : self.done]
@@ -322,7 +393,7 @@ def label_words(texts: list[str | None], model: Model, known: _Words | None = No
         inside = time[None, :] < n[:, None]
         places = (starts[part][:, None] + time[None, :])[inside]
         emissions = np.zeros((*inside.shape, len(model.labels)), dtype=np.float32)
-        emissions[inside] = known.rows[flat[places]]
+        emissions[inside] = known.emissions()[flat[places]]
         marginal, _ = posteriors(emissions, n, model.transitions.astype(np.float32), model.start.astype(np.float32))
         out[places] = marginal[inside]
     bounds = np.cumsum([0, *map(len, index)])

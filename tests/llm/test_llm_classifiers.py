@@ -143,3 +143,16 @@ def test_toxicity_of_awkward_texts(spark):
         none = toxicity.train(some, labels.where("toxic > 5"))
         assert 0 <= none.score(None) <= 1
     assert 0 <= toxicity.train(awkward(spark), labels.where("toxic = 1")).score("x") <= 1
+
+
+def test_features_of_many_words():
+    """The features of words hashed together are those of each word, and their rows the sums of its weights."""
+    words = ["a", "straße", "naïve", "漢字", "𝒳yz", "aaaaaaa", "x" * 40, "été", "mañana", *(f"{chr(97 + i % 26)}w{'oé'[i % 2] * (i % 7)}" for i in range(200))]
+    words = list(dict.fromkeys(words))
+    number, listed = langid.listed_features(words)
+    assert list(zip(number.tolist(), listed.tolist(), strict=True)) == [(i, f) for i, w in enumerate(words) for f in sorted(set(langid.features(w)))]
+    weights = np.random.default_rng(3).normal(size=(langid.BUCKETS, 3))
+    known = langid._Words(langid.Model(("a", "b", "c"), weights, np.zeros((3, 3)), np.zeros(3)))
+    numbers = [known[w] for w in words[:50]] + [known[w] for w in reversed(words)]
+    want = [weights[sorted(set(langid.features(w)))].sum(axis=0) for w in (*words[:50], *reversed(words))]
+    assert np.allclose(known.emissions()[numbers], want, atol=1e-5)
