@@ -6,6 +6,8 @@ share of a key is bounded by the source's rate limit, and rows arrive as Arrow b
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -299,7 +301,8 @@ class CommandState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.commands = handle.getMapState("commands", "command_id string", _STATE)
-        self.waiting = handle.getListState("waiting", self.TYPES)
+        # The rows of a trigger are one entry, in JSON: the state takes as long for an entry as for a row.
+        self.waiting = handle.getListState("waiting", "rows string")
         # The bucket's one timer, and a time before which none of its commands ends or is forgotten.
         self.timer = handle.getValueState("timer", "ms bigint, due_us bigint")
 
@@ -326,7 +329,7 @@ class CommandState(StatefulProcessor):
         if self.event_time:
             new = [t for t in new if t[1] is not None]
             if new:
-                self.waiting.appendList(new)
+                self.waiting.appendValue((json.dumps(new),))
                 self._wake(known, _least(due, *(t[1] for t in new)), due)
             return
         out, due = self._apply(new, due, timerValues.getCurrentProcessingTimeInMs() * 1000)
@@ -337,10 +340,11 @@ class CommandState(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         _, due = self._timer()
         now_us = 1000 * (timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs())
-        rows = list(self.waiting.get()) if self.event_time and self.waiting.exists() else []
+        entries = list(self.waiting.get()) if self.event_time and self.waiting.exists() else []
+        rows = [t for (text,) in entries for t in json.loads(text)]
         ready, later = [t for t in rows if t[1] <= now_us], [t for t in rows if t[1] > now_us]
         if ready:
-            self.waiting.put(later) if later else self.waiting.clear()
+            self.waiting.put([(json.dumps(later),)]) if later else self.waiting.clear()
         out, due = self._apply(ready, due, now_us)
         self.timer.clear()
         self._wake(None, _least(due, *(t[1] for t in later)), due)
