@@ -248,13 +248,13 @@ def test_expiry_by_event_time(spark, tmp_path):
 
 @pytest.mark.parametrize("buckets", [1, 50])
 def test_commands_share_buckets(spark, tmp_path, buckets):
-    """Commands of one group don't touch each other: stored and new ones, null ids, expiries and repeats, over several triggers."""
+    """Commands of one group don't touch each other: stored and new ones, null ids, expiries, over several triggers; requests without a time never apply."""
     prepare_streaming(spark)
     at = lambda seconds: T0 + timedelta(seconds=seconds)
     kinds = "id string, robot_id int, status string, created_at timestamp, timeout_seconds int"
     stored = spark.createDataFrame([(f"s{i}", 1, "PENDING", at(0), 30 if i % 3 == 0 else None) for i in range(30)] + [(None, 1, "PENDING", at(0), None)], kinds)
     created = spark.createDataFrame([(f"n{i}", 1, "PENDING", at(i), None) for i in range(30)], kinds)
-    requests = [(i, f"{'sn'[i % 2]}{i // 2}", "DISPATCHED", at(20 + i)) for i in range(60)] + [(60, None, "DISPATCHED", at(5)), (61, "n29", "COMPLETED", at(900))]
+    requests = [(i, f"{'sn'[i % 2]}{i // 2}", "DISPATCHED", at(20 + i)) for i in range(60)] + [(60, None, "DISPATCHED", at(5)), (61, "n29", "COMPLETED", at(900)), (62, "n3", "CANCELLED", None)]
     log = stateful.command_log(created, spark.createDataFrame(requests, "update_id long, command_id string, requested_status string, requested_at timestamp"))
     path = str(tmp_path / "log")
     schema = shuffled(spark, log, "at", path, triggers=3)
