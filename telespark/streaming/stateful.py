@@ -7,6 +7,7 @@ share of a key is bounded by the source's rate limit, and rows arrive as Arrow b
 from __future__ import annotations
 
 import json
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -274,20 +275,42 @@ _STATE = (
     "status string, expires_us bigint, timeout_seconds bigint, forget_us bigint, dispatched_us bigint, acknowledged_us bigint, "
     "started_us bigint, completed_us bigint, result string, error_code string, error_message string"
 )
-_FIELDS = [c.split()[0] for c in _STATE.split(", ")]
+_FIELDS, _KINDS = (list(x) for x in zip(*(c.split() for c in _STATE.split(", "))))
 _SHOWN = ["dispatched_us", "acknowledged_us", "started_us", "completed_us", "result", "error_code", "error_message"]
 _STAMPED = {"DISPATCHED": "dispatched_us", "ACKNOWLEDGED": "acknowledged_us", "EXECUTING": "started_us"}
 
 
-#: Of a bucket's commands, up to this many are read one by one; where more have rows, the bucket is read in one go.
-_FEW = 16
+#: A bucket of more than _FEW commands keeps them in _PAGES pages, by a hash of the id. Of these, up to _ONE_BY_ONE are read by themselves, more in one go.
+_FEW, _PAGES, _ONE_BY_ONE = 64, 16, 4
+#: The entry that tells that a bucket is in pages.
+_PAGED = -1
+
+
+def _page(command_id: str | None, paged: bool) -> int:
+    """The entry of a command: a page, or one that is practically its own."""
+    code = zlib.crc32((command_id or "").encode())
+    return code % _PAGES if paged else code
+
+
+def _tuples(batches, columns, kinds: list[str]):
+    """Rows of the given columns as tuples of Python values, None for all that is missing."""
+    for batch in batches:
+        cells = []
+        for column, kind in zip(columns, kinds, strict=True):
+            values = batch[column].tolist()
+            if batch[column].dtype.kind not in "iu":
+                # A column of integers with missing ones comes as doubles.
+                plain = int if kind in ("bigint", "int") else lambda v: v
+                values = [None if v is None or v is pd.NaT or v != v else plain(v) for v in values]
+            cells.append(values)
+        yield from zip(*cells, strict=True)
 
 
 class CommandState(StatefulProcessor):
     """Applies status requests in order, and times a command out when its expiry passes; ended commands are forgotten after a while.
 
-    A group is a bucket of commands, so that the cost of a group (its call, its batches, its timer) is shared; each command is an entry of its own in the bucket's
-    map, read and written only when something happens to it. By event time, rows wait in the state until the watermark has passed them, so that no earlier
+    A group is a bucket of commands, so that the cost of a group (its call, its batches, its timer) is shared. Few commands are an entry each of the bucket's
+    map; more share pages, since the state takes as long for an entry as for a page, and a page is read and written only when something happens to a command of it. By event time, rows wait in the state until the watermark has passed them, so that no earlier
     one can come any more, and the bucket's timer releases them; rows without a time are never passed and don't wait. By processing time they apply as they arrive, those of a trigger in order.
     """
 
@@ -300,7 +323,8 @@ class CommandState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.commands = handle.getMapState("commands", "command_id string", _STATE)
+        # An entry is a page's commands, in JSON.
+        self.pages = handle.getMapState("pages", "page bigint", "commands string")
         # The rows of a trigger are one entry, in JSON: the state takes as long for an entry as for a row.
         self.waiting = handle.getListState("waiting", "rows string")
         # The bucket's one timer, and a time before which none of its commands ends or is forgotten.
@@ -308,23 +332,20 @@ class CommandState(StatefulProcessor):
 
     def handleInitialState(self, key, initialState, timerValues):
         held = {}
-        for command_id, *values in zip(*(initialState[c] for c in ("command_id", *_FIELDS))):
-            stored = dict(zip(_FIELDS, map(_plain, values)))
-            stored |= {c: int(v) for c, v in stored.items() if v is not None and (c.endswith("_us") or c == "timeout_seconds")}
+        for command_id, *values in _tuples([initialState], ("command_id", *_FIELDS), ["string", *_KINDS]):
+            stored = dict(zip(_FIELDS, values))
             if stored["status"] in K.TERMINAL_STATES and stored["forget_us"] is None:
                 stored["forget_us"] = (stored["completed_us"] or 0) + self.keep
-            held.setdefault(_plain(command_id), stored)
-        for command_id, stored in held.items():
-            self.commands.updateValue((command_id,), tuple(stored[c] for c in _FIELDS))
+            held.setdefault(command_id, stored)
+        paged, kept = self._read(None)
+        fresh = {command_id: tuple(stored[c] for c in _FIELDS) for command_id, stored in held.items()}
+        self._write(paged, kept | fresh, fresh)
         known, due = self._timer()
         due = _least(due, *map(self._due, held.values()))
         self._wake(known, due, due)
 
     def handleInputRows(self, key, rows, timerValues):
-        whole = [t.split()[1] in ("bigint", "int") for t in self.TYPES.split(", ")]
-        cells = ((map(_plain, t) for t in zip(*(batch[c] for c in self.COLUMNS))) for batch in rows)
-        # A column of integers with missing ones comes as doubles.
-        new = [tuple(int(v) if v is not None and w else v for v, w in zip(t, whole)) for batch in cells for t in batch]
+        new = list(_tuples(rows, self.COLUMNS, [t.split()[1] for t in self.TYPES.split(", ")]))
         known, due = self._timer()
         if self.event_time:
             new = [t for t in new if t[1] is not None]
@@ -371,6 +392,37 @@ class CommandState(StatefulProcessor):
             self.handle.registerTimer(wanted)
         self.timer.update((wanted, due))
 
+    def _read(self, wanted) -> tuple[bool, dict]:
+        """Whether the bucket is in pages, and {command_id: its state} of all commands of the entries of the `wanted` ones; of all entries for None, or where there are no pages."""
+        paged = self.pages.containsKey((_PAGED,))
+        pages = {_page(c, True) for c in wanted} if paged and wanted is not None else None
+        if pages is not None and len(pages) <= _ONE_BY_ONE:
+            entries = ((page, self.pages.getValue((page,))) for page in pages)
+        else:
+            entries = ((k[0], v) for k, v in self.pages.iterator()) if self.pages.exists() else ()
+        texts = [v[0] for page, v in entries if v is not None and page != _PAGED and (pages is None or page in pages)]
+        return paged, {command_id: tuple(state) for text in texts for command_id, *state in json.loads(text)}
+
+    def _write(self, paged: bool, kept: dict, changed, whole: bool = True) -> None:
+        """`kept`: what _read gave (`whole`: of all entries), with the changes to the `changed` commands."""
+        if whole and not kept:
+            self.pages.clear()
+            return
+        if not paged and len(kept) > _FEW:
+            self.pages.clear()
+            self.pages.updateValue((_PAGED,), ("[]",))
+            paged, changed = True, kept
+        entries: dict = {page: [] for page in {_page(c, paged) for c in changed}}
+        for command_id, state in kept.items():
+            page = _page(command_id, paged)
+            if page in entries:
+                entries[page].append((command_id, *state))
+        for page, rows in entries.items():
+            if rows:
+                self.pages.updateValue((page,), (json.dumps(rows),))
+            else:
+                self.pages.removeKey((page,))
+
     def _due(self, stored: dict) -> int | None:
         """Microseconds at which a command changes without new rows."""
         return stored["forget_us"] if stored["status"] in K.TERMINAL_STATES else stored["expires_us"]
@@ -381,13 +433,8 @@ class CommandState(StatefulProcessor):
         for command_id, *row in rows:
             given.setdefault(command_id, []).append(tuple(row))
         passed = due is not None and due < now_us
-        if passed or len(given) > _FEW:
-            entries = self.commands.iterator() if self.commands.exists() else ()
-            held = {k[0]: tuple(v) for k, v in entries}
-        else:
-            found = ((c, self.commands.getValue((c,))) for c in given)
-            held = {c: tuple(v) for c, v in found if v is not None}
-        out, times = [], [] if passed else [due]
+        paged, held = self._read(None if passed else given)
+        out, times, changed = [], [] if passed else [due], {}
         for command_id in dict.fromkeys((*held, *given)):
             before = held.get(command_id)
             stored = None if before is None else dict(zip(_FIELDS, before))
@@ -395,11 +442,12 @@ class CommandState(StatefulProcessor):
                 stored, shown = self._advance(command_id, stored, sorted(given.get(command_id, ()), key=lambda t: t[: self.ORDER]), now_us)
                 out += shown
                 after = None if stored is None else tuple(stored[c] for c in _FIELDS)
-                if after is None and before is not None:
-                    self.commands.removeKey((command_id,))
-                elif after != before:
-                    self.commands.updateValue((command_id,), after)
+                if after != before:
+                    changed[command_id] = after
             times.append(None if stored is None else self._due(stored))
+        if changed:
+            kept = {c: state for c, state in (held | changed).items() if state is not None}
+            self._write(paged, kept, changed, passed or not paged)
         return out, _least(*times)
 
     def _advance(self, command_id, stored: dict | None, rows: list[tuple], now_us: int) -> tuple[dict | None, list[tuple]]:

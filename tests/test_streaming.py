@@ -246,6 +246,26 @@ def test_expiry_by_event_time(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("ended", [290, 300])
+def test_crowded_bucket_is_kept_in_pages(spark, tmp_path, ended):
+    """300 commands of one bucket take a page for many, over several triggers; nothing is left when all are forgotten."""
+    prepare_streaming(spark)
+    at = lambda seconds: T0 + timedelta(seconds=seconds)
+    kinds = "id string, robot_id int, status string, created_at timestamp, timeout_seconds int"
+    stored = spark.createDataFrame([(f"c{i}", 1, "PENDING", at(0), None) for i in range(0, 300, 2)], kinds)
+    created = spark.createDataFrame([(f"c{i}", 1, "PENDING", at(i / 100), None) for i in range(1, 300, 2)], kinds)
+    requests = [(i, f"c{i}", "DISPATCHED", at(20 + i)) for i in range(300)] + [(300 + i, f"c{i}", "CANCELLED", at(400 + i)) for i in range(ended)]
+    log = stateful.command_log(created, spark.createDataFrame(requests, "update_id long, command_id string, requested_status string, requested_at timestamp"))
+    path = str(tmp_path / "log")
+    schema = shuffled(spark, log, "at", path, triggers=3)
+    close(spark, schema, path, command_id="last", kind=1, update_id=-1, requested_status="X", at=LAST, us=int(LAST.timestamp() * 1_000_000))
+    outcomes, state = drained(stateful.command_stream(stream_of(spark, schema, path), stored, keep_seconds=600, buckets=1), f"pages_{ended}")
+    got = sorted((r.update_id, r.command_id, r.outcome) for r in outcomes.where("update_id >= 0").collect())
+    assert got == [(i, c, "accepted") for i, c, _, _ in requests]
+    after = stateful.command_table(stored.union(created), outcomes).collect()
+    assert {r.id: r.status for r in after} == {f"c{i}": "CANCELLED" if i < ended else "DISPATCHED" for i in range(300)}
+    assert state <= OF_LAST_ROW + (stateful._PAGES + 1 if ended < 300 else 0)
+
 @pytest.mark.parametrize("buckets", [1, 50])
 def test_commands_share_buckets(spark, tmp_path, buckets):
     """Commands of one group don't touch each other: stored and new ones, null ids, expiries, over several triggers; requests without a time never apply."""
