@@ -96,13 +96,15 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(exacts, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["exact", "shingles"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """`pairs` (a, b) with their exact Jaccard similarity."""
+def _verified(pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
+    """`pairs` (a, b) with their exact Jaccard similarity; `more`: the shingles in which they differ, and how many each has."""
     a = sets.select(F.col("exact").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("exact").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
+    differs = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
+    extra = {"differs": differs, "na": F.size("sa"), "nb": F.size("sb")}
+    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"), *[extra[c].alias(c) for c in more])
 
 
 def links(classes: DataFrame, docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -110,10 +112,8 @@ def links(classes: DataFrame, docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     `classes`: exact, text_key and bands of one paragraph of each wording. Bands with up to `hot` wordings make all their pairs. In larger
     ones every wording is compared with one of them, that which meets most wordings over all bands, in practice the text that the others were
-    made from; those that are similar to it are linked already. Each of the others,
-    at distance d, is compared with all members whose distance is d - 0.2 or more: by the triangle inequality of the
-    Jaccard distance no one else can be similar. So groups of near copies make no pairs with their square and
-    components are those of all pairs.
+    made from; those that are similar to it are linked already, the others meet by what they don't share with it (`_by_difference`). So groups of near
+    copies make no pairs with their square unless their changes are the same, and components are those of all pairs.
     """
     filed = classes.select("exact", "text_key", F.explode("bands").alias("key"))
     met = write_and_read(filed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "paragraphs-met")
@@ -127,16 +127,40 @@ def links(classes: DataFrame, docs: DataFrame, hot: int = HOT) -> DataFrame:
     meets = met.groupBy("exact").agg(F.sum("n").alias("meets"))
     centre = F.max(F.struct("meets", "exact")).over(Window.partitionBy("key"))["exact"]
     centred = many.join(meets, "exact").select("key", F.col("exact").alias("a"), centre.alias("b"))
-    star = write_and_read(_verified(centred.select("a", "b").distinct(), sets), "paragraphs-stars")
-    placed = centred.join(star, ["a", "b"]).select("key", "a", "similarity")
-    far = placed.where(F.col("similarity") < SIMILAR)
-    near = placed.select("key", F.col("a").alias("b"), F.col("similarity").alias("other"))
-    rest = far.join(near, "key").where((F.col("a") != F.col("b")) & (F.col("other") <= F.col("similarity") + (1 - SIMILAR)))
-    pairs = pairs.union(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    checked = _verified(pairs.distinct(), sets).union(star.where("a != b"))
+    star = write_and_read(_verified(centred.select("a", "b").where("a != b").distinct(), sets, "differs", "na", "nb"), "paragraphs-stars")
+    pairs = pairs.union(_by_difference(star))
+    checked = _verified(pairs.distinct(), sets).union(star.select("a", "b", "similarity"))
     return checked.where(F.col("similarity") >= SIMILAR)
 
 
+def _by_difference(star: DataFrame) -> DataFrame:
+    """Pairs (a, b) of wordings compared with one centre that can be similar though `a` is not similar to the centre.
+
+    `star`: a, b (the centre), differs (the shingles that only one of them has), na and nb (their numbers of shingles). Two wordings differ in what one of their two differences
+    from the centre holds and the other doesn't. At a similarity of 0.8 that is at most a ninth of their shingles; if one of them differs from the centre in more, the differences share
+    shingles, and the least t of them that they share bounds the place of the first: the rarest first, it is not among the last t - 1 of either. So only rare changes are compared. Exact.
+    """
+    size = F.size("differs")
+    far = F.col("far")
+    kept = star.select(F.col("b").alias("centre"), "a", "na", F.col("nb").alias("nc"), "differs", size.alias("n"), (9 * size > F.col("na") + F.col("nb")).alias("far"))
+    wanted = kept.where(far).select("centre").distinct()
+    parts = kept.join(wanted, "centre").select("centre", "a", "na", "nc", "n", "far", F.explode("differs").alias("shingle"))
+    parts = write_and_read(parts, "paragraphs-differences")
+    often = parts.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("centre", "a").orderBy("often", "shingle"))
+    # Every member may be the partner of a far one; whoever that is, they share more than this.
+    shared = F.floor((9 * F.col("n") + F.col("nc") - F.col("na")) / 18)
+    placed = parts.join(often, ["centre", "shingle"]).withColumn("place", place)
+    first = write_and_read(placed.where((F.col("often") > 1) & (far | (F.col("place") <= F.col("n") - shared))), "paragraphs-rare")
+    columns = lambda x: ["centre", "shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("a", "na", "n", "place")]]
+    left = first.where(far & (F.col("place") <= F.col("n") + 1 - F.ceil((9 * F.col("n") - F.col("na") - F.col("nc")) / 18)))
+    both = left.select(*columns("p")).join(first.where(F.col("place") <= F.col("n") - shared).select(*columns("q")), ["centre", "shingle"])
+    least = F.ceil((9 * (F.col("p_n") + F.col("q_n")) - F.col("p_na") - F.col("q_na")) / 18)
+    sizes = 5 * F.least("p_na", "q_na") >= 4 * F.greatest("p_na", "q_na")
+    meet = (F.col("p_a") != F.col("q_a")) & sizes & (F.col("p_place") <= F.col("p_n") - least + 1) & (F.col("q_place") <= F.col("q_n") - least + 1)
+    return both.where(meet).select(F.least("p_a", "q_a").alias("a"), F.greatest("p_a", "q_a").alias("b"))
+
+
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """Paragraphs (lines) that repeat across documents as part of a passage of PASSAGE_WORDS words or more.
 

@@ -62,6 +62,26 @@ def test_near_copies_of_one_passage(spark, hot):
     assert {(r.doc_id, r.place) for r in paragraphs.repeated(frame, hot=hot).collect()} == plain(docs)
 
 
+def test_crowded_band_makes_no_square(spark, monkeypatch):
+    """Copies with changes of their own, too many to be similar to the original: some are made from one another, the others are hardly compared."""
+    draw, base, docs = random.Random(5), words(3, 70).split(), []
+    for i in range(240):
+        copy = list(base)
+        for k in range(7):
+            copy[draw.randrange(70)] = f"own{i}x{k}"
+        docs.append(copy)
+        if i % 12 == 0:
+            copy = list(copy)
+            copy[draw.randrange(70)] = f"again{i}"
+            docs.append(copy)
+    docs = [(i, words(i, 15) + "\n" + " ".join(copy)) for i, copy in enumerate(docs)] + [(1000, " ".join(base))]
+    compared, real = [], paragraphs._verified
+    monkeypatch.setattr(paragraphs, "_verified", lambda pairs, *more: compared.append(pairs.count()) or real(pairs, *more))
+    rows = paragraphs.repeated(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    truth = plain(docs)
+    assert 20 < len(truth) < 100 and {(r.doc_id, r.place) for r in rows} == truth
+    assert sum(compared) < 5 * len(docs)
+
 def test_awkward(spark):
     rows = paragraphs.repeated(awkward(spark)).collect()
     assert sorted((r.doc_id, r.n_words, r.removed) for r in rows) == [(5, 60, False), (5, 60, False), (6, 60, True)]
