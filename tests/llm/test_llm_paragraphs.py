@@ -38,7 +38,7 @@ def plain(docs):
 
 def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    rows = queries.op2_substring_dedup(spark, sf).collect()
+    rows = [r for r in queries.op2_substring_dedup(spark, sf).collect() if r.place is not None]
     assert {(r.doc_id, r.place) for r in rows} == plain(docs)
     texts = dict(docs)
     for r in rows:
@@ -136,3 +136,29 @@ def test_passages_inside_longer_lines_and_across_short_ones(spark):
     assert paragraphs.verbatim(empty(spark)).count() == 0
     twice = spark.createDataFrame([(1, words(1, 80)), (1, words(1, 80)), (None, words(2, 80)), (None, words(2, 80)), (3, words(2, 80))], "doc_id bigint, text string")
     assert sorted((r.doc_id or 0, r.n_words, r.removed) for r in paragraphs.verbatim(twice).collect()) == [(0, 80, False), (3, 80, True)]
+
+
+def test_query_finds_passages_inside_longer_lines(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = queries.op2_substring_dedup(spark, sf).collect()
+    truth = covered(docs)
+    assert {d for d, _ in truth} - {d for d, _ in plain(docs)}
+    assert spans_covered(docs, [r for r in rows if r.place is None])[0] == truth
+
+
+def test_repeated_anywhere(spark):
+    """Stretches inside longer lines and over short ones, copies of whole texts, and texts that share passages with copied ones."""
+    shared, copied = words(1, 57), words(2, 80)
+    tail = " ".join(copied.split()[20:])
+    docs = [
+        (1, f"{words(11, 80, 900)} {shared} {words(12, 60, 900)}"), (2, f"{words(13, 5, 900)} {shared.upper()}\u00a0x {words(14, 40, 900)}"),
+        (4, f" {copied}\n"), (5, f" {copied}\n"), (5, f" {copied}\n"), (3, f"{words(15, 70, 900)} {tail} {words(16, 70, 900)}"), (6, "w " * 70), (7, "w " * 55), (8, "v " * 70), (9, words(17, 49)), (10, words(17, 49)),
+        (None, words(18, 60)), (None, words(18, 60)), (11, None), (12, words(18, 60)), (13, words(19, 60)), (13, words(19, 60) + " b"),
+    ]
+    rows = [r for r in paragraphs.repeated_anywhere(spark.createDataFrame(docs, "doc_id bigint, text string")).collect() if r.place is None]
+    found, gone = spans_covered(docs, rows)
+    assert found == covered(docs)
+    assert {r.doc_id for r in rows} == {None, 1, 2, 3, 4, 5, 6, 7, 12}
+    assert {(r.doc_id, r.n_words, r.first_doc) for r in rows if r.removed} == {(2, 56, 1), (4, 60, 3), (5, 80, 4), (6, 69, 6), (7, 55, 6), (12, 60, None)}
+    assert [r.n_words for r in rows if r.doc_id == 3] == [60]
+    assert paragraphs.repeated_anywhere(empty(spark)).count() == 0
