@@ -174,12 +174,14 @@ def _by_difference(star: DataFrame) -> DataFrame:
     shared = F.floor((9 * F.col("n") + F.col("nc") - F.col("na")) / 18)
     placed = parts.join(often, ["centre", "shingle"]).withColumn("place", place)
     first = write_and_read(placed.where((F.col("often") > 1) & (far | (F.col("place") <= F.col("n") - shared))), "paragraphs-rare")
-    columns = lambda x: ["centre", "shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("a", "na", "n", "place")]]
+    columns = lambda x: ["centre", "shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("a", "na", "n", "place", "far")]]
     left = first.where(far & (F.col("place") <= F.col("n") + 1 - F.ceil((9 * F.col("n") - F.col("na") - F.col("nc")) / 18)))
     both = left.select(*columns("p")).join(first.where(F.col("place") <= F.col("n") - shared).select(*columns("q")), ["centre", "shingle"])
     least = F.ceil((9 * (F.col("p_n") + F.col("q_n")) - F.col("p_na") - F.col("q_na")) / 18)
     sizes = 5 * F.least("p_na", "q_na") >= 4 * F.greatest("p_na", "q_na")
-    meet = (F.col("p_a") != F.col("q_a")) & sizes & (F.col("p_place") <= F.col("p_n") - least + 1) & (F.col("q_place") <= F.col("q_n") - least + 1)
+    # Two far ones meet from one side only.
+    once = (F.col("p_a") < F.col("q_a")) | (~F.col("q_far") & (F.col("p_a") != F.col("q_a")))
+    meet = once & sizes & (F.col("p_place") <= F.col("p_n") - least + 1) & (F.col("q_place") <= F.col("q_n") - least + 1)
     return both.where(meet).select(F.least("p_a", "q_a").alias("a"), F.greatest("p_a", "q_a").alias("b"))
 
 

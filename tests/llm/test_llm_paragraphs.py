@@ -162,3 +162,10 @@ def test_repeated_anywhere(spark):
     assert {(r.doc_id, r.n_words, r.first_doc) for r in rows if r.removed} == {(2, 56, 1), (4, 60, 3), (5, 80, 4), (6, 69, 6), (7, 55, 6), (12, 60, None)}
     assert [r.n_words for r in rows if r.doc_id == 3] == [60]
     assert paragraphs.repeated_anywhere(empty(spark)).count() == 0
+
+
+def test_far_wordings_meet_once(spark):
+    """Two wordings that differ from the centre in 20 of their 50 shingles, 19 of these in common: five common ones are early enough to meet by, from one side."""
+    star = [(1, 9, list(range(20)), 50, 50), (2, 9, list(range(1, 21)), 50, 50)]
+    pairs = paragraphs._by_difference(spark.createDataFrame(star, "a bigint, b bigint, differs array<bigint>, na int, nb int")).collect()
+    assert [(r.a, r.b) for r in pairs] == [(1, 2)] * 5
