@@ -2,8 +2,8 @@
 
 Every string of LENGTH bytes has a mark, the least hash among its stretches of MARK bytes. Neighbouring strings share marks, so that a text falls
 into pieces of one mark each, which overlap by LENGTH - 1 bytes. All places of a string have the same mark; pieces are dealt to shards by
-mark, and no match crosses shards. Marks that only one document has are left out first. Each shard sorts its suffixes by induction,
-computes permuted common prefixes, and answers for each string the smallest document that has it.
+mark, and no match crosses shards. Marks that only one document has are left out first, and in each shard the strings whose longer marks
+only one document has. Each shard sorts the suffixes of the others by induction, computes permuted common prefixes, and answers for each string the smallest document that has it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from telespark.llm.common import small_batches
 from telespark.llm.suffixes import permuted_prefixes, suffix_array, words_at
-from telespark.session import scratch_dir
+from telespark.session import scratch_dir, shuffles_removed
 
 LENGTH = 50
 MARK = 16
@@ -27,6 +27,8 @@ CROWDED, LONG_MARK = 256, 40
 #: Bytes of text that are handled together, and of text for each shard.
 BUNDLE = 3 << 20
 SHARD = 4 << 20
+#: Strings whose marks are computed together.
+BLOCK = 1 << 15
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xC2B2AE3D27D4EB4F)
 _ONE = np.uint64(1)
@@ -65,6 +67,15 @@ def _least(values: np.ndarray, n: int) -> np.ndarray:
     return values
 
 
+def _marks(text: np.ndarray, length: int) -> np.ndarray:
+    """The mark of each string of the text: the least hash among its stretches of `length` bytes. In blocks that a CPU's cache holds."""
+    marks = np.empty(max(0, len(text) - LENGTH + 1), dtype=np.uint64)
+    for at in range(0, len(marks), BLOCK):
+        words = words_at(text[at : at + BLOCK + LENGTH - 1])
+        marks[at : at + BLOCK] = _least(_stretches(words, length), LENGTH - length + 1)
+    return marks
+
+
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places start, start + 1, … of each row, in one array."""
     begins = np.cumsum(sizes) - sizes
@@ -77,8 +88,7 @@ class _Bundle:
     def __init__(self, data: bytes, ends: np.ndarray, known: np.ndarray) -> None:
         """`known`: the documents that have an id; strings of the others count nowhere."""
         self.text = np.frombuffer(data, dtype=np.uint8)
-        self.words = words_at(self.text)
-        least = _least(_stretches(self.words, MARK), LENGTH - MARK + 1)
+        least = _marks(self.text, MARK)
         # A run ends where the mark changes, where a document begins, and behind the last string of a document.
         first = np.zeros(len(least) + 1, dtype=bool)
         np.not_equal(least[1:], least[:-1], out=first[1 : len(least)])
@@ -115,7 +125,7 @@ class _Bundle:
         first = np.zeros(len(places), dtype=bool)
         first[np.cumsum(counts) - counts] = True
         if (of_run == 2).any():
-            longer = _mixed(_least(_stretches(self.words, LONG_MARK), LENGTH - LONG_MARK + 1)[places])
+            longer = _mixed(_marks(self.text, LONG_MARK)[places])
             of_string = np.where(np.repeat(of_run == 2, counts), longer, np.repeat(marks, counts))
             first[1:] |= of_string[1:] != of_string[:-1]
             begins = np.flatnonzero(first)
@@ -218,7 +228,7 @@ def _cut_up(shards: int):
 
     def pieces_of(name: int, ids: np.ndarray, bundle: _Bundle) -> pa.RecordBatch:
         shard = _shard_of(bundle.run_marks, shards).astype(np.int64)
-        identity = _identity(bundle.words, bundle.starts, bundle.counts)
+        identity = _identity(words_at(bundle.text), bundle.starts, bundle.counts)
         order = np.lexsort((identity, shard))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (identity[order][1:] != identity[order][:-1]) | (shard[order][1:] != shard[order][:-1])
@@ -263,17 +273,21 @@ def _sorted_shard(table: pa.Table) -> pa.Table:
     _, some, which = np.unique(_identity(words_at(data), _begins(counts), counts), return_index=True, return_inverse=True)
     lowest = np.full(len(some), len(ids), dtype=np.int32)
     np.minimum.at(lowest, which, first)
-    # The shard's text: its different pieces, one after the other. Strings across their borders are no one's.
+    # The shard's different pieces, one after the other. Strings across their borders are no one's.
     own = counts[some]
     text = data[_ragged(_begins(counts)[some], own + LENGTH - 1)]
     del data
-    places = _ragged(_begins(own), own)
-    docs = np.full(len(text), len(ids), dtype=np.int32)
-    docs[places] = np.repeat(lowest, own)
-    sa = suffix_array(text)
-    groups = np.flatnonzero(permuted_prefixes(text, sa)[sa] < LENGTH)  # of equal strings
-    docs[sa] = np.repeat(np.minimum.reduceat(docs[sa], groups), np.diff(np.append(groups, len(sa))))
-    best, offsets = docs[places], np.cumsum(own) - own
+    best, offsets = np.repeat(lowest, own), np.cumsum(own) - own
+    rows, first_kept, kept = _shared(text, own, lowest)
+    if len(rows):
+        text = text[_ragged(_begins(own)[rows] + first_kept, kept + LENGTH - 1)]
+        places = _ragged(_begins(kept), kept)
+        docs = np.full(len(text), len(ids), dtype=np.int32)
+        docs[places] = np.repeat(lowest[rows], kept)
+        sa = suffix_array(text)
+        groups = np.flatnonzero(permuted_prefixes(text, sa)[sa] < LENGTH)  # of equal strings
+        docs[sa] = np.repeat(np.minimum.reduceat(docs[sa], groups), np.diff(np.append(groups, len(sa))))
+        best[_ragged(offsets[rows] + first_kept, kept)] = docs[places]
     out = []
     for a, b in zip(begins, ends):
         mine = which[a:b]
@@ -283,6 +297,31 @@ def _sorted_shard(table: pa.Table) -> pa.Table:
     return pa.table({"bundle": table["bundle"], "shard": table["shard"], "counts": table["counts"], "numbers": nothing, "data": pa.array(out, pa.binary())})
 
 
+def _shared(text: np.ndarray, own: np.ndarray, lowest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, first, n) of the pieces of which some strings may also be in a piece of another document, with the stretch of strings from the first to the last such.
+
+    Told by the longer marks of the strings, which equal strings share: where all pieces with a mark have one smallest document, sorting would find no other.
+    """
+    marks = _marks(text, LONG_MARK)[_ragged(_begins(own), own)]
+    ends = np.cumsum(own)
+    new = np.append(True, marks[1:] != marks[:-1])
+    new[ends[:-1]] = True
+    begins = np.flatnonzero(new)  # of runs of neighbouring strings with one mark
+    sizes, marks = np.diff(np.append(begins, len(marks))), marks[begins]
+    piece = np.searchsorted(ends, begins, side="right")
+    order = np.argsort(marks)
+    groups = np.flatnonzero(np.append(True, marks[order][1:] != marks[order][:-1]))
+    docs = lowest[piece[order]]
+    several = np.minimum.reduceat(docs, groups) < np.maximum.reduceat(docs, groups)
+    shared = np.empty(len(order), dtype=bool)
+    shared[order] = np.repeat(several, np.diff(np.append(groups, len(order))))
+    runs = np.flatnonzero(shared)
+    rows, at = np.unique(piece[runs], return_index=True)
+    last = runs[np.append(at[1:], len(runs)) - 1] if len(rows) else runs
+    first = begins[runs[at]] - (ends - own)[rows]
+    return rows, first, begins[last] + sizes[last] - (ends - own)[rows] - first
+
+
 def _begins(counts: np.ndarray) -> np.ndarray:
     """Where pieces of so many strings begin, one after the other."""
     return np.cumsum(counts + LENGTH - 1) - (counts + LENGTH - 1)
@@ -362,7 +401,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowded:
     bundles = table.select("bundle", "ids", "ends", "data")
     kinds = "bundle bigint, shard bigint, counts binary, numbers binary, data binary"
     path = scratch_dir(spark, "suffix-pieces")
-    bundles.join(states.hint("shuffle_hash"), "bundle").mapInArrow(_cut_up(shards), kinds).write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):  # the marks' shuffle files go with the writing
+        bundles.join(states.hint("shuffle_hash"), "bundle").mapInArrow(_cut_up(shards), kinds).write.option("compression", "zstd").parquet(path)
     pieces = spark.read.schema(kinds).parquet(path)
     best = pieces.where("shard >= 0").groupBy("shard").applyInArrow(_sorted_shard, kinds)
     answers = pieces.where("shard < 0").union(best).groupBy("bundle").agg(F.collect_list(F.struct("shard", "counts", "numbers", "data")).alias("answers"))

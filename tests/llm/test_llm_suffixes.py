@@ -3,6 +3,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,3 +119,34 @@ def test_text_is_not_dealt_out_again(spark, sf):
 
 def test_empty_table(spark):
     assert suffix_dedup.dedup(empty(spark)).collect() == []
+
+
+def sharded(texts):
+    """The answers of one shard, a bundle for each text, by document."""
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    bundles = list(suffix_dedup._bundled(1, 1)(iter([docs])))
+    codes = pa.table({"bundle": [b["bundle"][0] for b in bundles], "shard": [0] * len(texts), "codes": pa.array([b["codes"][0][0] for b in bundles], pa.binary())})
+    states = {x.pop("bundle"): x for x in suffix_dedup._judged(256)(codes).to_pylist()}
+    kind, pieces = pa.list_(pa.struct([("shard", pa.int64()), ("states", pa.binary())])), []
+    for b in bundles:
+        judged = [states[x] for x in [b["bundle"][0].as_py()] if x in states]
+        row = pa.RecordBatch.from_arrays([*(b[c] for c in ("bundle", "ids", "ends", "data")), pa.array([judged], kind)], names=["bundle", "ids", "ends", "data", "judged"])
+        pieces += [x for x in suffix_dedup._cut_up(1)(iter([row]))]
+    shard = pa.Table.from_batches(pieces)
+    shard = shard.filter(pc.equal(shard["shard"], 0))
+    names = [b["bundle"][0].as_py() for b in bundles]
+    return {names.index(x["bundle"]): int(np.unpackbits(np.frombuffer(x["data"], dtype=np.uint8)).sum()) for x in suffix_dedup._sorted_shard(shard).to_pylist()}
+
+
+def test_shard_sorts_what_may_repeat_only(monkeypatch):
+    draw, sorted_sizes = random.Random(3), []
+    array = suffixes.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda t: sorted_sizes.append(len(t)) or array(t))
+    noise = lambda n: "".join(draw.choices("abcdefghijklmnop", k=n))
+    phrases, passage = [noise(30) for _ in range(50)], noise(120)
+    # Phrases of 30 bytes bring pieces to the shard, but no string of 50 bytes is in two documents.
+    texts = ["".join(noise(40) + p for p in phrases) for _ in range(4)]
+    assert sum(sharded(texts).values()) == 0 and sum(sorted_sizes) == 0
+    found = sharded([texts[0], texts[1] + passage + noise(60), texts[2] + noise(70) + passage, noise(90) + passage])
+    assert found[2] == found[3] == 71 and found.get(0, 0) == found[1] == 0
+    assert 0 < sum(sorted_sizes) < 3000
