@@ -59,10 +59,14 @@ def _split(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter(~rejected).drop("reason"), marked.filter(rejected)
 
 
+def missing_value() -> Column:
+    """Why a normalised reading cannot be stored; NULL for one that can."""
+    return F.coalesce(*[F.when(F.col(key).isNull(), F.lit(f"{key}: no usable value")) for key in REQUIRED_READING])
+
+
 def quarantine_nulls(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(storable, rejected with `reason`): required columns must hold a value."""
-    reasons = [F.when(F.col(key).isNull(), F.lit(f"{key}: no usable value")) for key in REQUIRED_READING]
-    return _split(readings.withColumn("reason", F.coalesce(*reasons)))
+    return _split(readings.withColumn("reason", missing_value()))
 
 
 def _required(key: str, accepted: Column) -> list[Column]:

@@ -5,6 +5,7 @@ import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark import StorageLevel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,20 @@ def reading(robot, battery, at):
 T0 = datetime(2026, 7, 22, tzinfo=timezone.utc)
 
 
+def test_ingest_keeps_typed_columns_of_a_batch_on_disk(spark, tmp_path, monkeypatch):
+    kind, kept = type(spark.range(0)), []
+    persist = kind.persist
+    monkeypatch.setattr(kind, "persist", lambda df, *level: kept.append((df.schema.simpleString(), *level)) or persist(df, *level))
+    rows = [(f"m{i}", reading(i, 50.0, T0), T0) for i in range(4)]
+    write, root = ingest.store_batch(str(tmp_path)), str(tmp_path)
+    write(spark.createDataFrame(rows, schemas.MESSAGES), 0)
+    assert len(kept) == 1  # nothing is filed yet, so that all messages are unseen as they stand
+    write(spark.createDataFrame([*rows, ("m9", reading(9, 40.0, T0), T0)], schemas.MESSAGES), 1)
+    assert not any("variant" in columns for columns, *_ in kept)
+    assert not any(x.useMemory for _, *level in kept for x in level or [StorageLevel.MEMORY_AND_DISK_DESER])
+    assert sorted(r.msg_id for r in tables.read_ingested(spark, root).collect()) == ["m0", "m1", "m2", "m3", "m9"]
+
+
 def test_ingest_over_batches(spark, tmp_path):
     source, root, checkpoint = (str(tmp_path / n) for n in ("source", "root", "checkpoint"))
     event = json.dumps({"type": "EVENT", "robot_id": 4, "message": "Entered zone", "timestamp": T0.isoformat()})
